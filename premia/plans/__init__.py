@@ -1,4 +1,4 @@
 """Registered queries; importing this package registers all of them."""
 
-from premia.plans import tabular_queries  # noqa: F401
+from premia.plans import catalog_queries, tabular_queries  # noqa: F401
 from premia.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -41,3 +41,98 @@ POLICY_BOOK_SQL = """
     JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
     JOIN region ON n_regionkey = r_regionkey
 """
+
+
+# --- uploads and the asset catalog, read from the documents ------------------
+
+def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as an uploaded file of its language's tenant."""
+    kind = F.substring("source", 4, 2).cast("int") % 5
+    extension = F.element_at(F.array(*map(F.lit, (".pdf", ".csv", ".XLSX", ".txt", ""))), kind + 1)
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("upload_id"),
+        F.col("lang").alias("tenant_id"),
+        F.concat(F.lit("doc_"), "doc_id", extension).alias("original_filename"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("file_hash"),
+        (F.col("n_chars") * 4096).alias("file_size_bytes"),
+        F.col("doc_id").alias("submitted_at"),
+    )
+
+
+UPLOADS_SQL = """
+    SELECT doc_id AS upload_id, lang AS tenant_id,
+           'doc_' || doc_id || (['.pdf', '.csv', '.XLSX', '.txt', ''])
+               [substr(source, 4, 2)::int % 5 + 1] AS original_filename,
+           sha256(text) AS file_hash, n_chars * 4096 AS file_size_bytes, doc_id AS submitted_at
+    FROM documents
+"""
+
+
+def document_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents as registered assets: good ones ready, bad ones failed or pending."""
+    labels = table(spark, sf_dir, "labels")
+    return table(spark, sf_dir, "documents").join(labels, "doc_id").select(
+        F.concat(F.lit("asset-"), "doc_id").alias("asset_id"),
+        F.when(F.col("source").isin("src0", "src1", "src2"), "dataset")
+        .otherwise("document").alias("kind"),
+        F.col("lang").alias("tenant_id"),
+        F.concat(F.lit("doc_"), "doc_id").alias("original_filename"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("file_hash"),
+        F.when(F.col("quality") == 1, "ready").when(F.col("toxic") == 1, "failed")
+        .otherwise("pending").alias("upload_status"),
+        (F.col("toxic") == 0).alias("is_active"),
+        F.col("doc_id").alias("created_at"),
+        (F.col("n_chars") > 500).alias("file_exists"),
+        F.when(F.col("n_chars") > 300, F.floor(F.col("n_chars") / 1000).cast("bigint"))
+        .alias("chunk_count"),
+    )
+
+
+DOCUMENT_CATALOG_SQL = """
+    SELECT 'asset-' || doc_id AS asset_id,
+           CASE WHEN source IN ('src0', 'src1', 'src2') THEN 'dataset' ELSE 'document' END AS kind,
+           lang AS tenant_id, 'doc_' || doc_id AS original_filename, sha256(text) AS file_hash,
+           CASE WHEN quality = 1 THEN 'ready' WHEN toxic = 1 THEN 'failed' ELSE 'pending' END
+               AS upload_status,
+           toxic = 0 AS is_active, doc_id AS created_at, n_chars > 500 AS file_exists,
+           CASE WHEN n_chars > 300 THEN n_chars // 1000 END AS chunk_count
+    FROM documents JOIN labels USING (doc_id)
+"""
+
+
+def dataset_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as questions that name datasets: one by plain id, one malformed, one dashed."""
+    key = F.get_json_object("props", "$.k")
+    h = F.upper(F.md5(F.concat(F.lit("ds"), "user_id").cast("binary")))
+    dashed = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4),
+                         F.substring(h, 17, 4), F.substring(h, 21, 12))
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("request_id"), F.col("event_type").alias("tenant_id"),
+        F.array(F.md5(F.concat(F.lit("ds"), key).cast("binary")), F.lit("not-an-id"), dashed)
+        .alias("dataset_ids"),
+    )
+
+
+def dataset_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as published datasets of five tenants; one brand is still pending."""
+    tenant = F.element_at(
+        F.array(*map(F.lit, ("view", "error", "purchase", "signup", "click"))),
+        F.col("p_size") % 5 + 1)
+    return table(spark, sf_dir, "part").select(
+        F.md5(F.concat(F.lit("ds"), "p_partkey").cast("binary")).alias("asset_id"),
+        tenant.alias("tenant_id"),
+        F.when(F.col("p_brand") == "Brand#2", "pending").otherwise("ready").alias("upload_status"),
+        F.concat(F.lit("t_parts_"), "p_partkey").alias("table_name"),
+        (F.col("p_type") != "PROMO").alias("has_schema"),
+        F.floor("p_retailprice").cast("bigint").alias("row_count"),
+    )
+
+
+DATASET_CATALOG_SQL = """
+    SELECT md5('ds' || p_partkey) AS asset_id,
+           (['view', 'error', 'purchase', 'signup', 'click'])[p_size % 5 + 1] AS tenant_id,
+           CASE WHEN p_brand = 'Brand#2' THEN 'pending' ELSE 'ready' END AS upload_status,
+           't_parts_' || p_partkey AS table_name, p_type <> 'PROMO' AS has_schema,
+           floor(p_retailprice)::bigint AS row_count
+    FROM part
+"""
