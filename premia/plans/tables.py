@@ -136,3 +136,95 @@ DATASET_CATALOG_SQL = """
            floor(p_retailprice)::bigint AS row_count
     FROM part
 """
+
+
+# --- page blocks, read from documents, customers and nations ------------------
+
+_BLOCK_COLUMNS = ["document_id", "tenant_id", "page", "kind", "table_index", "rows", "text"]
+
+
+def prose_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages: one document per source and language, page number = doc_id."""
+    return table(spark, sf_dir, "documents").select(
+        F.concat_ws("-", "source", "lang").alias("document_id"),
+        F.col("lang").alias("tenant_id"), F.col("doc_id").alias("page"),
+        F.lit("text").alias("kind"), F.lit(-1).alias("table_index"),
+        F.lit(None).cast("array<array<string>>").alias("rows"), "text",
+    )
+
+
+def table_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One long table per 400 customer keys and one short table of nations per region."""
+    def cells(*columns) -> F.Column:
+        return F.array(*columns, F.lit(None).cast("string"))
+
+    def gather(df: DataFrame, key: str, row) -> DataFrame:
+        # at most 400 keys, or one region's nations, per table
+        ordered = F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), row.alias("r"))))
+        return df.groupBy("document_id", "page", "table_index").agg(ordered["r"].alias("rows"))
+
+    customers = gather(
+        table(spark, sf_dir, "customer").select(
+            F.lit("customers").alias("document_id"),
+            F.floor(F.col("c_custkey") / 400).alias("page"), F.lit(0).alias("table_index"),
+            "c_custkey", "c_name", "c_mktsegment", "c_nationkey"),
+        "c_custkey", cells("c_name", F.concat(F.lit("  "), "c_mktsegment"),
+                           F.col("c_nationkey").cast("string")))
+    nations = gather(
+        table(spark, sf_dir, "nation").select(
+            F.lit("nations").alias("document_id"), F.lit(1).cast("bigint").alias("page"),
+            F.col("n_regionkey").alias("table_index"), "n_nationkey", "n_name"),
+        "n_nationkey", cells(F.col("n_nationkey").cast("string"), "n_name"))
+    return customers.unionByName(nations).select(
+        "document_id", F.lit("en").alias("tenant_id"), "page", F.lit("table").alias("kind"),
+        "table_index", "rows", F.lit(None).cast("string").alias("text"))
+
+
+def all_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prose_blocks(spark, sf_dir).select(*_BLOCK_COLUMNS).unionByName(
+        table_blocks(spark, sf_dir).select(*_BLOCK_COLUMNS))
+
+
+_SQL_BLANKS = r"[\s\x0B\x1c-\x1f\x{85}\p{Z}]+"
+
+PROSE_CHUNKS_SQL = rf"""
+    SELECT document_id, tenant_id, page, 'text' AS type, -1 AS table_index, NULL::int AS row_group,
+           (start - 1) // 355 AS position,
+           array_to_string(list_slice(w, start, start + 392), ' ') AS text
+    FROM (SELECT *, unnest(generate_series(1, CASE WHEN len(w) <= 393 THEN 1
+                           ELSE 1 + 355 * ceil((len(w) - 393) / 355.0)::bigint END, 355)) AS start
+          FROM (SELECT source || '-' || lang AS document_id, lang AS tenant_id, doc_id AS page,
+                       [x FOR x IN regexp_split_to_array(text, '{_SQL_BLANKS}') IF x <> ''] AS w
+                FROM documents) d
+          WHERE len(w) > 0) s
+"""
+
+TABLE_CHUNKS_SQL = r"""
+    SELECT document_id, tenant_id, page, 'table' AS type, table_index,
+           CASE WHEN big THEN part END AS row_group, part AS position,
+           CASE WHEN big THEN array_to_string(list_slice(lines, 20 * part + 1, 20 * part + 20),
+                                              chr(10))
+                ELSE array_to_string(lines, chr(10)) END AS text
+    FROM (SELECT *, unnest(CASE WHEN big THEN range(0, ((len(lines) - 1) // 20 + 1)::bigint)
+                                ELSE [0] END) AS part
+          FROM (SELECT *, list_sum([len(regexp_split_to_array(trim(x), '\s+')) FOR x IN lines]) > 1150
+                             AS big
+                FROM (SELECT 'customers' AS document_id, 'en' AS tenant_id,
+                             c_custkey // 400 AS page, 0 AS table_index,
+                             list(c_name || ' | ' || c_mktsegment || ' | ' || c_nationkey || ' | '
+                                  ORDER BY c_custkey) AS lines
+                      FROM customer GROUP BY ALL
+                      UNION ALL
+                      SELECT 'nations', 'en', 1, n_regionkey,
+                             list(n_nationkey || ' | ' || n_name || ' | ' ORDER BY n_nationkey)
+                      FROM nation GROUP BY ALL) t) b) p
+"""
+
+CHUNKS_SQL = f"""
+    SELECT sha256(concat_ws('|', document_id, type, page, table_index, position)) AS chunk_id,
+           document_id, tenant_id, page, type,
+           row_number() OVER (PARTITION BY document_id
+                              ORDER BY type, page, table_index, position) - 1 AS chunk_index,
+           table_index, row_group, text
+    FROM (SELECT * FROM ({PROSE_CHUNKS_SQL}) UNION ALL BY NAME SELECT * FROM ({TABLE_CHUNKS_SQL})) c
+"""
