@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from premia.operators.audit import CHUNK_TRACE, SQL_TRACE, audit_records
+from premia.operators.recommendations import RECOMMENDATION_TYPE
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -228,3 +231,181 @@ CHUNKS_SQL = f"""
            table_index, row_group, text
     FROM (SELECT * FROM ({PROSE_CHUNKS_SQL}) UNION ALL BY NAME SELECT * FROM ({TABLE_CHUNKS_SQL})) c
 """
+
+
+# --- requests, queries and audit records, read from events --------------------
+
+def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as HTTP requests; the value is the latency in tenths of a second."""
+    key = F.get_json_object("props", "$.k").cast("int")
+    return table(spark, sf_dir, "events").select(
+        F.when(F.col("event_type").isin("view", "click"), "GET").otherwise("POST").alias("method"),
+        F.concat(F.lit("/api/"), "event_type").alias("endpoint"),
+        F.when(key < 90, 200).when(key < 97, 404).otherwise(500).alias("status"),
+        (F.col("value") / 100).alias("latency"), "ts", "event_id",
+    )
+
+
+REQUEST_LOG_SQL = """
+    SELECT CASE WHEN event_type IN ('view', 'click') THEN 'GET' ELSE 'POST' END AS method,
+           '/api/' || event_type AS endpoint,
+           CASE WHEN (props::json ->> 'k')::int < 90 THEN 200
+                WHEN (props::json ->> 'k')::int < 97 THEN 404 ELSE 500 END AS status,
+           value / 100 AS latency, ts, event_id
+    FROM events
+"""
+
+
+def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as questions: a user is a session, errors are scenario runs, some name datasets."""
+    key = F.get_json_object("props", "$.k").cast("int")
+    no_ids = F.array().cast("array<string>")
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("query_id"), F.col("user_id").alias("session_id"),
+        F.concat(F.lit("tenant-"), F.col("user_id") % 3).alias("tenant_id"),
+        F.col("ts").alias("asked_at"),
+        F.concat(F.lit("Should we reprice "), "event_type", F.lit(" at "), key, F.lit("?"))
+        .alias("question"),
+        F.concat(F.lit("Move "), "event_type", F.lit(" by "), key, F.lit("%")).alias("action"),
+        F.when(key < 20, F.array(F.concat(F.lit("ds-"), key))).otherwise(no_ids)
+        .alias("dataset_ids"),
+        F.when(key > 80, F.array(F.concat(F.lit("doc-"), key), F.lit("doc-0"))).otherwise(no_ids)
+        .alias("document_ids"),
+        F.when(F.col("event_type") == "error", "Stress").alias("scenario_label"),
+        F.when(F.col("event_type") == "error",
+               F.concat(F.lit('{"claims_increase": '), key, F.lit("}")))
+        .alias("scenario_assumptions"),
+        (F.col("event_type") == "error").alias("is_ephemeral"),
+    )
+
+
+QUERY_LOG_SQL = """
+    SELECT event_id AS query_id, user_id AS session_id, 'tenant-' || (user_id % 3) AS tenant_id,
+           ts AS asked_at, 'Should we reprice ' || event_type || ' at ' || k || '?' AS question,
+           'Move ' || event_type || ' by ' || k || '%' AS action,
+           CASE WHEN k < 20 THEN ['ds-' || k] ELSE []::varchar[] END AS dataset_ids,
+           CASE WHEN k > 80 THEN ['doc-' || k, 'doc-0'] ELSE []::varchar[] END AS document_ids,
+           CASE WHEN event_type = 'error' THEN 'Stress' END AS scenario_label,
+           CASE WHEN event_type = 'error' THEN '{"claims_increase": ' || k || '}' END
+               AS scenario_assumptions,
+           event_type = 'error' AS is_ephemeral
+    FROM (SELECT *, (props::json ->> 'k')::int AS k FROM events) e
+"""
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation rows as messages, two to a turn."""
+    return table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("session_id"), F.col("turn").alias("message_index"),
+        F.floor(F.col("turn") / 2).alias("turn_index"), "role", F.col("text").alias("content"))
+
+
+MESSAGES_SQL = """
+    SELECT conv_id AS session_id, turn AS message_index, turn // 2 AS turn_index, role,
+           text AS content
+    FROM conversations
+"""
+
+
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation messages as model replies: JSON, fenced JSON, prose or JSON with bad fields.
+
+    The message's place decides which; the text becomes the action.
+    """
+    place = F.col("turn") % 6
+    confidence = F.element_at(F.array(*map(F.lit, ("high", "medium", "low", "certain"))),
+                              (F.col("conv_id") % 4 + 1).cast("int"))
+    body = F.to_json(F.struct(
+        F.substring(F.regexp_replace("text", r"[^\p{L} ]", ""), 1, 40).alias("action"),
+        confidence.alias("confidence"), F.col("role").alias("confidence_rationale"),
+        F.array(F.struct(F.col("role").alias("text"), F.lit("memo").alias("source"),
+                         F.col("turn").cast("int").alias("page"), F.lit("why").alias("relevance")))
+        .alias("document_evidence"),
+        F.array(F.lit("gap"), F.col("role")).alias("conflicts"),
+        F.when(F.col("conv_id") % 2 == 0, F.array(F.lit("step 1"), F.lit("step 2"), F.lit("end")))
+        .otherwise(F.array().cast("array<string>")).alias("reasoning_steps"),
+    ))
+    return table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("reply_id"), "conv_id", "turn", "role",
+        "text",
+        F.when(place == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```\nDone.")))
+        .when(place == 2, F.concat(F.lit("  ```\n"), body, F.lit("```")))
+        .when(place == 3, F.col("text"))
+        .when(place == 4, F.regexp_replace(body, '"action"', '"act"'))
+        .otherwise(body).alias("raw_model_output"),
+    )
+
+
+def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question of the query log as an audit record with SQL and chunk traces."""
+    log = query_log(spark, sf_dir).withColumn("n", (F.col("query_id") % 5).cast("int"))
+    sql = F.transform(
+        F.sequence(F.lit(1), F.col("n")),
+        lambda i: F.struct(
+            F.concat(F.lit("SELECT "), i, F.lit(" FROM t_"), "session_id").alias("sql"),
+            F.lit("[]").alias("rows_json"), i.cast("bigint").alias("row_count"),
+            F.when(i == 4, "timeout").alias("error")))
+    chunks = F.transform(
+        F.sequence(F.lit(1), F.lit(6)),
+        lambda i: F.struct(
+            F.concat("question", F.lit(" chunk "), i).alias("text"),
+            F.concat(F.lit("document-"), F.col("session_id")).alias("document_id"),
+            (i + F.col("n")).cast("bigint").alias("page"), F.lit("text").alias("type"),
+            i.cast("bigint").alias("chunk_index"), (1.0 / (i + 1)).alias("similarity_score"),
+            F.lit(None).cast("double").alias("rerank_score")))
+    recommendation = F.when(F.col("n") != 3, F.struct(
+        F.col("action"), F.lit("high").alias("confidence"),
+        F.lit("Strong signal").alias("confidence_rationale"),
+        F.array().alias("document_evidence"), F.array().alias("sql_evidence"),
+        F.when(F.col("n") == 1, F.array(F.lit("memo disagrees"), F.col("question")))
+        .otherwise(F.array()).alias("conflicts"),
+        F.array(F.lit("step 1")).alias("reasoning_steps"),
+        F.array().alias("uncertainty_sources")).cast(RECOMMENDATION_TYPE))
+    empty_sql, empty_chunks = F.array().cast(SQL_TRACE), F.array().cast(CHUNK_TRACE)
+    results = log.withColumn(
+        "sql_queries", F.when(F.col("n") > 0, sql.cast(SQL_TRACE)).otherwise(empty_sql)
+    ).withColumn(
+        "retrieved_chunks",
+        F.when(F.col("n") % 2 == 0, chunks.cast(CHUNK_TRACE)).otherwise(empty_chunks)
+    ).withColumn("recommendation", recommendation).withColumn(
+        "raw_model_output", F.to_json("recommendation"))
+    return audit_records(results, "model-l", "model-e")
+
+
+AUDIT_LOG_SQL = f"""
+    SELECT sha256('audit|' || query_id) AS id, tenant_id, session_id,
+           sha256('recommendation|' || query_id) AS recommendation_id, question AS query_text,
+           query_id, query_id % 5 AS n, action, asked_at AS created_at, scenario_label,
+           scenario_assumptions, dataset_ids, document_ids
+    FROM ({QUERY_LOG_SQL}) q
+"""
+
+
+def decision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as decisions on the records, many on the same few, some of them invalid."""
+    key = F.col("o_orderkey")
+    action = F.element_at(F.array(*map(F.lit, ("accept", "reject", "review", "approve", "reject"))),
+                          (key % 5 + 1).cast("int"))
+    target = F.when(F.col("o_orderstatus") == "P", F.lit(1)).otherwise(F.col("o_custkey") * 3)
+    return table(spark, sf_dir, "orders").select(
+        key.alias("decision_id"),
+        F.sha2(F.concat(F.lit("audit|"), target), 256).alias("audit_id"),
+        F.concat(F.lit("tenant-"), F.col("o_custkey") % 3).alias("tenant_id"),
+        action.alias("action"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", "  ")
+        .when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("comment"),
+        F.col("o_orderdate").alias("decided_at"),
+    )
+
+
+DECISION_LOG_SQL = """
+    SELECT o_orderkey AS decision_id,
+           sha256('audit|' || CASE WHEN o_orderstatus = 'P' THEN 1 ELSE o_custkey * 3 END)
+               AS audit_id,
+           'tenant-' || (o_custkey % 3) AS tenant_id,
+           (['accept', 'reject', 'review', 'approve', 'reject'])[o_orderkey % 5 + 1] AS action,
+           CASE WHEN o_orderpriority = '1-URGENT' THEN '  '
+                WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority END AS comment,
+           o_orderdate AS decided_at
+    FROM orders
+"""

@@ -67,7 +67,7 @@ def main() -> None:
     spark = build_session("parity", "local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
         "spark.driver.memory": "8g"})
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     con = oracle(sf_dir)
     sqls, failed = e.oracle_sql(), []
     for name, build in e.queries().items():
@@ -81,7 +81,7 @@ def main() -> None:
                 n = len(build(spark, sf_dir).collect())
                 problem = None if n else "no rows"
         except Exception as err:  # report every query, then fail once
-            problem = f"{type(err).__name__}: {str(err)[:1500]}"
+            problem = f"{type(err).__name__}: {str(err)[:500]}"
         note = "" if name in sqls else " (rows only)"
         print(f"{'ok  ' if problem is None else 'FAIL'} {name}{note} {time.time() - start:.2f}s"
               + (f": {problem}" if problem else ""), flush=True)
