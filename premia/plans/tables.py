@@ -236,9 +236,13 @@ CHUNKS_SQL = f"""
 # --- requests, queries and audit records, read from events --------------------
 
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as HTTP requests; the value is the latency in tenths of a second."""
+    return request_log_of(table(spark, sf_dir, "events"))
+
+
+def request_log_of(events: DataFrame) -> DataFrame:
+    """Events as HTTP requests; the value is the latency in hundredths of a second."""
     key = F.get_json_object("props", "$.k").cast("int")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.when(F.col("event_type").isin("view", "click"), "GET").otherwise("POST").alias("method"),
         F.concat(F.lit("/api/"), "event_type").alias("endpoint"),
         F.when(key < 90, 200).when(key < 97, 404).otherwise(500).alias("status"),
@@ -257,10 +261,14 @@ REQUEST_LOG_SQL = """
 
 
 def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return query_log_of(table(spark, sf_dir, "events"))
+
+
+def query_log_of(events: DataFrame) -> DataFrame:
     """Events as questions: a user is a session, errors are scenario runs, some name datasets."""
     key = F.get_json_object("props", "$.k").cast("int")
     no_ids = F.array().cast("array<string>")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("query_id"), F.col("user_id").alias("session_id"),
         F.concat(F.lit("tenant-"), F.col("user_id") % 3).alias("tenant_id"),
         F.col("ts").alias("asked_at"),
