@@ -7,16 +7,20 @@ from pyspark.sql import Column, functions as F
 # Fixed value: the characters on which whitespace splitting breaks (ASCII blanks, the four
 # separator controls, NEL and all Unicode separators).
 BLANK_CLASS = r"[\s\x0B\x1c-\x1f\x{85}\p{Z}]"
+BLANKS = (
+    " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip_blanks(text: Column) -> Column:
     """Drop leading and trailing whitespace, Unicode blanks included."""
-    return F.regexp_replace(text, rf"^{BLANK_CLASS}+|{BLANK_CLASS}+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def is_blank(text: Column) -> Column:
     """True for null, empty and whitespace-only text."""
-    return ~F.coalesce(text, F.lit("")).rlike(rf"[^\s\x0B\x1c-\x1f\x{{85}}\p{{Z}}]")
+    return F.coalesce(strip_blanks(text), F.lit("")) == ""
 
 
 def words(text: Column) -> Column:
@@ -63,14 +67,10 @@ def normalize_sql(reply: Column) -> Column:
 
     Code fences go, text before the first word SELECT goes, text after the first ``;`` goes.
     """
-    bare = strip_blanks(F.regexp_replace(strip_blanks(reply), "(?i)```(?:sql)?", ""))
-    # lazy prefix + rest: one capture instead of a position lookup
-    start = F.regexp_extract(bare, r"(?is)^.*?\b(SELECT\b.*)$", 1)
-    tail = F.when(start == "", bare).otherwise(start)
-    return strip_blanks(
-        F.when(F.locate(";", tail) > 0, F.concat(F.substring_index(tail, ";", 1), F.lit(";")))
-        .otherwise(tail)
-    )
+    bare = F.regexp_replace(reply, "(?i)```(?:sql)?", "")
+    # each step refers to the one before it once, so nothing is computed twice
+    from_select = F.regexp_replace(bare, r"(?is)\A.*?\b(?=SELECT\b)", "")
+    return strip_blanks(F.regexp_replace(from_select, r"(?s);.*\z", ";"))
 
 
 def strip_json_fence(reply: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from premia.functions.text import is_blank, render_rows, words
-from premia.operators.ordering import number_along
+from premia.operators.ordering import total_before
 from premia.settings import (
     CHUNK_OVERLAP_TOKENS, CHUNK_TOKENS, TABLE_GROUP_LINES, TABLE_WORD_LIMIT, TOKENS_PER_WORD,
 )
@@ -81,31 +81,42 @@ def chunk_id(document_id: Column, kind: Column, page: Column, item: Column, posi
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 
+def _chunks_per_page(n_words: Column, size: int, overlap: int) -> Column:
+    width, step = window_sizes(size, overlap)
+    return F.when(n_words == 0, 0).otherwise(
+        1 + F.ceil(F.greatest(n_words - width, F.lit(0)) / step))
+
+
 def chunk_documents(blocks: DataFrame, size: int = CHUNK_TOKENS,
                     overlap: int = CHUNK_OVERLAP_TOKENS) -> DataFrame:
     """All chunks of all documents: tables first, then prose by page, numbered per document.
 
-    The numbering buckets by page range, so a document that holds much of the corpus is still
-    numbered by many tasks.
+    A block (document_id, kind, page, table_index) must be unique. Numbers are counted over one
+    light row per block, in buckets of pages, so a document that holds much of the corpus is
+    numbered by many tasks; the texts are only joined to their block's first number.
     """
-    place = ["document_id", "tenant_id", "page", "table_index"]
-    tables = chunk_tables(blocks.filter(F.col("kind") == "table")
-                          .select(*place, "rows")) \
-        .withColumn("type", F.lit("table"))
-    prose = chunk_text(blocks.filter(F.col("kind") == "text").select(*place, "text"),
-                       size, overlap) \
-        .withColumn("type", F.lit("text")).withColumn("row_group", F.lit(None).cast("int")) \
-        .withColumn("table_index", F.lit(-1))
-    both = tables.unionByName(prose)
+    prose = blocks.filter(F.col("kind") == "text").withColumn("table_index", F.lit(-1))
+    tables = blocks.filter(F.col("kind") == "table")
+    place = ["document_id", "page", "table_index"]
+    kept = [*place, "tenant_id"]
+    table_chunks = chunk_tables(tables.select(*kept, "rows")).withColumn("type", F.lit("table"))
+    prose_chunks = chunk_text(prose.select(*kept, "text"), size, overlap) \
+        .withColumn("type", F.lit("text")).withColumn("row_group", F.lit(None).cast("int"))
+    counts = table_chunks.groupBy(*place, "type").agg(F.count(F.lit(1)).alias("_n")).unionByName(
+        prose.select(*place, F.lit("text").alias("type"), _chunks_per_page(
+            F.size(words(F.col("text"))), size, overlap).alias("_n")))
     is_prose = F.when(F.col("type") == "text", 1).otherwise(0)
     bucket = is_prose.cast("bigint") * (1 << 40) + F.floor(F.col("page") / _PAGES_PER_BUCKET)
-    numbered = number_along(
-        both, ["document_id"], [is_prose, F.col("page"), F.col("table_index"), F.col("position")],
-        bucket, "chunk_index")
+    first = total_before(counts, ["document_id"],
+                         [is_prose, F.col("page"), F.col("table_index")], bucket,
+                         F.col("_n"), "_first")
+    numbered = table_chunks.unionByName(prose_chunks).join(
+        first.select(*place, "type", "_first"), [*place, "type"])
     return numbered.select(
         chunk_id(F.col("document_id"), F.col("type"), F.col("page"), F.col("table_index"),
                  F.col("position")).alias("chunk_id"),
-        "document_id", "tenant_id", "page", "type", "chunk_index", "table_index", "row_group",
+        "document_id", "tenant_id", "page", "type",
+        (F.col("_first") + F.col("position")).alias("chunk_index"), "table_index", "row_group",
         "text",
     )
 

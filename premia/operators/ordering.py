@@ -17,19 +17,27 @@ def _matching(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 def number_along(df: DataFrame, keys: list[str], order_by: list[str | Column], bucket: Column,
                  name: str) -> DataFrame:
     """Add ``name``: 0, 1, 2 ... within ``keys`` along ``order_by``. Keys must not be null."""
+    return total_before(df, keys, order_by, bucket, F.lit(1), name)
+
+
+def total_before(df: DataFrame, keys: list[str], order_by: list[str | Column], bucket: Column,
+                 amount: Column, name: str) -> DataFrame:
+    """Add ``name``: the sum of ``amount`` over the earlier rows of the same key, 0 for the first."""
     parts = [*keys, "_bucket"]
-    bucketed = df.withColumn("_bucket", bucket)
-    inside = Window.partitionBy(*parts).orderBy(*order_by)
+    bucketed = df.withColumn("_bucket", bucket).withColumn("_amount", amount)
+    inside = Window.partitionBy(*parts).orderBy(*order_by) \
+        .rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy(*keys).orderBy("_bucket") \
         .rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        bucketed.groupBy(*parts).agg(F.count(F.lit(1)).alias("_n"))
-        .select(*parts, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+        bucketed.groupBy(*parts).agg(F.sum("_amount").alias("_total"))
+        .select(*parts, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
     )
+    local = bucketed.withColumn("_local", F.coalesce(F.sum("_amount").over(inside), F.lit(0)))
     return (
-        _matching(bucketed.withColumn("_local", F.row_number().over(inside)), offsets, parts)
-        .withColumn(name, F.col("_local") - 1 + F.col("_offset"))
-        .drop("_bucket", "_local", "_offset")
+        _matching(local, offsets, parts)
+        .withColumn(name, F.col("_local") + F.col("_offset"))
+        .drop("_bucket", "_amount", "_local", "_offset")
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 # A column with fewer values than this is searched whole for its quartiles.
 SMALL_COLUMN = 100_000
@@ -35,10 +35,10 @@ def _long(df: DataFrame, fields: list[T.StructField], as_type: str) -> DataFrame
     )
 
 
-def _summaries(df: DataFrame, approx: bool) -> DataFrame:
-    """One row per column from a single pass over the wide table."""
-    entries = []
+def _summaries(df: DataFrame, approx: bool) -> list[dict]:
+    """Per-column figures from a single pass over the wide table; one row reaches the driver."""
     numeric = {f.name for f in numeric_fields(df)}
+    marks = [q + side for q in _QUARTILES.values() for side in (-_BRACKET, _BRACKET)]
     aggregates = [F.count(F.lit(1)).alias("rows")]
     for i, field in enumerate(df.schema.fields):
         value = _clean(field)
@@ -47,71 +47,66 @@ def _summaries(df: DataFrame, approx: bool) -> DataFrame:
             aggregates.append(F.approx_count_distinct(value).alias(f"u{i}"))
         if field.name in numeric:
             number = value.cast("double")
-            marks = [q + side for q in _QUARTILES.values() for side in (-_BRACKET, _BRACKET)]
             aggregates += [
                 F.avg(number).alias(f"a{i}"), F.stddev_samp(number).alias(f"s{i}"),
                 F.min(number).alias(f"l{i}"), F.max(number).alias(f"h{i}"),
                 F.percentile_approx(
-                    number, marks + list(_QUARTILES.values()), _SKETCH_ACCURACY).alias(f"q{i}"),
+                    number, list(_QUARTILES.values()) if approx else marks, _SKETCH_ACCURACY
+                ).alias(f"q{i}"),
             ]
-    none = F.lit(None).cast("double")
-    for i, field in enumerate(df.schema.fields):
-        is_number = field.name in numeric
-        entries.append(F.struct(
-            F.lit(i).alias("position"), F.lit(field.name).alias("column_name"),
-            F.lit(field.dataType.simpleString()).alias("dtype"),
-            F.col("rows").alias("row_count"), F.col(f"n{i}").alias("value_count"),
-            (F.col(f"u{i}") if approx else F.lit(None).cast("bigint")).alias("approx_unique"),
-            *[(F.col(f"{k}{i}") if is_number else none).alias(alias) for k, alias in
-              (("a", "mean"), ("s", "std"), ("l", "min"), ("h", "max"))],
-            (F.col(f"q{i}") if is_number else F.lit(None).cast("array<double>")).alias("marks"),
-        ))
-    return df.agg(*aggregates).select(F.explode(F.array(*entries)).alias("e")).select("e.*")
-
-
-def _exact_quartiles(values: DataFrame, summaries: DataFrame) -> DataFrame:
+    row = df.agg(*aggregates).first().asDict()
+    return [
+        {
+            "column_name": field.name, "position": i, "dtype": field.dataType.simpleString(),
+            "row_count": row["rows"], "value_count": row[f"n{i}"],
+            "approx_unique": row.get(f"u{i}"), "mean": row.get(f"a{i}"), "std": row.get(f"s{i}"),
+            "min": row.get(f"l{i}"), "max": row.get(f"h{i}"), "marks": row.get(f"q{i}"),
+        }
+        for i, field in enumerate(df.schema.fields)
+    ]
+
+
+def _value_counts(df: DataFrame, fields: list[T.StructField], as_type: str) -> DataFrame:
+    """(column_name, value, n): every distinct value once, counted map-side first."""
+    return _long(df, fields, as_type).groupBy("column_name", "value").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def _local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows per column of the profiled table; broadcast, since only the schema bounds it."""
+    return F.broadcast(spark.createDataFrame(rows, schema))
+
+
+def _exact_quartiles(counts: DataFrame, summaries: list[dict]) -> DataFrame:
     """Quartiles by linear interpolation, found by counting instead of by holding all values.
 
-    A sketch gives a narrow bracket around each quartile. Values under the bracket are only
-    counted; values inside it are counted per distinct value, then per cell of an even split of
-    the bracket, and only the cell that holds the wanted rank is put in order.
+    A sketch has given a narrow bracket around each quartile. Values under the bracket are only
+    counted; values inside it are counted per cell of an even split of the bracket, and only the
+    cell that holds the wanted rank is put in order.
     """
-    wanted = F.explode(F.array(*[
-        F.struct(F.lit(name).alias("quartile"), F.lit(p).alias("p"), F.lit(i).alias("i"))
-        for i, (name, p) in enumerate(_QUARTILES.items())
-    ]))
-    small = F.col("value_count") <= SMALL_COLUMN
-    brackets = (
-        summaries.filter((F.col("value_count") > 0) & F.col("marks").isNotNull())
-        .select("*", wanted.alias("w"))
-        .select(
-            "column_name", "w.quartile",
-            (F.col("w.p") * (F.col("value_count") - 1)).alias("rank"),
-            F.when(small, F.col("min")).otherwise(F.get("marks", F.col("w.i") * 2)).alias("low"),
-            F.when(small, F.col("max"))
-            .otherwise(F.get("marks", F.col("w.i") * 2 + 1)).alias("high"),
-        )
-    )
+    rows = []
+    for s in summaries:
+        if not s["value_count"] or s["marks"] is None:
+            continue
+        small = s["value_count"] <= SMALL_COLUMN
+        for i, (name, p) in enumerate(_QUARTILES.items()):
+            low, high = (s["min"], s["max"]) if small else s["marks"][2 * i:2 * i + 2]
+            rows.append((s["column_name"], name, p * (s["value_count"] - 1), low, high))
+    brackets = _local(counts.sparkSession, rows, "column_name string, quartile string, "
+                      "rank double, low double, high double")
     key = ["column_name", "quartile"]
-    # three rows per column: a bound set by the schema, so the broadcast cannot grow with data
-    counted = (
-        values.join(F.broadcast(brackets), "column_name")
-        .filter(F.col("value") <= F.col("high"))
-        .groupBy(*key, "rank", "low", "high",
-                 F.when(F.col("value") >= F.col("low"), F.col("value")).alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
     share = (F.col("value") - F.col("low")) / (F.col("high") - F.col("low")) * _CELLS
     cell = (
-        F.when(F.col("value").isNull(), -1)
+        F.when(F.col("value") < F.col("low"), -1)
         .when((F.col("high") <= F.col("low")) | F.isnan(share), 0)
         .otherwise(F.least(F.floor(share), F.lit(_CELLS - 1)))
     )
-    counted = counted.withColumn("cell", cell.cast("int"))
+    near = counts.join(brackets, "column_name").filter(F.col("value") <= F.col("high")) \
+        .withColumn("cell", cell.cast("int"))
     before = Window.partitionBy(*key).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     first, last = F.floor("rank"), F.ceil("rank")
     cells = (
-        counted.groupBy(*key, "rank", "cell").agg(F.sum("n").alias("n"))
+        near.groupBy(*key, "rank", "cell").agg(F.sum("n").alias("n"))
         .withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
         .filter((F.col("before") <= last) & (F.col("before") + F.col("n") > first))
         .select(*key, "cell", "before")
@@ -119,7 +114,7 @@ def _exact_quartiles(values: DataFrame, summaries: DataFrame) -> DataFrame:
     inside = Window.partitionBy(*key, "cell").orderBy("value") \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = (
-        counted.join(cells, [*key, "cell"])
+        near.join(cells, [*key, "cell"])
         .withColumn("end", F.col("before") + F.sum("n").over(inside))
         .withColumn("start", F.col("end") - F.col("n"))
     )
@@ -136,48 +131,65 @@ def _exact_quartiles(values: DataFrame, summaries: DataFrame) -> DataFrame:
     )
 
 
-def _outliers(values: DataFrame, quartiles: DataFrame) -> DataFrame:
+def _outliers(counts: DataFrame, quartiles: DataFrame) -> DataFrame:
     """Values strictly outside p25 - 1.5 IQR ... p75 + 1.5 IQR, per column."""
     spread = (F.col("p75") - F.col("p25")) * 1.5
     fences = quartiles.select(
         "column_name", (F.col("p25") - spread).alias("low"), (F.col("p75") + spread).alias("high")
     )
+    outside = (F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))
     # one row per column
-    return (
-        values.join(F.broadcast(fences), "column_name")
-        .groupBy("column_name")
-        .agg(F.count_if((F.col("value") < F.col("low")) | (F.col("value") > F.col("high")))
-             .alias("outlier_count"))
-    )
+    return counts.join(F.broadcast(fences), "column_name").groupBy("column_name").agg(
+        F.sum(F.when(outside, F.col("n")).otherwise(0)).alias("outlier_count"))
 
 
 def profile_columns(df: DataFrame, approx: bool = False, digits: int = 4) -> DataFrame:
     """One row per column: counts, nulls, distinct values, moments, quartiles, outliers.
 
-    Exact by default. ``approx=True`` takes distinct counts and quartiles from sketches, which
-    leaves one pass for them and one for the outliers.
+    Exact by default: one pass for the moments, one that counts distinct values; distinct counts,
+    quartiles and outliers all follow from those value counts. ``approx=True`` takes distinct
+    counts and quartiles from sketches, so that no value is ever shuffled.
     """
+    spark = df.sparkSession
     summaries = _summaries(df, approx)
     numbers = numeric_fields(df)
-    profile = summaries
+    profile = _local(
+        spark,
+        [tuple(s[k] for k in ("column_name", "position", "dtype", "row_count", "value_count",
+                              "approx_unique", "mean", "std", "min", "max")) for s in summaries],
+        "column_name string, position int, dtype string, row_count bigint, value_count bigint, "
+        "approx_unique bigint, mean double, std double, min double, max double")
+    quartiles = spark.createDataFrame(
+        [(s["column_name"], *map(float, s["marks"])) for s in summaries if s["marks"]],
+        "column_name string, p25 double, p50 double, p75 double") if approx else None
+    outliers = None
     if approx:
         profile = profile.withColumn("unique_count", F.col("approx_unique"))
-        quartiles = summaries.filter(F.col("marks").isNotNull()).select(
-            "column_name", *[F.get("marks", F.lit(len(_QUARTILES) * 2 + i)).alias(q)
-                             for i, q in enumerate(_QUARTILES)])
+        if numbers:
+            outliers = _outliers(_long(df, numbers, "double").withColumn("n", F.lit(1)), quartiles)
     else:
-        # (column, value) pairs are de-duplicated map-side before they are counted
-        unique = (
-            _long(df, df.schema.fields, "string").groupBy("column_name")
-            .agg(F.count_distinct("value").alias("unique_count"))
-        )
-        profile = profile.join(unique, "column_name", "left")
-        quartiles = None
-    if numbers:
-        values = _long(df, numbers, "double")
-        quartiles = quartiles if approx else _exact_quartiles(values, summaries)
+        # integers too wide for a double are told apart as text
+        wide = {s["column_name"] for s in summaries
+                if s["max"] is not None and max(abs(s["min"]), abs(s["max"])) >= 2**53}
+        as_text = [f for f in df.schema.fields if f not in numbers or (
+            f.name in wide and not isinstance(f.dataType, (T.DoubleType, T.FloatType)))]
+        distinct = []
+        if numbers:
+            counts = _value_counts(df, numbers, "double")
+            quartiles = _exact_quartiles(counts, summaries)
+            outliers = _outliers(counts, quartiles)
+            as_number = [f.name for f in numbers if f not in as_text]
+            distinct.append(counts.filter(F.col("column_name").isin(as_number)))
+        if as_text:
+            distinct.append(_value_counts(df, as_text, "string"))
+        unique = [d.groupBy("column_name").agg(F.count("n").alias("unique_count"))
+                  for d in distinct]
+        profile = profile.join(
+            unique[0] if len(unique) == 1 else unique[0].unionByName(unique[1]),
+            "column_name", "left")
+    if outliers is not None:
         profile = profile.join(quartiles, "column_name", "left") \
-            .join(_outliers(values, quartiles), "column_name", "left")
+            .join(outliers, "column_name", "left")
     else:
         for name in _QUARTILES:
             profile = profile.withColumn(name, F.lit(None).cast("double"))

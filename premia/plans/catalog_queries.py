@@ -13,6 +13,7 @@ from premia.plans.tables import (
     DATASET_CATALOG_SQL, DOCUMENT_CATALOG_SQL, UPLOADS_SQL, dataset_catalog, dataset_requests,
     document_catalog, table, uploads,
 )
+from premia.session import spread
 from premia.sources.catalog import (
     list_assets, newest_per_key, register_assets, resolve_datasets, workspace_kpis,
 )
@@ -56,9 +57,13 @@ def _profile_sql(name: str, columns: list[tuple[str, str]]) -> str:
     return "\nUNION ALL\n".join(parts)
 
 
+def _spread_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_shipdate")
+
+
 @query("column_profile", _profile_sql("lineitem", _LINEITEM))
 def _column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile_columns(table(spark, sf_dir, "lineitem"))
+    return profile_columns(_spread_items(spark, sf_dir))
 
 
 @query("column_profile_customer", _profile_sql("customer", _CUSTOMER))
@@ -68,7 +73,7 @@ def _column_profile_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("column_profile_sketched")
 def _column_profile_sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile_columns(table(spark, sf_dir, "lineitem"), approx=True)
+    return profile_columns(_spread_items(spark, sf_dir), approx=True)
 
 
 @query("schema_context", """
@@ -79,7 +84,7 @@ def _column_profile_sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM lineitem
 """)
 def _schema_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    profile = profile_columns(table(spark, sf_dir, "lineitem"), approx=True)
+    profile = profile_columns(_spread_items(spark, sf_dir), approx=True)
     return schema_context(profile.withColumn("table_name", F.lit("lineitem")))
 
 

@@ -24,6 +24,7 @@ from premia.plans.tables import (
     AUDIT_LOG_SQL, DECISION_LOG_SQL, MESSAGES_SQL, POLICY_BOOK_SQL, QUERY_LOG_SQL, REQUEST_LOG_SQL,
     audit_log, decision_log, messages, policy_book, query_log, replies, request_log, table,
 )
+from premia.session import spread
 
 SCENARIOS = [("Base", {}), ("Stress", {"claims_increase": 0.25}),
              ("Boom", {"claims_increase": -0.1, "note": "growth"})]
@@ -257,7 +258,7 @@ def sql_log(spark: SparkSession, sf_dir: str) -> DataFrame:
                     END AS reason FROM log) l
 """)
 def _screen_sql_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = sql_log(spark, sf_dir)
+    log = spread(sql_log(spark, sf_dir), "statement_id")
     entitlements = table(spark, sf_dir, "events").select("user_id").distinct().select(
         F.col("user_id").cast("string").alias("tenant_id"),
         F.concat(F.lit("t_"), "user_id", F.lit("_policies")).alias("table_name"))

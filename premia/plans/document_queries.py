@@ -16,6 +16,7 @@ from premia.plans.tables import (
     CHUNKS_SQL, PROSE_CHUNKS_SQL, TABLE_CHUNKS_SQL, all_blocks, prose_blocks, table, table_blocks,
 )
 from premia.sources.chunk_store import replace_document_chunks, stale_embeddings
+from premia.session import materialize
 
 _TERMS = "[x FOR x IN regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+') IF x <> '']"
 
@@ -149,7 +150,8 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top 20 English chunks for each benchmark text, with their texts."""
-    chunks = text_chunks(spark, sf_dir)
+    # the chunk store is a table in real use: written once, then read by every step below
+    chunks = materialize(text_chunks(spark, sf_dir), "chunks")
     asked = questions(spark, sf_dir)
     embedder = fit_tfidf(chunks)
     found = vector_top_k(embedder.embed(asked, "question"),
@@ -221,7 +223,7 @@ def _rerank_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM weight WHERE x <> 0
 """)
 def _embed_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = text_chunks(spark, sf_dir).select("chunk_id", "text")
+    chunks = materialize(text_chunks(spark, sf_dir).select("chunk_id", "text"), "chunks")
     embedded = embed_chunks(chunks, fit_tfidf(chunks))
     return embedded.select(
         "chunk_id", "embedding_model", F.posexplode("embedding").alias("slot", "x")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from premia.operators.audit import CHUNK_TRACE, SQL_TRACE, audit_records
 from premia.operators.recommendations import RECOMMENDATION_TYPE
+from premia.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -148,7 +149,7 @@ _BLOCK_COLUMNS = ["document_id", "tenant_id", "page", "kind", "table_index", "ro
 
 def prose_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as pages: one document per source and language, page number = doc_id."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
         F.concat_ws("-", "source", "lang").alias("document_id"),
         F.col("lang").alias("tenant_id"), F.col("doc_id").alias("page"),
         F.lit("text").alias("kind"), F.lit(-1).alias("table_index"),

@@ -56,3 +56,15 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     path = shared_folder(spark, purpose)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash ``df`` on unique ``keys`` if it has fewer partitions than the cluster has cores.
+
+    For work that is heavy per row (splitting text, sketches) on a table that came as one or two
+    files. A table of many files is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.rdd().getNumPartitions() >= 2 * cores:
+        return df
+    return df.repartition(cores, *keys)
