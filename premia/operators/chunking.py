@@ -43,12 +43,11 @@ def chunk_text(blocks: DataFrame, size: int = CHUNK_TOKENS, overlap: int = CHUNK
     width, step = window_sizes(size, overlap)
     others = [c for c in blocks.columns if c != text]
     split = blocks.select(*others, words(F.col(text)).alias("_words")) \
-        .withColumn("_n", F.size("_words")).filter(F.col("_n") > 0)
-    return split.select(
-        *others,
-        F.posexplode(_prose_windows(F.col("_words"), F.col("_n"), width, step))
-        .alias("position", text),
-    )
+        .withColumn("_n", F.size("_words"))
+    # a page without words has no windows; a filter on the count would split the text twice
+    windows = F.when(F.col("_n") > 0,
+                     _prose_windows(F.col("_words"), F.col("_n"), width, step))
+    return split.select(*others, F.posexplode(windows).alias("position", text))
 
 
 def chunk_tables(blocks: DataFrame) -> DataFrame:
@@ -109,7 +108,7 @@ def chunk_documents(blocks: DataFrame, size: int = CHUNK_TOKENS,
     bucket = is_prose.cast("bigint") * (1 << 40) + F.floor(F.col("page") / _PAGES_PER_BUCKET)
     first = total_before(counts, ["document_id"],
                          [is_prose, F.col("page"), F.col("table_index")], bucket,
-                         F.col("_n"), "_first")
+                         F.col("_n"), "_first", light=True)
     numbered = table_chunks.unionByName(prose_chunks).join(
         first.select(*place, "type", "_first"), [*place, "type"])
     return numbered.select(

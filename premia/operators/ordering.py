@@ -21,19 +21,31 @@ def number_along(df: DataFrame, keys: list[str], order_by: list[str | Column], b
 
 
 def total_before(df: DataFrame, keys: list[str], order_by: list[str | Column], bucket: Column,
-                 amount: Column, name: str) -> DataFrame:
-    """Add ``name``: the sum of ``amount`` over the earlier rows of the same key, 0 for the first."""
+                 amount: Column, name: str, light: bool = False) -> DataFrame:
+    """Add ``name``: the sum of ``amount`` over the earlier rows of the same key, 0 for the first.
+
+    The bucket totals come from a second, map-side combined pass over ``df``. With ``light`` they
+    come from the windowed rows themselves: right for rows that hold little but keys and order and
+    are costly to make, since both uses then share one shuffle and ``df`` is made once.
+    """
     parts = [*keys, "_bucket"]
     bucketed = df.withColumn("_bucket", bucket).withColumn("_amount", amount)
-    inside = Window.partitionBy(*parts).orderBy(*order_by) \
-        .rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*parts).orderBy(*order_by)
+    local = bucketed.withColumn("_local", F.sum("_amount").over(
+        inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_amount"))
+    if light:
+        last = Window.partitionBy(*parts).orderBy(*order_by)
+        totals = (
+            local.withColumn("_later", F.lead("_amount").over(last))
+            .filter(F.col("_later").isNull())
+            .select(*parts, (F.col("_local") + F.col("_amount")).alias("_total"))
+        )
+    else:
+        totals = bucketed.groupBy(*parts).agg(F.sum("_amount").alias("_total"))
     earlier = Window.partitionBy(*keys).orderBy("_bucket") \
         .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        bucketed.groupBy(*parts).agg(F.sum("_amount").alias("_total"))
-        .select(*parts, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
-    )
-    local = bucketed.withColumn("_local", F.coalesce(F.sum("_amount").over(inside), F.lit(0)))
+    offsets = totals.select(*parts, F.coalesce(F.sum("_total").over(earlier), F.lit(0))
+                            .alias("_offset"))
     return (
         _matching(local, offsets, parts)
         .withColumn(name, F.col("_local") + F.col("_offset"))

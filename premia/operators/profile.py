@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
+from premia.session import materialize
+
 # A column with fewer values than this is searched whole for its quartiles.
 SMALL_COLUMN = 100_000
-_SKETCH_ACCURACY = 10_000
+_SKETCH_ACCURACY = 1_000
 # Half width of the bracket around a quartile, as a share of the rows; several times the
 # sketch's rank error of 1 / _SKETCH_ACCURACY.
-_BRACKET = 0.0005
+_BRACKET = 0.005
 _QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 _CELLS = 1024
 
@@ -66,17 +68,34 @@ def _summaries(df: DataFrame, approx: bool) -> list[dict]:
     ]
 
 
-def _value_counts(df: DataFrame, fields: list[T.StructField], as_type: str) -> DataFrame:
-    """(column_name, value, n): every distinct value once, counted map-side first."""
-    return _long(df, fields, as_type).groupBy("column_name", "value").agg(
-        F.count(F.lit(1)).alias("n"))
-
-
 def _local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A few rows per column of the profiled table; broadcast, since only the schema bounds it."""
     return F.broadcast(spark.createDataFrame(rows, schema))
 
 
+def _value_counts(df: DataFrame, numbers: list[T.StructField], wide: set[str]) -> DataFrame:
+    """Every distinct value of every column once, with its count; counted map-side first.
+
+    Numbers go by ``value``, all others and the integers too wide for a double by ``text``;
+    ``tells`` marks the rows that stand for distinct values of their column.
+    """
+    def counted(fields: list[T.StructField], as_type: str) -> DataFrame:
+        return _long(df, fields, as_type).groupBy("column_name", "value").agg(
+            F.count(F.lit(1)).alias("n"))
+
+    as_text = [f for f in df.schema.fields if f not in numbers or f.name in wide]
+    parts = []
+    if numbers:
+        parts.append(counted(numbers, "double").select(
+            "column_name", "value", F.lit(None).cast("string").alias("text"), "n",
+            (~F.col("column_name").isin(*wide) if wide else F.lit(True)).alias("tells")))
+    if as_text:
+        parts.append(counted(as_text, "string").select(
+            "column_name", F.lit(None).cast("double").alias("value"),
+            F.col("value").alias("text"), "n", F.lit(True).alias("tells")))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def _exact_quartiles(counts: DataFrame, summaries: list[dict]) -> DataFrame:
     """Quartiles by linear interpolation, found by counting instead of by holding all values.
 
@@ -113,8 +132,9 @@ def _exact_quartiles(counts: DataFrame, summaries: list[dict]) -> DataFrame:
     )
     inside = Window.partitionBy(*key, "cell").orderBy("value") \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # one or two cells per quartile and column
     ranked = (
-        near.join(cells, [*key, "cell"])
+        near.join(F.broadcast(cells), [*key, "cell"])
         .withColumn("end", F.col("before") + F.sum("n").over(inside))
         .withColumn("start", F.col("end") - F.col("n"))
     )
@@ -124,86 +144,71 @@ def _exact_quartiles(counts: DataFrame, summaries: list[dict]) -> DataFrame:
 
     return (
         ranked.groupBy(*key, "rank").agg(at(first).alias("a"), at(last).alias("b"))
-        .withColumn("value", F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - first))
-        .groupBy("column_name")
-        .agg(*[F.max(F.when(F.col("quartile") == q, F.col("value"))).alias(q)
-               for q in _QUARTILES])
+        .select(*key, (F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - first))
+                .alias("value"))
     )
 
 
-def _outliers(counts: DataFrame, quartiles: DataFrame) -> DataFrame:
-    """Values strictly outside p25 - 1.5 IQR ... p75 + 1.5 IQR, per column."""
-    spread = (F.col("p75") - F.col("p25")) * 1.5
-    fences = quartiles.select(
-        "column_name", (F.col("p25") - spread).alias("low"), (F.col("p75") + spread).alias("high")
-    )
-    outside = (F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))
-    # one row per column
-    return counts.join(F.broadcast(fences), "column_name").groupBy("column_name").agg(
-        F.sum(F.when(outside, F.col("n")).otherwise(0)).alias("outlier_count"))
+def _fences(quartiles: dict[str, dict[str, float]]) -> list[tuple[str, float, float]]:
+    """p25 - 1.5 IQR and p75 + 1.5 IQR of each column."""
+    return [(c, q["p25"] - 1.5 * (q["p75"] - q["p25"]), q["p75"] + 1.5 * (q["p75"] - q["p25"]))
+            for c, q in quartiles.items()]
 
 
 def profile_columns(df: DataFrame, approx: bool = False, digits: int = 4) -> DataFrame:
     """One row per column: counts, nulls, distinct values, moments, quartiles, outliers.
 
-    Exact by default: one pass for the moments, one that counts distinct values; distinct counts,
-    quartiles and outliers all follow from those value counts. ``approx=True`` takes distinct
-    counts and quartiles from sketches, so that no value is ever shuffled.
+    Exact by default: one pass for the moments, one that counts distinct values and writes the
+    counts to the shared folder; distinct counts, quartiles and outliers all read those. With
+    ``approx`` distinct counts and quartiles come from sketches and no value is shuffled.
+    What reaches the driver is a few numbers per column.
     """
     spark = df.sparkSession
     summaries = _summaries(df, approx)
     numbers = numeric_fields(df)
-    profile = _local(
-        spark,
-        [tuple(s[k] for k in ("column_name", "position", "dtype", "row_count", "value_count",
-                              "approx_unique", "mean", "std", "min", "max")) for s in summaries],
-        "column_name string, position int, dtype string, row_count bigint, value_count bigint, "
-        "approx_unique bigint, mean double, std double, min double, max double")
-    quartiles = spark.createDataFrame(
-        [(s["column_name"], *map(float, s["marks"])) for s in summaries if s["marks"]],
-        "column_name string, p25 double, p50 double, p75 double") if approx else None
-    outliers = None
     if approx:
-        profile = profile.withColumn("unique_count", F.col("approx_unique"))
-        if numbers:
-            outliers = _outliers(_long(df, numbers, "double").withColumn("n", F.lit(1)), quartiles)
+        quartiles = {s["column_name"]: dict(zip(_QUARTILES, map(float, s["marks"])))
+                     for s in summaries if s["marks"]}
+        counts = _long(df, numbers, "double").withColumn("n", F.lit(1)) if numbers else None
+        unique = F.lit(None).cast("bigint")
     else:
-        # integers too wide for a double are told apart as text
-        wide = {s["column_name"] for s in summaries
-                if s["max"] is not None and max(abs(s["min"]), abs(s["max"])) >= 2**53}
-        as_text = [f for f in df.schema.fields if f not in numbers or (
-            f.name in wide and not isinstance(f.dataType, (T.DoubleType, T.FloatType)))]
-        distinct = []
+        whole = {f.name for f in numbers
+                 if not isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+        wide = {s["column_name"] for s in summaries if s["column_name"] in whole
+                and s["max"] is not None and max(abs(s["min"]), abs(s["max"])) >= 2**53}
+        counts = materialize(_value_counts(df, numbers, wide), "value-counts")
+        quartiles = {}
         if numbers:
-            counts = _value_counts(df, numbers, "double")
-            quartiles = _exact_quartiles(counts, summaries)
-            outliers = _outliers(counts, quartiles)
-            as_number = [f.name for f in numbers if f not in as_text]
-            distinct.append(counts.filter(F.col("column_name").isin(as_number)))
-        if as_text:
-            distinct.append(_value_counts(df, as_text, "string"))
-        unique = [d.groupBy("column_name").agg(F.count("n").alias("unique_count"))
-                  for d in distinct]
-        profile = profile.join(
-            unique[0] if len(unique) == 1 else unique[0].unionByName(unique[1]),
-            "column_name", "left")
-    if outliers is not None:
-        profile = profile.join(quartiles, "column_name", "left") \
-            .join(outliers, "column_name", "left")
+            for row in _exact_quartiles(counts, summaries).collect():
+                quartiles.setdefault(row["column_name"], {})[row["quartile"]] = row["value"]
+        unique = F.count_if("tells")
+    local = _local(
+        spark,
+        [(s["column_name"], s["position"], s["dtype"], s["row_count"], s["value_count"],
+          s["approx_unique"], s["mean"], s["std"], s["min"], s["max"],
+          *(quartiles.get(s["column_name"], {}).get(q) for q in _QUARTILES)) for s in summaries],
+        "column_name string, position int, dtype string, row_count bigint, value_count bigint, "
+        "approx_unique bigint, mean double, std double, min double, max double, p25 double, "
+        "p50 double, p75 double")
+    if counts is not None:
+        fences = _local(spark, _fences(quartiles), "column_name string, low double, high double")
+        outside = (F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))
+        counted = counts.join(fences, "column_name", "left").groupBy("column_name").agg(
+            unique.alias("unique") if not approx else F.max(unique).alias("unique"),
+            F.sum(F.when(outside, F.col("n")).otherwise(0)).alias("outliers"))
+        local = local.join(counted, "column_name", "left")
     else:
-        for name in _QUARTILES:
-            profile = profile.withColumn(name, F.lit(None).cast("double"))
-        profile = profile.withColumn("outlier_count", F.lit(None).cast("bigint"))
+        local = local.withColumn("unique", unique).withColumn("outliers", unique)
     nulls = F.col("row_count") - F.col("value_count")
-    return profile.select(
+    return local.select(
         "column_name", "position", "dtype", "row_count",
         F.lit(len(df.columns)).alias("column_count"),
         nulls.alias("null_count"),
         F.when(F.col("row_count") > 0, F.round(nulls / F.col("row_count") * 100, 2))
         .otherwise(0.0).alias("null_pct"),
-        F.coalesce("unique_count", F.lit(0)).cast("bigint").alias("unique_count"),
+        F.coalesce("unique", "approx_unique", F.lit(0)).cast("bigint").alias("unique_count"),
         *[F.round(c, digits).alias(c) for c in ("mean", "std", "min", "max", *_QUARTILES)],
-        "outlier_count",
+        F.when(F.col("p25").isNotNull(), F.col("outliers")).alias("outlier_count"),
     )
 
 

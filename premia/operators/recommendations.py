@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from premia.functions.text import strip_json_fence
-from premia.settings import CONFIDENCE_LEVELS
+from premia.session import materialize
+from premia.settings import CONFIDENCE_LEVELS, JSON_ATTEMPTS
 
 # --- fixed values: the shape of a recommendation ------------------------------
 RECOMMENDATION_FIELDS = (
@@ -52,6 +55,38 @@ def parse_recommendations(replies: DataFrame, reply: str = "raw_model_output") -
     )
 
 
+def generate_recommendations(prompts: DataFrame, generate: Callable[[Column], Column],
+                             attempts: int = 1 + JSON_ATTEMPTS) -> DataFrame:
+    """Ask a model (a column function from prompt to text) and parse its replies.
+
+    Replies that are no JSON are asked for again, with a stricter prompt; what still fails after
+    the last attempt stays with its problem. Each round's replies are written to the shared
+    folder, so a lost executor or a second use of the result never calls the model again.
+    ``raw_model_output`` is the first reply.
+    """
+    settled = []
+    pending = prompts.withColumn("_ask", F.col("prompt"))
+    for attempt in range(attempts):
+        asked = pending.withColumn("_reply", generate(F.col("_ask")))
+        if attempt == 0:
+            asked = asked.withColumn("raw_model_output", F.col("_reply"))
+        answered = materialize(parse_recommendations(asked, "_reply"), "replies")
+        again = F.coalesce(F.col("problem") == "invalid_json", F.lit(False))
+        if attempt == attempts - 1:
+            settled.append(answered)
+            break
+        settled.append(answered.filter(~again))
+        pending = answered.filter(again).drop("problem", "recommendation", "_reply").withColumn(
+            "_ask", F.concat("prompt", F.lit(
+                "\nThe reply must be valid JSON and nothing else, without code fences.")))
+        if pending.isEmpty():
+            break
+    result = settled[0]
+    for part in settled[1:]:
+        result = result.unionByName(part)
+    return result.drop("_ask", "_reply")
+
+
 def explode_recommendations(recommendations: DataFrame, key: str) -> DataFrame:
     """(key, section, position, item, detail): every list of a recommendation, one row per item."""
     rec = F.col("recommendation")

@@ -4,6 +4,7 @@ from premia.plans import (  # noqa: F401
     catalog_queries,
     decision_queries,
     document_queries,
+    flow_queries,
     stream_queries,
     tabular_queries,
 )

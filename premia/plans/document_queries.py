@@ -8,9 +8,8 @@ from premia.operators.chunking import (
     chunk_documents, chunk_tables, chunk_text, document_stats, flag_empty_pages,
 )
 from premia.operators.embedding import embed_chunks, fit_tfidf
-from premia.operators.retrieval import (
-    attach_texts, build_cells, rerank, vector_top_k, vector_top_k_approx,
-)
+from premia.operators.retrieval import build_cells, vector_top_k, vector_top_k_approx
+from premia.plans.decision import find_evidence
 from premia.plans.registry import query
 from premia.plans.tables import (
     CHUNKS_SQL, PROSE_CHUNKS_SQL, TABLE_CHUNKS_SQL, all_blocks, prose_blocks, table, table_blocks,
@@ -148,28 +147,22 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("question"))
 
 
-def text_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Top 20 English chunks for each benchmark text, with their texts."""
-    # the chunk store is a table in real use: written once, then read by every step below
+def top_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best English chunks for each benchmark text."""
+    # the chunk store is a table in real use: written once, then read by every step
     chunks = materialize(text_chunks(spark, sf_dir), "chunks")
-    asked = questions(spark, sf_dir)
-    embedder = fit_tfidf(chunks)
-    found = vector_top_k(embedder.embed(asked, "question"),
-                         embed_chunks(chunks.select("chunk_id", "tenant_id", "text"), embedder))
-    return attach_texts(found, chunks, ["text", "document_id", "page"]).join(
-        asked.select("question_id", "question"), "question_id")
+    return find_evidence(questions(spark, sf_dir), chunks, fit_tfidf(chunks))
 
 
-def top_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rerank(text_candidates(spark, sf_dir))
+_ASKED_SQL = "SELECT item_id AS question_id, text FROM benchmark"
 
 
-def _tfidf_ctes(chunks_sql: str) -> str:
+def _tfidf_ctes(chunks_sql: str, asked_sql: str = _ASKED_SQL) -> str:
     """CTEs chunk, asked, weight (text side) and qweight: unit TF-IDF weights per slot."""
     slot = "('0x' || substr(md5(t), 1, 8))::bigint % 256"
     return f"""
     chunk AS MATERIALIZED ({chunks_sql}),
-    asked AS (SELECT item_id AS question_id, text FROM benchmark),
+    asked AS ({asked_sql}),
     tf AS MATERIALIZED (SELECT chunk_id, {slot} AS slot, count(*) AS n
            FROM (SELECT chunk_id, unnest({_TERMS}) AS t FROM chunk) GROUP BY ALL),
     idf AS (SELECT slot, ln(((SELECT count(*) FROM chunk) + 1.0) / (count(*) + 1.0)) AS w
@@ -184,8 +177,10 @@ def _tfidf_ctes(chunks_sql: str) -> str:
     """
 
 
-EVIDENCE_SQL_CTES = f"""
-    {_tfidf_ctes(CHUNKS_SQL)},
+def evidence_ctes(asked_sql: str = _ASKED_SQL) -> str:
+    """CTEs up to ``evidence``: the five best chunks of each asked text."""
+    return f"""
+    {_tfidf_ctes(CHUNKS_SQL, asked_sql)},
     cosine AS (
         SELECT question_id, chunk_id,
                round(sum(q.x * v.x) / sqrt(any_value(qn) * any_value(vn)), 4) AS similarity_score
@@ -205,7 +200,10 @@ EVIDENCE_SQL_CTES = f"""
         SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rerank_score DESC,
                                      similarity_score DESC, chunk_id) AS rank
         FROM overlap QUALIFY rank <= 5)
-"""
+    """
+
+
+EVIDENCE_SQL_CTES = evidence_ctes()
 
 
 @query("rerank_lexical", f"""

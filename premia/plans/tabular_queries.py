@@ -44,6 +44,20 @@ It averages premiums."""
     return _governed(spark, reply, {"t_book0001_policies": policy_book(spark, sf_dir)})
 
 
+@query("governed_filter", f"""
+    SELECT policy_id, age, premium FROM ({POLICY_BOOK_SQL}) book
+    WHERE age < 5 AND region = 'ASIA' AND claim_count > 0 AND premium > 95000
+    ORDER BY premium DESC, policy_id, age LIMIT 500
+""")
+def _governed_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _governed(
+        spark,
+        "SELECT policy_id, age, premium FROM t_book0001_policies WHERE age < 5 AND region = 'ASIA' "
+        "AND claim_count > 0 AND premium > 95000 ORDER BY premium DESC, policy_id, age",
+        {"t_book0001_policies": policy_book(spark, sf_dir)},
+    )
+
+
 @query("governed_join", """
     SELECT c_mktsegment AS segment, count(*) AS n, round(sum(o_totalprice), 2) AS total
     FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment

@@ -37,6 +37,7 @@ REPORT_CHUNK_CHARS = 400
 REPORT_SQL_QUERIES = 3
 REPORT_CHUNKS = 5
 DECISION_ACTIONS = ("accept", "reject", "review")
+JSON_ATTEMPTS = 3
 CONFIDENCE_LEVELS = ("high", "medium", "low")
 
 # --- fixed values: tokens a CSV reader takes for "missing" (pandas) --------
