@@ -238,7 +238,7 @@ def sql_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT event_id AS statement_id, user_id::varchar AS tenant_id, event_id % 8 AS shape,
                't_' || user_id || '_policies' AS own,
                'T_' || ((user_id + event_id % 3) % 150) || '_policies' AS other,
-               event_id % 3 > 0 AS foreign_table
+               (user_id + event_id % 3) % 150 <> user_id AS foreign_table
         FROM events)
     SELECT statement_id, tenant_id,
            CASE shape WHEN 0 THEN 'SELECT age FROM ' || own || ' WHERE region = ''North'''
