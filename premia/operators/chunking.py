@@ -50,26 +50,31 @@ def chunk_text(blocks: DataFrame, size: int = CHUNK_TOKENS, overlap: int = CHUNK
     return split.select(*others, F.posexplode(windows).alias("position", text))
 
 
-def chunk_tables(blocks: DataFrame) -> DataFrame:
-    """Table chunks: a table of up to 1150 words whole, a longer one by 20 lines.
-
-    Adds text, position and row_group (null for whole tables). Narrow.
-    """
+def _table_pieces(blocks: DataFrame) -> DataFrame:
+    """Each table as ``_pieces``, whole or by 20 lines, and ``_long``; blank tables drop out."""
     others = [c for c in blocks.columns if c not in ("rows", "text")]
-    rendered = (
-        blocks.select(*others, render_rows(F.col("rows")).alias("_table"))
-        .filter(~is_blank(F.col("_table")))
-        .withColumn("_long", F.size(words(F.col("_table"))) > TABLE_WORD_LIMIT)
+    rendered = blocks.select(*others, render_rows(F.col("rows")).alias("_table")) \
+        .filter(~is_blank(F.col("_table"))) \
+        .withColumn("_long", F.size(words(F.col("_table"))) > TABLE_WORD_LIMIT) \
         .withColumn("_lines", F.split("_table", "\n", -1))
-    )
     groups = F.transform(
         F.sequence(F.lit(1), F.size("_lines"), F.lit(TABLE_GROUP_LINES)),
         lambda start: F.array_join(F.slice("_lines", start, TABLE_GROUP_LINES), "\n"),
     )
-    pieces = F.when(F.col("_long"), groups).otherwise(F.array("_table"))
     return rendered.select(
-        *others, "_long", F.posexplode(pieces).alias("position", "text")
-    ).withColumn("row_group", F.when(F.col("_long"), F.col("position"))).drop("_long")
+        *others, "_long",
+        F.when(F.col("_long"), groups).otherwise(F.array("_table")).alias("_pieces"))
+
+
+def chunk_tables(blocks: DataFrame) -> DataFrame:
+    """Table chunks: a table of up to 1150 words whole, a longer one by 20 lines.
+
+    Adds text, position and row_group (null for whole tables). Narrow.
+    """
+    pieces = _table_pieces(blocks)
+    others = [c for c in pieces.columns if c != "_pieces"]
+    return pieces.select(*others, F.posexplode("_pieces").alias("position", "text")) \
+        .withColumn("row_group", F.when(F.col("_long"), F.col("position"))).drop("_long")
 
 
 def chunk_id(document_id: Column, kind: Column, page: Column, item: Column, position: Column
@@ -90,10 +95,14 @@ def chunk_documents(blocks: DataFrame, size: int = CHUNK_TOKENS,
                     overlap: int = CHUNK_OVERLAP_TOKENS) -> DataFrame:
     """All chunks of all documents: tables first, then prose by page, numbered per document.
 
-    A block (document_id, kind, page, table_index) must be unique. Numbers are counted over one
+    A block (document_id, kind, page, table_index) must be unique. With an ``ocr_text`` column,
+    pages without a text layer take that text. Numbers are counted over one
     light row per block, in buckets of pages, so a document that holds much of the corpus is
     numbered by many tasks; the texts are only joined to their block's first number.
     """
+    if "ocr_text" in blocks.columns:
+        blocks = blocks.withColumn(
+            "text", F.when(is_blank(F.col("text")), F.col("ocr_text")).otherwise(F.col("text")))
     prose = blocks.filter(F.col("kind") == "text").withColumn("table_index", F.lit(-1))
     tables = blocks.filter(F.col("kind") == "table")
     place = ["document_id", "page", "table_index"]
@@ -101,9 +110,12 @@ def chunk_documents(blocks: DataFrame, size: int = CHUNK_TOKENS,
     table_chunks = chunk_tables(tables.select(*kept, "rows")).withColumn("type", F.lit("table"))
     prose_chunks = chunk_text(prose.select(*kept, "text"), size, overlap) \
         .withColumn("type", F.lit("text")).withColumn("row_group", F.lit(None).cast("int"))
-    counts = table_chunks.groupBy(*place, "type").agg(F.count(F.lit(1)).alias("_n")).unionByName(
-        prose.select(*place, F.lit("text").alias("type"), _chunks_per_page(
-            F.size(words(F.col("text"))), size, overlap).alias("_n")))
+    counts = _table_pieces(tables.select(*place, "rows")).select(
+        *place, F.lit("table").alias("type"), F.size("_pieces").cast("bigint").alias("_n"),
+    ).unionByName(
+        prose.select(*place, F.size(words(F.col("text"))).alias("_words")).select(
+            *place, F.lit("text").alias("type"),
+            _chunks_per_page(F.col("_words"), size, overlap).alias("_n")))
     is_prose = F.when(F.col("type") == "text", 1).otherwise(0)
     bucket = is_prose.cast("bigint") * (1 << 40) + F.floor(F.col("page") / _PAGES_PER_BUCKET)
     first = total_before(counts, ["document_id"],

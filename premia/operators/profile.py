@@ -46,7 +46,7 @@ def _summaries(df: DataFrame, approx: bool) -> list[dict]:
         value = _clean(field)
         aggregates.append(F.count(value).alias(f"n{i}"))
         if approx:
-            aggregates.append(F.approx_count_distinct(value).alias(f"u{i}"))
+            aggregates.append(F.approx_count_distinct(value, 0.02).alias(f"u{i}"))
         if field.name in numeric:
             number = value.cast("double")
             aggregates += [

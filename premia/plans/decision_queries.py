@@ -252,7 +252,7 @@ def sql_log(spark: SparkSession, sf_dir: str) -> DataFrame:
                ELSE 'SELECT age FROM ' || own || ' WHERE id IN (SELECT id FROM ' || other || ')'
            END AS statement,
            reason IS NULL AS ok, reason
-    FROM (SELECT *, CASE WHEN shape = 3 THEN 'not_a_select' WHEN shape = 5 THEN 'top_level_union'
+    FROM (SELECT *, CASE WHEN shape = 3 THEN 'not_a_select' WHEN shape = 5 THEN 'top_level_set_operation'
                          WHEN shape = 4 THEN 'qualified_name'
                          WHEN shape IN (2, 6, 7) AND foreign_table THEN 'table_not_entitled'
                     END AS reason FROM log) l
