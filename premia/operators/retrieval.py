@@ -161,9 +161,10 @@ def build_cells(vectors: DataFrame, cells: int, seed: int = 7, per_cell: int = 2
     Only the centres come from a sample; every vector is later assigned to a cell and stays
     findable. What reaches the driver is ``cells`` vectors.
     """
-    total = vectors.count()
-    share = min(1.0, cells * per_cell / max(total, 1))
-    picked = vectors if share >= 1.0 else vectors.sample(share, seed)
+    # a vector of zeros has no direction to learn from
+    pointed = vectors.filter(F.exists("embedding", lambda x: x != 0))
+    share = min(1.0, cells * per_cell / max(pointed.count(), 1))
+    picked = pointed if share >= 1.0 else pointed.sample(share, seed)
     model = KMeans(k=cells, seed=seed, maxIter=10, distanceMeasure="cosine").fit(
         picked.select(array_to_vector(F.col("embedding")).alias("features")))
     return CellIndex(_unit_rows(pd.Series(list(model.clusterCenters()))))
