@@ -15,6 +15,16 @@ NO_DATA_EVIDENCE = "No structured data queries were run."
 NO_CONTEXT = "No prior context."
 SAMPLE_ROWS = 5
 
+# --- fixed values: headings of a prompt, in order ------------------------------
+CONTEXT_HEADING = "Session context (prior conversation summary):\n"
+QUESTION_HEADING = "\n\nUser question:\n"
+DOCUMENT_HEADING = "\n\nDOCUMENT EVIDENCE (retrieved from uploaded PDFs):\n"
+DATA_HEADING = "\n\nDATA EVIDENCE (SQL queries run against uploaded tables):\n"
+SCENARIO_HEADING = "\nScenario assumptions for this run: "
+
+INSTRUCTION = ("\n\nGive a structured pricing recommendation based on all of this evidence. List "
+               "every contradiction between documents and data under \"conflicts\".")
+
 
 def _joined(parts: list[str | Column], order: str, separator: str) -> Column:
     """Text parts of a group in order; the caller's rank bounds the group."""
@@ -56,7 +66,7 @@ def with_scenario(question: Column, assumptions: Column) -> Column:
     """The question, plus its assumptions as JSON when there are any."""
     return F.when(
         F.coalesce(assumptions, F.lit("")).isin("", "{}"), question
-    ).otherwise(F.concat(question, F.lit("\nScenario assumptions for this run: "), assumptions))
+    ).otherwise(F.concat(question, F.lit(SCENARIO_HEADING), assumptions))
 
 
 def expand_scenarios(questions: DataFrame, scenarios: list[tuple[str, Mapping]]) -> DataFrame:
@@ -89,14 +99,10 @@ def assemble_prompts(questions: DataFrame, document_evidence: DataFrame | None =
                   else joined.withColumn(name, F.lit(None).cast("string")))
     context = F.when(F.coalesce("context", F.lit("")) != "", F.col("context")).otherwise(NO_CONTEXT)
     return joined.select("question_id", F.concat(
-        F.lit("Session context (prior conversation summary):\n"), context,
-        F.lit("\n\nUser question:\n"), F.col("question"),
-        F.lit("\n\nDOCUMENT EVIDENCE (retrieved from uploaded PDFs):\n"),
-        F.coalesce("document_evidence", F.lit(NO_DOCUMENT_EVIDENCE)),
-        F.lit("\n\nDATA EVIDENCE (SQL queries run against uploaded tables):\n"),
-        F.coalesce("sql_evidence", F.lit(NO_DATA_EVIDENCE)),
-        F.lit("\n\nGive a structured pricing recommendation based on all of this evidence. List "
-              "every contradiction between documents and data under \"conflicts\"."),
+        F.lit(CONTEXT_HEADING), context, F.lit(QUESTION_HEADING), F.col("question"),
+        F.lit(DOCUMENT_HEADING), F.coalesce("document_evidence", F.lit(NO_DOCUMENT_EVIDENCE)),
+        F.lit(DATA_HEADING), F.coalesce("sql_evidence", F.lit(NO_DATA_EVIDENCE)),
+        F.lit(INSTRUCTION),
     ).alias("prompt"))
 
 

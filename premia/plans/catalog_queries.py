@@ -15,9 +15,10 @@ from premia.plans.tables import (
 )
 from premia.session import spread
 from premia.sources.catalog import (
-    list_assets, newest_per_key, register_assets, resolve_datasets, workspace_kpis,
+    apply_registration, list_assets, newest_per_key, record_outcomes, register_assets,
+    resolve_datasets, workspace_kpis,
 )
-from premia.sources.tabular import screen_uploads
+from premia.sources.tabular import fingerprint_files, screen_uploads
 
 _LINEITEM = [("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"),
              ("l_linenumber", "int"), ("l_quantity", "double"), ("l_extendedprice", "double"),
@@ -174,6 +175,49 @@ def _register_assets_requeue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return register_assets(incoming, document_catalog(spark, sf_dir), requeue=True)
 
 
+@query("catalog_after_ingest", f"""
+    WITH decided AS ({_register_sql(True)}),
+    registered AS (
+        SELECT asset_id, tenant_id, original_filename, file_hash,
+               CASE WHEN asset_id IN (SELECT asset_id FROM decided WHERE action = 'requeue')
+                    THEN 'pending' ELSE upload_status END AS upload_status,
+               is_active, created_at, chunk_count
+        FROM ({DOCUMENT_CATALOG_SQL}) c
+        UNION ALL
+        SELECT d.asset_id, d.tenant_id, u.original_filename, d.file_hash, 'pending', true,
+               u.submitted_at, NULL
+        FROM decided d JOIN ({UPLOADS_SQL}) u USING (upload_id) WHERE action = 'new'),
+    outcome AS (
+        SELECT doc_id::varchar AS asset_id, n_chars > 900 AS good, n_chars // 500 AS chunk_count
+        FROM documents)
+    SELECT r.asset_id, tenant_id, original_filename, file_hash,
+           CASE WHEN good THEN 'ready' WHEN NOT good THEN 'failed' ELSE upload_status END
+               AS upload_status,
+           is_active, created_at,
+           CASE WHEN good THEN o.chunk_count ELSE r.chunk_count END AS chunk_count
+    FROM registered r LEFT JOIN outcome o USING (asset_id)
+""")
+def _catalog_after_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uploads registered, then the new ones ingested: long documents work, short ones fail."""
+    incoming = screen_uploads(uploads(spark, sf_dir)).filter("accepted")
+    catalog = document_catalog(spark, sf_dir)
+    decided = register_assets(incoming, catalog, requeue=True)
+    outcomes = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("asset_id"),
+        F.when(F.col("n_chars") > 900, "ready").otherwise("failed").alias("upload_status"),
+        F.floor(F.col("n_chars") / 500).alias("chunk_count"))
+    after = record_outcomes(apply_registration(catalog, incoming, decided), outcomes)
+    return after.select("asset_id", "tenant_id", "original_filename", "file_hash",
+                        "upload_status", "is_active", "created_at", "chunk_count")
+
+
+@query("fingerprint_files")
+def _fingerprint_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of the data folder themselves; SQL over the tables cannot see their bytes."""
+    return fingerprint_files(spark, sf_dir).select(
+        F.regexp_extract("path", "([^/]+)$", 1).alias("file_name"), "file_size_bytes", "file_hash")
+
+
 @query("newest_per_key", """
     SELECT user_id, event_type, ts, event_id, value FROM events
     QUALIFY row_number() OVER (PARTITION BY user_id, event_type

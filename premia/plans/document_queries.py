@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from premia.functions.tenancy import scope_chunks
 from premia.operators.chunking import (
     chunk_documents, chunk_tables, chunk_text, document_stats, flag_empty_pages,
 )
@@ -107,6 +108,14 @@ def _top_k_sql(scope: str) -> str:
     """
 
 
+@query("scope_chunks", """
+    SELECT vec_id AS chunk_id, vec_id % 7 AS document_id FROM embeddings
+    WHERE label = 3 AND vec_id % 7 IN (1, 4)
+""")
+def _scope_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scope_chunks(_vectors(spark, sf_dir), 3, [1, 4]).select("chunk_id", "document_id")
+
+
 @query("vector_top_k", _top_k_sql(""))
 def _vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _vectors(spark, sf_dir)

@@ -65,6 +65,43 @@ def register_assets(incoming: DataFrame, catalog: DataFrame, requeue: bool = Fal
     )
 
 
+def apply_registration(catalog: DataFrame, incoming: DataFrame, decided: DataFrame) -> DataFrame:
+    """The catalog after a batch: requeued assets pending again, new assets added as pending.
+
+    ``decided`` comes from ``register_assets``. Columns an upload does not have stay null.
+    """
+    requeued = decided.filter(F.col("action") == "requeue").select("asset_id").distinct()
+    requeued = requeued.withColumn("_again", F.lit(True))
+    kept = catalog.join(requeued, "asset_id", "left").withColumn(
+        "upload_status", F.when(F.col("_again"), "pending").otherwise(F.col("upload_status")))
+    new = incoming.join(decided.filter(F.col("action") == "new").select("upload_id", "asset_id"),
+                        "upload_id")
+    values = {"upload_status": F.lit("pending"), "is_active": F.lit(True),
+              "created_at": F.col("submitted_at"), "file_exists": F.lit(True)}
+    added = new.select(*[
+        values.get(f.name, F.col(f.name) if f.name in new.columns else F.lit(None))
+        .cast(f.dataType).alias(f.name) for f in catalog.schema])
+    return kept.select(*catalog.columns).unionByName(added)
+
+
+def record_outcomes(catalog: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """The catalog after ingestion: ``outcomes`` has one row per finished asset.
+
+    asset_id, upload_status (ready or failed) and any of the catalog's result columns; a failed
+    asset keeps the results it had.
+    """
+    results = [c for c in outcomes.columns if c in catalog.columns
+               and c not in ("asset_id", "upload_status")]
+    done = outcomes.select(
+        "asset_id", F.col("upload_status").alias("_status"),
+        *[F.col(c).alias(f"_{c}") for c in results])
+    ready = F.col("_status") == "ready"
+    return catalog.join(done, "asset_id", "left").select(*[
+        F.coalesce("_status", c).alias(c) if c == "upload_status"
+        else F.when(ready, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in results
+        else F.col(c) for c in catalog.columns])
+
+
 def published_table_name(tenant_id: str, dataset_id: str) -> str:
     """``t_<tenant>_<dataset>``, eight digits of each id without dashes."""
     return f"t_{tenant_id.replace('-', '')[:8]}_{dataset_id.replace('-', '')[:8]}"

@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from premia.functions.tenancy import scope_chunks, scope_to_tenant, tenant_id_of
 from premia.sources.catalog import (
-    canonical_id, newest_per_key, publish_dataset, published_table_name, register_assets,
-    resolve_datasets, set_column_tags,
+    apply_registration, canonical_id, newest_per_key, publish_dataset, published_table_name,
+    record_outcomes, register_assets, resolve_datasets, set_column_tags,
 )
 from premia.sources.chunk_store import replace_document_chunks, stale_embeddings
 from premia.sources.tabular import fingerprint_files, read_dataset, screen_uploads
@@ -67,6 +67,25 @@ def test_registration(spark):
     assert again[2] == ("requeue", "queued")
 
 
+def test_catalog_lifecycle(spark):
+    incoming = spark.createDataFrame(
+        [("1", "t", "h1", 1), ("2", "t", "h1", 2), ("3", "t", "h2", 3)],
+        "upload_id string, tenant_id string, file_hash string, submitted_at int")
+    catalog = spark.createDataFrame(
+        [("old", "t", "h2", "processing", True, 1, True, None)],
+        "asset_id string, tenant_id string, file_hash string, upload_status string, "
+        "is_active boolean, created_at int, file_exists boolean, row_count bigint")
+    decided = register_assets(incoming, catalog, requeue=True)
+    after = apply_registration(catalog, incoming, decided)
+    assert {r["asset_id"]: r["upload_status"] for r in after.collect()} == {
+        "old": "pending", "1": "pending"}
+    outcomes = spark.createDataFrame([("old", "failed", 7), ("1", "ready", 9)],
+                                     "asset_id string, upload_status string, row_count bigint")
+    done = {r["asset_id"]: (r["upload_status"], r["row_count"], r["is_active"])
+            for r in record_outcomes(after, outcomes).collect()}
+    assert done == {"old": ("failed", None, True), "1": ("ready", 9, True)}
+
+
 def test_newest_per_key_without_other_columns(spark):
     df = spark.createDataFrame([("a", 1), ("a", 3), ("b", 2)], "k string, t int")
     assert {tuple(r) for r in newest_per_key(df, ["k"], ["t"]).collect()} == {("a", 3), ("b", 2)}
