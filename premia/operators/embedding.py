@@ -18,13 +18,31 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+", -1), "")
 
 
+def _hex_digits(dimensions: int) -> int:
+    """k where ``dimensions`` is 16 to the k, else 0."""
+    return next((k for k in range(1, 8) if 16**k == dimensions), 0)
+
+
+def _slot_names(dimensions: int) -> list[str]:
+    digits = _hex_digits(dimensions)
+    return [f"{i:0{digits}x}" if digits else str(i) for i in range(dimensions)]
+
+
 def _slots(text: Column, dimensions: int) -> Column:
-    """Each term's vector slot, from the first eight hex digits of its MD5."""
-    return F.transform(
-        terms(text),
-        lambda term: (F.conv(F.substring(F.md5(term.cast("binary")), 1, 8), 16, 10).cast("bigint")
-                      % dimensions).cast("string"),
-    )
+    """Each term's slot name: the first eight hex digits of its MD5, modulo the dimensions.
+
+    With a power of 16 that is just the last of these digits, without arithmetic.
+    """
+    digits = _hex_digits(dimensions)
+
+    def slot(term: Column) -> Column:
+        digest = F.md5(term.cast("binary"))
+        if digits:
+            return F.substring(digest, 9 - digits, digits)
+        number = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+        return (number % dimensions).cast("string")
+
+    return F.transform(terms(text), slot)
 
 
 @dataclass
@@ -45,7 +63,7 @@ class TfidfEmbedder:
 def fit_tfidf(df: DataFrame, text: str = "text", dimensions: int = DIMENSIONS) -> TfidfEmbedder:
     """Document frequencies over the whole table, in one tree aggregation of one vector."""
     counter = CountVectorizerModel.from_vocabulary(
-        [str(i) for i in range(dimensions)], inputCol="_slots", outputCol="_counts")
+        _slot_names(dimensions), inputCol="_slots", outputCol="_counts")
     counted = counter.transform(df.select(_slots(F.col(text), dimensions).alias("_slots")))
     idf = IDF(inputCol="_counts", outputCol="_weighted").fit(counted)
     unit = Normalizer(inputCol="_weighted", outputCol="_unit", p=2.0)

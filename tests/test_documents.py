@@ -214,6 +214,18 @@ def test_tfidf_vectors(spark):
     assert embed_chunks(df, model).first()["embedding_model"] == "hashed-tfidf-64"
 
 
+def test_slots_follow_from_md5(spark):
+    import hashlib
+
+    from premia.operators.embedding import _slot_names, _slots
+    df = spark.createDataFrame([("north motor été 42",)], "t string")
+    for dimensions in (16, 256, 4096, 100):
+        names = _slot_names(dimensions)
+        got = [names.index(s) for s in df.select(_slots(F.col("t"), dimensions)).first()[0]]
+        assert got == [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dimensions
+                       for w in ("north", "motor", "été", "42")]
+
+
 def test_overlap_counts_distinct_terms(spark):
     row = spark.createDataFrame([("a a b", "B, c: a")], "q string, t string").select(
         lexical_overlap(F.col("q"), F.col("t"))).first()
