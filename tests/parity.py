@@ -29,7 +29,7 @@ def _plain(value):
     if hasattr(value, "tolist"):
         value = value.tolist()
     if isinstance(value, float):
-        return "nan" if value != value else f"{value:.9g}"
+        return "nan" if value != value else repr(value)
     if isinstance(value, (list, tuple)):
         return str([_plain(v) for v in value])
     return "NULL" if value is None else str(value)
