@@ -53,17 +53,16 @@ def buckets_for(rows: int, per_bucket: int) -> int:
     return max(1, math.ceil(rows / per_bucket))
 
 
-def ranked(df: DataFrame, groups: list[str], order: list[str], rank: str, rows: int,
-           per_bucket: int = 1024) -> DataFrame:
-    """Add ``rank``: 0, 1, 2 … without gaps inside each group, in a seeded order.
+def ranked(df: DataFrame, groups: list[str], order: list[str], rank: str, per_bucket: int = 512) -> DataFrame:
+    """Add ``rank``: 0, 1, 2 … without gaps inside each of a few ``groups``, in a seeded order.
 
-    A group may hold any share of the rows. Rows are dealt to buckets by a hash of ``order`` (which
-    must tell rows apart), ranked inside (group, bucket), and shifted by the rows of the group's earlier
-    buckets, so no task sorts more than a bucket.
+    A group may hold any share of the rows. It gets a bucket for every ``per_bucket`` rows; rows are
+    dealt to them by a hash of ``order`` (which must tell rows apart), ranked inside the bucket, and shifted by
+    the rows of the group's earlier buckets, so no task sorts more than about a bucket.
     """
-    bucket, shift, many = fresh(df, "bucket"), fresh(df, "shift"), fresh(df, "many")
-    n = buckets_for(rows, per_bucket)
-    dealt = df.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(n)).cast("int"))
+    bucket, shift, many, parts = (fresh(df, c) for c in ("bucket", "shift", "many", "parts"))
+    counted = df.groupBy(*groups).agg(F.ceil(F.count(F.lit(1)) / per_bucket).alias(parts))
+    dealt = df.join(F.broadcast(counted), groups).withColumn(bucket, F.pmod(F.xxhash64(*order), F.col(parts))).drop(parts)
     sizes = dealt.groupBy(*groups, bucket).agg(F.count(F.lit(1)).alias(many))
     before = Window.partitionBy(*groups).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select(*groups, bucket, F.coalesce(F.sum(many).over(before), F.lit(0)).alias(shift))
@@ -85,7 +84,8 @@ def components(links: DataFrame, purpose: str) -> DataFrame:
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # Stored, so that the join can split a node with very many neighbours.
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), purpose)
         large = (both.filter("v > u").join(least, "u")
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))

@@ -92,7 +92,7 @@ def even_out(placed: DataFrame, shards: int, rows: int) -> DataFrame:
     across shards and falls, by running counts of eight rows a side, into the free slots of the others.
     """
     session = placed.sparkSession
-    kinds = ranked(placed, ["label", "linked"], ["rid"], "place", rows)
+    kinds = ranked(placed, ["label", "linked"], ["rid"], "place")
     kinds = stored(kinds, "shard-ranks")
     held = kinds.groupBy("label").agg(F.count(F.lit(1)).alias("held"), F.sum("linked").alias("tied"))
     every = session.range(shards).select(F.col("id").cast("int").alias("label"))
