@@ -170,11 +170,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     prefixes = stored(sketch.join(groups.select("g"), F.col("rid") == F.col("g"), "left_semi").select(F.col("rid").alias("g"), "n", "prefix"), "jaccard-prefixes")
     tokens = prefixes.select("g", "n", F.posexplode("prefix").alias("at", "token"))
 
-    band = F.floor(F.log(F.col("n")) / float(np.log(LEAST[1] / LEAST[0]))).alias("band")
-    first = tokens.select("token", band, "g").groupBy("token", "band").agg(F.min("g").alias("ga"), F.count(F.lit(1)).alias("size"))
-    first = stored(first.filter("size > 1").drop("size"), "jaccard-first")
-    stars = (tokens.select("token", band, F.col("g").alias("gb")).join(first, ["token", "band"])
-             .filter("ga < gb").select("ga", "gb").distinct())
+    shared = stored(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("token"), "jaccard-shared")
+    # Only tokens that two groups have can make a link; every later step reads these postings.
+    posts = stored(tokens.join(shared, "token").select("token", "g", "n", "at"), "jaccard-posts")
+    banded = posts.withColumn("band", F.floor(F.log(F.col("n")) / float(np.log(LEAST[1] / LEAST[0]))))
+    first = stored(banded.groupBy("token", "band").agg(F.min(F.struct("g", "n", "at")).alias("f"), F.count(F.lit(1)).alias("size"))
+                   .filter("size > 1").drop("size"), "jaccard-first")
+    stars = (banded.join(first, ["token", "band"])
+             .filter((F.col("f.g") < F.col("g")) & close_in_size(F.col("f.n"), F.col("n"))
+                     & early(F.col("f.n"), F.col("f.at"), F.col("n"), F.col("at")))
+             .select(F.col("f.g").alias("ga"), F.col("g").alias("gb")).distinct())
     near = may_link(stars, prefixes).select(F.col("ga").alias("a"), F.col("gb").alias("b"))
     inside = members.filter("c <> g").select(F.col("g").alias("a"), F.col("c").alias("b"))
     links = stored(verified(near.unionByName(inside), rows), "jaccard-links")
@@ -183,10 +188,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     labels = stored(members.join(found, F.col("c") == F.col("node"), "left")
                     .select("c", "g", F.coalesce("component", "c").alias("k")), "jaccard-labels")
     mixed = labels.groupBy("g", "k").agg(F.min("c").alias("any"))
-    posts = tokens.join(mixed.select("g", "k"), "g")
-    open_ = (posts.groupBy("token").agg(F.min("k").alias("low"), F.max("k").alias("high"))
-             .filter("low < high").select("token"))
-    posts = stored(posts.join(stored(open_, "jaccard-open"), "token").select("token", "g", "k", "n", "at"), "jaccard-posts")
+    posts = posts.join(mixed.select("g", "k"), "g")
+    open_ = stored(posts.groupBy("token").agg(F.min("k").alias("low"), F.max("k").alias("high"))
+                   .filter("low < high").select("token"), "jaccard-open")
+    posts = stored(posts.join(open_, "token").select("token", "g", "k", "n", "at"), "jaccard-open-posts")
     left, right = posts.alias("l"), posts.alias("r")
     n, m = F.col("l.n"), F.col("r.n")
     across = (left.join(right, (F.col("l.token") == F.col("r.token")) & (F.col("l.k") < F.col("r.k")) & close_in_size(n, m)
