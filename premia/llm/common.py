@@ -10,6 +10,7 @@ from premia.session import shared_folder
 
 # Fixed value: the white space of the corpus contracts, as a Java regular expression.
 BLANK = r"[\x20\x09-\x0D]"
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -23,11 +24,17 @@ def fresh(df: DataFrame, name: str) -> str:
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` (compressed) below ``spark.checkpoint.dir`` and read it back.
 
-    Cuts the lineage: what follows reads shared files, so a lost executor costs only its own tasks.
+    Cuts the lineage: what follows reads shared files, so a lost executor costs only its own tasks, and
+    the shuffles behind the table go from the disks as soon as it is written.
     """
     spark = df.sparkSession
     path = shared_folder(spark, purpose)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -67,28 +67,35 @@ def hot_tokens(rows: DataFrame, total: int) -> np.ndarray:
     return np.sort(found.toPandas()["token"].to_numpy().astype(np.uint64))
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """A bitmap of four to eight bits a shingle; each shingle flips one bit."""
+    bits = max(64, 1 << (4 * len(shingles) - 1).bit_length()) if len(shingles) else 64
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def sketches(rows: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(rid, id, n, s1, s2, p1, p2, prefix): sizes, digests of the set and of the prefix, and the prefix."""
+    """(rid, id, n, s1, s2, p1, p2, prefix, odd): size, digests of the set and of the prefix, the prefix, parities."""
 
     def digests(values: np.ndarray) -> tuple[int, int]:
-        with np.errstate(over="ignore"):
-            return (int(mix64(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).astype(np.int64)),
-                    int(mix64(values + np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64).astype(np.int64)))
+        return (int(mix64(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).astype(np.int64)),
+                int(mix64(values + np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64).astype(np.int64)))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for shingles in shingle_sets(binaries(batch.column(2))):
                 prefix = tokens_of(shingles, hot)[:prefix_length(len(shingles))]
-                out.append((len(shingles), *digests(shingles), *digests(prefix), prefix.astype(np.int64)))
-            n, s1, s2, p1, p2, prefix = zip(*out) if out else [[]] * 6
-            long = [pa.array(c, pa.int64()) for c in (n, s1, s2, p1, p2)]
+                out.append((len(shingles), *digests(shingles), *digests(prefix), prefix.astype(np.int64), parities(shingles)))
+            n, s1, s2, p1, p2, prefix, odd = zip(*out) if out else [[]] * 7
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.int64()), *long, pa.array(prefix, pa.list_(pa.int64()))],
-                names=["rid", "id", "n", "s1", "s2", "p1", "p2", "prefix"])
+                [batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.int64()),
+                 *[pa.array(c, pa.int64()) for c in (n, s1, s2, p1, p2)],
+                 *[pa.array(c, pa.list_(pa.int64())) for c in (prefix, odd)]],
+                names=["rid", "id", "n", "s1", "s2", "p1", "p2", "prefix", "odd"])
 
     return rows.select("rid", "id", "text").mapInArrow(
-        sketch, "rid long, id long, n long, s1 long, s2 long, p1 long, p2 long, prefix array<long>")
+        sketch, "rid long, id long, n long, s1 long, s2 long, p1 long, p2 long, prefix array<long>, odd array<long>")
 
 
 def full_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -103,27 +110,33 @@ def full_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             .mapInArrow(whole, "c long, set array<long>"))
 
 
-def may_link(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """``pairs`` of groups (ga, gb, …) whose prefixes leave room for enough common shingles.
+def least_difference(a: Column, b: Column) -> Column:
+    """Elements that are in one of two sets only are at least as many as their parities differ.
 
-    Up to the smaller of the two last tokens both sets are known in full; beyond it at most the
-    smaller rest can be common.
+    Close sizes have bitmaps of equal or double length; the halves of the longer one are laid over each other.
     """
-    a = prefixes.select(F.col("g").alias("ga"), F.col("n").alias("na"), F.col("prefix").alias("pa"))
-    b = prefixes.select(F.col("g").alias("gb"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
-    cut = F.least(F.element_at("pa", -1), F.element_at("pb", -1))
+    def folded(x: Column, other: Column) -> Column:
+        half = (F.size(x) / 2).cast("int")
+        twice = F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(x) > F.size(other), twice).otherwise(x)
+
+    differ = F.zip_with(folded(a, b), folded(b, a), lambda p, q: p.bitwiseXOR(q))
+    return F.aggregate(differ, F.lit(0), lambda n, x: n + F.bit_count(x))
 
-    def rest(n: str, p: str) -> Column:
-        return F.col(n) - F.size(F.filter(p, lambda t: t <= cut))
 
-    most = F.size(F.array_intersect("pa", "pb")) + F.least(rest("na", "pa"), rest("nb", "pb"))
-    return (pairs.join(a, "ga").join(b, "gb").filter(most >= overlap_needed(F.col("na"), F.col("nb")))
-            .select(pairs.columns))
+def may_link(pairs: DataFrame, odd: DataFrame) -> DataFrame:
+    """``pairs`` of classes (a, b) whose ``odd`` (c, n, odd) leave room for enough common shingles."""
+    left = odd.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa"))
+    right = odd.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob"))
+    most = (F.col("na") + F.col("nb") - least_difference(F.col("oa"), F.col("ob"))) / 2
+    return (pairs.distinct().join(left, "a").join(right, "b")
+            .filter(close_in_size(F.col("na"), F.col("nb")) & (most >= overlap_needed(F.col("na"), F.col("nb"))))
+            .select("a", "b"))
 
 
-def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, odd: DataFrame, rows: DataFrame) -> DataFrame:
     """``pairs`` of classes (a, b) whose whole sets are similar enough."""
-    pairs = stored(pairs.distinct(), "jaccard-pairs")
+    pairs = stored(may_link(pairs, odd), "jaccard-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
     sets = stored(full_sets(rows, wanted), "jaccard-sets")
     met = (pairs.join(sets.select(F.col("c").alias("b"), F.col("set").alias("right")), "b")
@@ -149,8 +162,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     its prefix tokens, and each class of a group the group's first class; links found there already join
     most copies. In the second round all groups that share a prefix token meet, except where the classes are in one
     component by now, so large families of copies are not paired again. Pairs of groups must pass a bound
-    from sizes, places and prefixes; then they are expanded to classes, and whole sets are compared. So no link
-    between different components is missed.
+    from their sizes and the places of the shared token; then they are expanded to classes, which must pass a
+    bound from a bitmap of the whole set, and whole sets are compared. Both bounds only drop pairs that cannot be similar
+    enough, so no link between different components is missed.
 
     Null texts and texts without words have no shingles and are linked with nothing; fewer than five words
     are one shingle. ``component_id`` is the smallest id of the component, null only if all its ids are. Rows
@@ -167,11 +181,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = stored(full.groupBy(*same_set).agg(F.min("rid").alias("c"), F.first("p1").alias("p1"), F.first("p2").alias("p2")), "jaccard-classes")
     groups = stored(classes.groupBy(*same_prefix).agg(F.min("c").alias("g")), "jaccard-groups")
     members = stored(classes.join(groups, same_prefix).select("c", "g"), "jaccard-members")
-    prefixes = stored(sketch.join(groups.select("g"), F.col("rid") == F.col("g"), "left_semi").select(F.col("rid").alias("g"), "n", "prefix"), "jaccard-prefixes")
-    tokens = prefixes.select("g", "n", F.posexplode("prefix").alias("at", "token"))
+    odd = sketch.select(F.col("rid").alias("c"), "n", "odd")
+    tokens = (sketch.join(groups.select("g"), F.col("rid") == F.col("g"), "left_semi")
+              .select(F.col("rid").alias("g"), "n", F.posexplode("prefix").alias("at", "token")))
 
-    shared = stored(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("token"), "jaccard-shared")
-    # Only tokens that two groups have can make a link; every later step reads these postings.
+    shared = stored(sketch.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("size"))
+                    .filter("size > 1").select("token"), "jaccard-shared")
+    # Only tokens that two documents have can make a link; every later step reads these postings.
     posts = stored(tokens.join(shared, "token").select("token", "g", "n", "at"), "jaccard-posts")
     banded = posts.withColumn("band", F.floor(F.log(F.col("n")) / float(np.log(LEAST[1] / LEAST[0]))))
     first = stored(banded.groupBy("token", "band").agg(F.min(F.struct("g", "n", "at")).alias("f"), F.count(F.lit(1)).alias("size"))
@@ -179,10 +195,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stars = (banded.join(first, ["token", "band"])
              .filter((F.col("f.g") < F.col("g")) & close_in_size(F.col("f.n"), F.col("n"))
                      & early(F.col("f.n"), F.col("f.at"), F.col("n"), F.col("at")))
-             .select(F.col("f.g").alias("ga"), F.col("g").alias("gb")).distinct())
-    near = may_link(stars, prefixes).select(F.col("ga").alias("a"), F.col("gb").alias("b"))
+             .select(F.col("f.g").alias("a"), F.col("g").alias("b")).distinct())
     inside = members.filter("c <> g").select(F.col("g").alias("a"), F.col("c").alias("b"))
-    links = stored(verified(near.unionByName(inside), rows), "jaccard-links")
+    links = stored(verified(stars.unionByName(inside), odd, rows), "jaccard-links")
 
     found = components(links, "jaccard-components")
     labels = stored(members.join(found, F.col("c") == F.col("node"), "left")
@@ -197,11 +212,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     across = (left.join(right, (F.col("l.token") == F.col("r.token")) & (F.col("l.k") < F.col("r.k")) & close_in_size(n, m)
                         & early(n, F.col("l.at"), m, F.col("r.at")))
               .select(F.col("l.g").alias("ga"), F.col("l.k").alias("ka"), F.col("r.g").alias("gb"), F.col("r.k").alias("kb")).distinct())
-    likely = may_link(across, prefixes)
-    pairs = (likely.join(labels.select(F.col("g").alias("ga"), F.col("k").alias("ka"), F.col("c").alias("a")), ["ga", "ka"])
+    pairs = (across.join(labels.select(F.col("g").alias("ga"), F.col("k").alias("ka"), F.col("c").alias("a")), ["ga", "ka"])
              .join(labels.select(F.col("g").alias("gb"), F.col("k").alias("kb"), F.col("c").alias("b")), ["gb", "kb"])
              .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    more = stored(verified(pairs, rows), "jaccard-links-2")
+    more = stored(verified(pairs, odd, rows), "jaccard-links-2")
 
     joined = components(more.join(labels.select(F.col("c").alias("a"), F.col("k").alias("ka")), "a")
                         .join(labels.select(F.col("c").alias("b"), F.col("k").alias("kb")), "b")

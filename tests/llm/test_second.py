@@ -297,3 +297,18 @@ def test_components(spark):
         parent[max(root(a), root(b))] = min(root(a), root(b))
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
     assert got == {x: root(x) for a, b in edges if a != b for x in (a, b)}
+
+
+def test_parities_bound_the_difference(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for n in (1, 3, 16, 17, 60, 130, 700):
+        for change in (0, 1, n // 5, n):
+            base = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+            other = np.unique(np.concatenate([base[change // 2:], rng.integers(0, 2**63, change, dtype=np.uint64)]))
+            if len(other) and 5 * min(n, len(other)) >= 4 * max(n, len(other)):
+                rows.append((len(set(base.tolist()) ^ set(other.tolist())), jaccard_join.parities(base).tolist(), jaccard_join.parities(other).tolist()))
+    df = spark.createDataFrame(rows, "truth long, a array<long>, b array<long>")
+    got = df.select("truth", jaccard_join.least_difference(df.a, df.b).alias("least")).collect()
+    assert len(got) > 15 and all(r.least <= r.truth and r.least % 2 == r.truth % 2 for r in got)
+    assert sum(r.least for r in got) > 0.6 * sum(r.truth for r in got)
