@@ -39,10 +39,10 @@ def tokens_of(shingles: np.ndarray, hot: np.ndarray) -> np.ndarray:
 
 
 def hot_tokens(rows: DataFrame, total: int) -> np.ndarray:
-    """Tokens in the prefixes of many rows, from all rows; they go last in the order, so they seldom meet.
+    """Tokens of many rows, from all shingles of all rows; they go last in the order, so they seldom meet.
 
-    Each task counts its prefix tokens and hands on those it saw twice. At most ``HOT_SHARE`` times the mean
-    prefix length are hot, whatever the number of rows. The order decides only how many candidates there are.
+    Each task counts its tokens and hands on those it saw twice. At most ``HOT_SHARE`` times the mean size of a
+    set are hot, whatever the number of rows. The order decides only how many candidates there are.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,10 +53,8 @@ def hot_tokens(rows: DataFrame, total: int) -> np.ndarray:
             held.clear()
             return pa.RecordBatch.from_pydict({"token": token[n > 1].astype(np.int64), "n": n[n > 1].astype(np.int64)})
 
-        none = np.zeros(0, np.uint64)
         for batch in batches:
-            for shingles in shingle_sets(binaries(batch.column(0))):
-                held.append(tokens_of(shingles, none)[:prefix_length(len(shingles))])
+            held += [shingles >> np.uint64(2) for shingles in shingle_sets(binaries(batch.column(0)))]
             if sum(map(len, held)) > 4_000_000:
                 yield flush()
         yield flush()
@@ -158,8 +156,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per document: id, ``n_shingles``, ``component_id``, ``row_id``, ``root`` (a row of the component).
 
     Documents with equal sets are one class; classes with equal size and equal prefix (the first shingles in a common
-    order, frequent ones last) are one group. In a first round each group meets only the first group on each of
-    its prefix tokens, and each class of a group the group's first class; links found there already join
+    order, frequent ones last) are one group. In a first round each group meets only the group that has the
+    token earliest, that is with fewest rare shingles before it, on each of its prefix tokens, and each class of a group the group's first class; links found there already join
     most copies. In the second round all groups that share a prefix token meet, except where the classes are in one
     component by now, so large families of copies are not paired again. Pairs of groups must pass a bound
     from their sizes and the places of the shared token; then they are expanded to classes, which must pass a
@@ -190,12 +188,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Only tokens that two documents have can make a link; every later step reads these postings.
     posts = stored(tokens.join(shared, "token").select("token", "g", "n", "at"), "jaccard-posts")
     banded = posts.withColumn("band", F.floor(F.log(F.col("n")) / float(np.log(LEAST[1] / LEAST[0]))))
-    first = stored(banded.groupBy("token", "band").agg(F.min(F.struct("g", "n", "at")).alias("f"), F.count(F.lit(1)).alias("size"))
+    first = stored(banded.groupBy("token", "band").agg(F.min(F.struct("at", "g", "n")).alias("f"), F.count(F.lit(1)).alias("size"))
                    .filter("size > 1").drop("size"), "jaccard-first")
     stars = (banded.join(first, ["token", "band"])
-             .filter((F.col("f.g") < F.col("g")) & close_in_size(F.col("f.n"), F.col("n"))
+             .filter((F.col("f.g") != F.col("g")) & close_in_size(F.col("f.n"), F.col("n"))
                      & early(F.col("f.n"), F.col("f.at"), F.col("n"), F.col("at")))
-             .select(F.col("f.g").alias("a"), F.col("g").alias("b")).distinct())
+             .select(F.least("f.g", "g").alias("a"), F.greatest("f.g", "g").alias("b")).distinct())
     inside = members.filter("c <> g").select(F.col("g").alias("a"), F.col("c").alias("b"))
     links = stored(verified(stars.unionByName(inside), odd, rows), "jaccard-links")
 
