@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from premia.llm import (exact_dedup, jaccard_join, language, max_score, mixing, packing, pseudonyms, sharding,
-                        url_rules)
+from premia.llm import (exact_dedup, jaccard_join, language, max_score, mixing, packing, pseudonyms, repeats,
+                        sharding, url_rules)
 from premia.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +76,12 @@ def top_k_query(spark, sf_dir):
     return max_score.top_k(vectors.filter(F.col("id") % 50 == 0), vectors, 5)
 
 
+@query("op6_remove_repeats")
+def repeats_query(spark, sf_dir):
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op7_mix_sources")
 def mixing_query(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).drop("row_id")
