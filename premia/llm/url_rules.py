@@ -126,7 +126,8 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         learned = base.select("tokens", F.lit(None).cast("string").alias("learned"),
                               F.lit(None).cast("array<string>").alias("why")).limit(0)
     else:
-        learned = match(base.filter("fit IS NULL"), mine(examples, min_support, min_confidence))
+        # Stored, so that the join below can split a token set that very many pages have.
+        learned = stored(match(base.filter("fit IS NULL"), mine(examples, min_support, min_confidence)), "url-learned")
     judged = base.filter("fit IS NULL").join(learned, "tokens", "left").select(
         "id", "host", "path", F.lit(None).cast("string").alias("rule"),
         F.coalesce("learned", F.lit(common)).alias("verdict"), "why")
