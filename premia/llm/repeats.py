@@ -10,6 +10,7 @@ all blocks and returns one bit a string: whether a smaller document has it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,14 @@ BLOCK_BYTES = 2 << 20
 BUCKET_BYTES = 1 << 20
 LAST = np.iinfo(np.int64).max
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
+
+
+@lru_cache(maxsize=2)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash's base and of its inverse."""
+    one = [np.uint64(1)]
+    return tuple(np.multiply.accumulate(np.concatenate([one, np.full(size, b)])) for b in (_BASE, _BACK))
 
 
 def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,9 +91,8 @@ class Block:
         if not n:
             return np.zeros(0, np.uint64)
         size = len(self.data)
-        power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size, _BASE)]))
+        power, back = _powers(-(-size // BLOCK_BYTES) * BLOCK_BYTES)
         total = np.concatenate([[np.uint64(0)], np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * power[:size])])
-        back = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size, np.uint64(pow(int(_BASE), -1, 1 << 64)))]))
         least = mix64((total[k:] - total[:-k]) * back[:size - k + 1])
         width, window = 1, self.span - k + 1
         while 2 * width <= window:
@@ -155,13 +163,16 @@ def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndar
     suffix is sorted again. Suffixes that part after t signs stay on their sides in all later passes,
     so a boundary first seen in a pass is a common prefix of that length.
     """
-    signs = np.concatenate(transforms)
-    step = np.empty(len(signs), np.int64)
+    # Few signs occur: as bytes, in the same order, they are dealt out in one counting pass.
+    _, signs = np.unique(np.concatenate(transforms), return_inverse=True)
+    signs = signs.astype(np.uint8 if signs.max(initial=0) < 256 else np.uint16)
+    place = np.int32 if len(signs) < 2**31 else np.int64
+    step = np.empty(len(signs), place)
     at = 0
     for t in transforms:
-        step[at + np.argsort(t, kind="stable")] = np.arange(at, at + len(t))
+        step[at + np.argsort(signs[at:at + len(t)], kind="stable")] = np.arange(at, at + len(t))
         at += len(t)
-    order, group = np.arange(len(signs)), np.zeros(len(signs), np.int64)
+    order, group = np.arange(len(signs), dtype=place), np.zeros(len(signs), place)
     common = np.full(len(signs), depth, np.int32)
     for t in range(depth):
         sign = signs[order]
@@ -170,7 +181,7 @@ def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndar
         order = step[order[dealt]]
         new = np.ones(len(signs), bool)
         new[1:] = (sign[1:] != sign[:-1]) | (source[1:] != source[:-1])
-        group = np.cumsum(new)
+        group = np.cumsum(new, dtype=place)
         common[new & (common == depth)] = t
     return order, common
 
@@ -205,26 +216,42 @@ def _texts(data: bytes, ends: bytes) -> list[bytes]:
 
 
 def _merge_bucket(rows: pd.DataFrame, span: int) -> pd.DataFrame:
-    """Bits of all strings that the blocks filed in one bucket."""
-    shards, sizes, orders = [], [], []
+    """Bits of all strings that the blocks filed in one bucket.
+
+    A text that several blocks filed goes into the transform of the first only, with the least owner of all;
+    the others' strings are repeated throughout if their owner is larger.
+    """
+    known: dict[bytes, int] = {}
+    filed, shards = [], []
     for data, ends, least in zip(rows["data"], rows["ends"], rows["least"]):
         texts = _texts(data, ends)
+        before = len(known)
+        at = np.fromiter((known.setdefault(t, len(known)) for t in texts), np.int64, len(texts))
+        filed.append((at, np.frombuffer(least, np.int64)))
+        if len(known) > before:
+            shards.append([t for t, k in zip(texts, at.tolist()) if k >= before])
+    size = np.array([len(t) + 1 for t in known])
+    first = np.full(len(known), LAST)
+    for at, own in filed:
+        np.minimum.at(first, at, own)
+    # Owners are ranked, so that any id, even a negative one, can be told from "too short".
+    rank = np.searchsorted(np.unique(first), first)
+    left = np.repeat(np.cumsum(size), size) - np.arange(size.sum()) - 1
+    owner = np.where(left >= span, np.repeat(rank, size), -1)
+    begin, made, orders = 0, [], []
+    for texts in shards:
         signs, order = transform(texts)
-        size = np.array([len(t) + 1 for t in texts])
-        text = np.repeat(np.arange(len(texts)), size)
-        left = np.repeat(np.cumsum(size), size) - np.arange(len(order)) - 1
-        owner = np.where(left >= span, np.frombuffer(least, np.int64)[text], -1)
-        # Owners are ranked, so that any id, even a negative one, can be told from "too short".
-        shards.append((signs, owner, left >= span))
-        orders.append(order)
-        sizes.append(len(order))
-    ids = np.unique(np.concatenate([o[ok] for _, o, ok in shards]))
-    found = repeated([(t, np.where(ok, np.searchsorted(ids, o), -1)[order]) for (t, o, ok), order in zip(shards, orders)], span)
+        made.append((signs, owner[begin:begin + len(order)][order]))
+        orders.append(order + begin)
+        begin += len(order)
+    marks = np.zeros(begin, bool)
+    marks[np.concatenate(orders)] = np.concatenate(repeated(made, span))
+    starts = np.cumsum(size) - size
     bits = []
-    for smaller, order in zip(found, orders):
-        plain = np.empty(len(order), bool)
-        plain[order] = smaller
-        bits.append(np.packbits(plain).tobytes())
+    for at, own in filed:
+        n = size[at]
+        spot = np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        bits.append(np.packbits(marks[spot] | np.repeat(own > first[at], n)).tobytes())
     return pd.DataFrame({"block": rows["block"].to_numpy(), "bucket": rows["bucket"].to_numpy(), "bits": bits})
 
 
@@ -293,20 +320,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for row, block in opened(batches):
             runs, text, texts, least, parts = pieces_of(row, block)
             given = {x["bucket"]: x["bits"] for x in row["bits"] or []}
-            hit: list = [None] * len(texts)
+            size = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+            begin = np.cumsum(size) - size
+            marks = np.zeros(int(size.sum()), bool)
             for b, i in parts:
-                sizes = np.array([len(texts[j]) + 1 for j in i])
-                marks = np.unpackbits(np.frombuffer(given[b], np.uint8), count=int(sizes.sum())).astype(bool)
-                for j, part in zip(i, np.split(marks, np.cumsum(sizes)[:-1])):
-                    hit[j] = part
-            cover = np.zeros(len(block.data) + 1, np.int32)
+                n = size[i]
+                spot = np.repeat(begin[i] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                marks[spot] = np.unpackbits(np.frombuffer(given[b], np.uint8), count=len(spot)).astype(bool)
+            first, last = block.first[runs], block.last[runs]
             later = block.ids[block.doc[runs]] > least[text]
-            for r, x, all_ in zip(runs.tolist(), text.tolist(), later.tolist()):
-                first, last = block.first[r], block.last[r]
-                starts = np.arange(first, last) if all_ else first + np.flatnonzero(hit[x][:last - first])
-                if len(starts):
-                    np.add.at(cover, starts, 1)
-                    np.add.at(cover, starts + span, -1)
+            n = last - first
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            hit = marks[np.repeat(begin[text], n) + step] | np.repeat(later, n)
+            starts = (np.repeat(first, n) + step)[hit]
+            size = len(block.data) + 1
+            cover = np.bincount(starts, minlength=size) - np.bincount(starts + span, minlength=size)
             yield from _cut_documents(row, block, np.cumsum(cover[:-1]) > 0)
 
     out = "id long, n_bytes long, n_removed long, spans array<struct<start:long,length:long>>, kept binary"
