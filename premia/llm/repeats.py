@@ -129,24 +129,22 @@ class Block:
 def transform(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Burrows-Wheeler transform of a set of texts, each with an end sign 0, and the sorted suffixes' places.
 
-    Prefix doubling: suffixes get ranks by twice as many signs each time; equal suffixes go by their text.
+    Prefix doubling: suffixes get ranks by twice as many signs each time. The end sign of an earlier text is the smaller,
+    so no two suffixes are equal and equal ones go by their text.
     """
     data = np.concatenate([np.append(np.frombuffer(t, np.uint8).astype(np.int64) + 1, 0) for t in texts])
     n = len(data)
     end = data == 0
-    left = np.flatnonzero(end)[np.cumsum(end) - end] - np.arange(n)  # signs before the end sign
-    rank, depth = data.copy(), 1
-    rank[end] = 0
-    longest = int(left.max(initial=0)) + 1
+    rank, depth = data + len(texts), 1
+    rank[end] = np.arange(len(texts))
     while True:
-        after = np.where(left >= depth, np.append(rank, np.zeros(depth, np.int64))[depth:depth + n], -1)
-        key = rank * (n + 300) + after + 1
-        order = np.argsort(key, kind="stable")
+        key = rank * (n + len(texts) + 300) + np.append(rank[depth:], np.zeros(min(depth, n), np.int64))
+        order = np.argsort(key)
         fresh = np.append(True, np.diff(key[order]) != 0)
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(fresh) - 1
         depth *= 2
-        if depth > longest or fresh.all():
+        if fresh.all():
             break
     begin = np.append(True, end[:-1])
     before = np.append(data[-1], data[:-1])
