@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from premia.functions.tenancy import scope_to_tenant
-from premia.functions.text import citation, iso_time, minute_time
+from premia.functions.text import citation, iso_time, minute_time, strip_blanks
 from premia.settings import (
     AUDIT_PAGE_ROWS, DECISION_ACTIONS, PROMPT_VERSION, REPORT_BODY_CHARS, REPORT_CHUNK_CHARS,
     REPORT_CHUNKS, REPORT_CODE_CHARS, REPORT_SQL_QUERIES,
@@ -61,7 +61,7 @@ def apply_decisions(audit: DataFrame, decisions: DataFrame) -> tuple[DataFrame,
     invalid_action, comment_required, not_found, conflict, recorded, checked in that order. The
     first valid decision of a record wins; a record that has one already keeps it.
     """
-    comment = F.trim(F.coalesce("comment", F.lit("")))
+    comment = strip_blanks(F.coalesce("comment", F.lit("")))
     refused = (
         F.when(F.col("action").isNull() | ~F.col("action").isin(*DECISION_ACTIONS),
                "invalid_action")

@@ -72,6 +72,9 @@ def _scored_in_blocks(questions: DataFrame, vectors: DataFrame, scope: list[str]
                       vectors_per_block: int, questions_per_block: int) -> DataFrame:
     """Best k per question and block; several blocks of a scope may answer one question."""
     filtered = "document_ids" in questions.columns
+    # a chunk that waits for its vector is normal and matches nothing
+    vectors = vectors.filter(F.col("embedding").isNotNull())
+    questions = questions.filter(F.col("embedding").isNotNull())
 
     def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
         return df.groupBy(*scope).agg(F.ceil(F.count(F.lit(1)) / size).alias(name))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 COPIES_PER_TASK = 1_000_000
+# Timestamps to the microsecond, or rows that differ there would share an id.
+_EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+          "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def _numbered(copies: DataFrame, first: Column, last: Column, columns: list[str]) -> DataFrame:
@@ -20,7 +23,7 @@ def with_row_id(df: DataFrame, name: str = "_row_id",
     ``copies_per_task``, so no task ever holds a group of copies.
     """
     columns = [f"`{c}`" for c in df.columns]
-    digest = F.sha2(F.to_json(F.struct(*columns)), 256)
+    digest = F.sha2(F.to_json(F.struct(*columns), _EXACT), 256)
     counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies")) \
         .withColumn("_digest", digest)
     top = F.col("_copies") - 1

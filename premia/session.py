@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,14 +38,14 @@ def build_session(app: str = "premia", master: str | None = None, **extra: str)
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder under the cluster's ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder of its own; a cluster without
+    Only a session of one process without that setting gets a folder of its own; a cluster without
     it is refused, because executors could not see a machine-local folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="premia-")
+        base = "/tmp/checkpoints"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 

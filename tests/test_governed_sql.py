@@ -129,6 +129,18 @@ def test_log_screen_agrees_with_the_parser(spark):
         f"SELECT 'FROM {FOREIGN}' AS x FROM {OWN}",
         f"SELECT age FROM {OWN}, -- nothing\n {FOREIGN}",
         f"SELECT max(age) AS m FROM {OWN} WHERE age > (SELECT avg(age) FROM {FOREIGN})",
+        f"SELECT age FROM {OWN}, -- don't\n {FOREIGN}",
+        f"SELECT '\\'' FROM {FOREIGN} WHERE region = 'x'",
+        f"SELECT \"'\" AS x FROM {FOREIGN} WHERE region = \"'\"",
+        f"SELECT age FROM {OWN} WHERE age IN (TABLE {FOREIGN})",
+        f"SELECT reflect('java.lang.System', 'getProperty', 'x') AS x FROM {OWN}",
+        f"SELECT age FROM {OWN} -- one\r, {FOREIGN}",
+        f"SELECT r'\\' AS x FROM {FOREIGN} WHERE region = 'x' OR region = ''''",
+        f'SELECT "age" FROM "{OWN}"',
+        f'SELECT age FROM "{FOREIGN}"',
+        f"SELECT age FROM `{FOREIGN}`",
+        "SELECT age FROM " + "(SELECT age FROM " * 12 + OWN + ") q" * 12,
+        "SELECT age FROM " + "(SELECT age FROM " * 12 + FOREIGN + ") q" * 12,
     ]
     shared = [s for s in ACCEPTED + REFUSED[:12] + more if "INSERT INTO x" not in s]
     log = spark.createDataFrame([(i, "t", s) for i, s in enumerate(shared)],
@@ -138,3 +150,13 @@ def test_log_screen_agrees_with_the_parser(spark):
     got = {r["statement_id"]: r["ok"] for r in screen_sql_log(log, entitled).collect()}
     want = {i: screen_statement(spark, s, [OWN])[0] for i, s in enumerate(shared)}
     assert [shared[i] for i in got if got[i] != want[i]] == []
+
+
+def test_double_quotes_name_columns(spark, policies):
+    result = run_governed_select(spark, f'SELECT "region" FROM {OWN} WHERE "age" = 3', {OWN: policies})
+    assert [r[0] for r in result.frame.collect()] == ["South"]
+
+
+def test_no_view_stays(spark, policies):
+    run_governed_select(spark, f"SELECT age FROM {OWN}", {OWN: policies})
+    assert not spark.catalog.tableExists(OWN)
