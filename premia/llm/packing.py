@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
 from collections.abc import Iterator
+from string import ascii_lowercase, ascii_uppercase, punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -17,47 +17,103 @@ SEQUENCE = 4096
 GRAIN = 8
 END_ID = 2
 CACHE_WORDS = 800_000
+TOGETHER = 1 << 20
 BETWEEN = "<|endoftext|>"
 
 _tokenizers: dict = {}
 
 
-def _tokenizer(path: str):
-    """The tokenizer and its cache of words, once per Python worker."""
-    if path not in _tokenizers:
+class Words:
+    """A tokenizer and the ids of the words it has met, once per Python worker.
+
+    The tokenizer never joins over white space, so a word's ids are looked up after the first time. Where it
+    parts letters from what follows them, a word's letters and its closing punctuation are encoded apart, so that
+    the forms of a word that differ in punctuation (and in ASCII case, if the tokenizer ignores it) cost once.
+    """
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        _tokenizers[path] = Tokenizer.from_file(path), {}
-    return _tokenizers[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        shape, split = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.lowers = shape is not None and shape.normalize_str(ascii_uppercase) == ascii_lowercase
+        self.ends = None
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if suffix and split is not None and all(
+                len(split.pre_tokenize_str(f"a{c}")) == 2 for c in (*punctuation, punctuation)):
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
 
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-def _encode_words(tokenizer, words: list[bytes]) -> list[bytes]:
-    """Ids of each word. Words are encoded together, with a special token between them, as single calls cost more."""
-    mark = tokenizer.token_to_id(BETWEEN)
-    if mark is None or any(BETWEEN.encode() in w for w in words):
-        return [array("I", c.ids).tobytes() for c in tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-    joined = f" {BETWEEN} ".join(w.decode() for w in words)
-    ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
-    return [part.tobytes() for part in np.split(ids[ids != mark], np.flatnonzero(ids == mark) - np.arange(len(words) - 1))]
+    def _marked(self, words: list[str]) -> list[bytes]:
+        """Ids of any words: encoded together, with a special token between them, as single calls cost more."""
+        mark = self.tokenizer.token_to_id(BETWEEN)
+        if mark is None or any(BETWEEN in w for w in words):
+            return [self._encode(w).tobytes() for w in words]
+        ids = self._encode(f" {BETWEEN} ".join(words))
+        return [part.tobytes() for part in np.split(ids[ids != mark], np.flatnonzero(ids == mark) - np.arange(len(words) - 1))]
 
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters alone: each has one token that ends a word, unless the tokenizer changes letters."""
+        ids = self._encode(" ".join(words))
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(words) or stops[-1] != len(ids):
+            return self._marked(words)
+        raw, stops = ids.tobytes(), (4 * stops).tolist()
+        return [raw[a:b] for a, b in zip([0, *stops], stops)]
 
-def token_ids(texts: list[bytes], path: str) -> Iterator[bytes]:
-    """Little-endian unsigned 32-bit ids of each text.
+    def _learn(self, parts: set[str], encode) -> None:
+        new = list(parts.difference(self.parts))
+        for at in range(0, len(new), 4096):
+            some = new[at:at + 4096]
+            self.parts.update(zip(some, encode(some)))
 
-    The tokenizer never joins over white space, so distinct words are encoded once and looked up after.
-    """
-    tokenizer, known = _tokenizer(path)
-    for text in texts:
-        words = text.split()
-        new = list(set(words).difference(known))
+    def learn(self, words: set[bytes]) -> None:
+        plain, other = [], []
+        for word in words:
+            text = word.decode()
+            core = text.rstrip(punctuation)
+            if self.ends is not None and core.isalpha():
+                tail = text[len(core):]
+                plain.append((word, core.lower() if self.lowers and core.isascii() else core, tail))
+            else:
+                other.append((word, text))
+        self._learn({core for _, core, _ in plain}, self._letters)
+        self._learn({tail for _, _, tail in plain if tail} | {text for _, text in other}, self._marked)
+        ids = self.parts
+        self.known.update((word, ids[core] + ids[tail] if tail else ids[core]) for word, core, tail in plain)
+        self.known.update((word, ids[text]) for word, text in other)
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of whole texts."""
+        split = [text.split() for text in texts]
+        new = set().union(*split).difference(self.known)
         if new:
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = list(set(words))
-            for at in range(0, len(new), 4096):
-                part = new[at:at + 4096]
-                known.update(zip(part, _encode_words(tokenizer, part)))
-        yield b"".join(map(known.__getitem__, words))
+            if len(self.known) + len(new) > CACHE_WORDS:
+                self.known.clear()
+                self.parts.clear()
+                new = set().union(*split)
+            self.learn(new)
+        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+
+
+def token_ids(texts: list[bytes], path: str) -> Iterator[bytes]:
+    """Little-endian unsigned 32-bit ids of each text; about ``TOGETHER`` bytes of texts are split at once."""
+    if path not in _tokenizers:
+        _tokenizers[path] = Words(path)
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= TOGETHER:
+            yield from _tokenizers[path].ids(held)
+            held, size = [], 0
+    yield from _tokenizers[path].ids(held)
 
 
 def cut(docs: DataFrame, id_col: str, text_col: str, path: str, row_id: str | None, sequence: int) -> DataFrame:
