@@ -164,17 +164,41 @@ def best_pattern(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[floa
     return float(worth[room]), pattern
 
 
+def greedy_patterns(sizes: np.ndarray, demand: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """One pattern a size and its use, filled from the largest size that is left.
+
+    A pattern is used until it has used up a size, which no later pattern holds: the patterns are independent.
+    """
+    left, m = demand.copy(), len(sizes)
+    columns, use, done = np.zeros((m, m)), np.zeros(m), np.zeros(m, bool)
+    for turn in range(m):
+        pattern, rest = columns[:, turn], room
+        for at in np.flatnonzero(~done)[::-1]:
+            if sizes[at] <= rest:
+                pattern[at] = min(rest // sizes[at], max(1, int(left[at])))
+                rest -= sizes[at] * pattern[at]
+        held = np.flatnonzero(pattern)
+        times = left[held] / pattern[held]
+        used_up = held[times.argmin()]
+        use[turn] = times.min()
+        left = np.maximum(left - use[turn] * pattern, 0)
+        left[used_up], done[used_up] = 0, True
+    return columns, use
+
+
 def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """Patterns and how often each is used: the linear program of the cutting-stock problem.
 
-    Starts with one pattern per size, only that size. Each round prices a new pattern by the duals and swaps it into the
-    basis; it ends when no pattern is worth more than a sequence, or after ``rounds`` (still feasible).
+    Starts with the greedy patterns. Each round prices a new pattern by the duals and swaps it into the
+    basis; it ends when no pattern is worth more than a sequence, when every sequence is full (no plan uses fewer), or
+    after ``rounds`` (still feasible).
     """
-    m = len(sizes)
-    basis = np.diag(room // sizes).astype(float)
-    inverse = np.diag(1.0 / np.diag(basis))
-    use = inverse @ demand
+    basis, use = greedy_patterns(sizes, demand, room)
+    inverse = np.linalg.inv(basis)
+    full = float(sizes @ demand) / room
     for turn in range(rounds):
+        if use.sum() <= full * (1 + 1e-9):
+            break
         worth, pattern = best_pattern(inverse.sum(axis=0), sizes, room)
         if worth <= 1 + 1e-7:
             break
