@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from operator import add
 from string import ascii_lowercase, ascii_uppercase, punctuation
 
 import numpy as np
@@ -36,7 +37,7 @@ class Words:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.parts = {"": b""}
         shape, split = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         self.lowers = shape is not None and shape.normalize_str(ascii_uppercase) == ascii_lowercase
         self.ends = None
@@ -74,20 +75,19 @@ class Words:
             self.parts.update(zip(some, encode(some)))
 
     def learn(self, words: set[bytes]) -> None:
-        plain, other = [], []
-        for word in words:
-            text = word.decode()
-            core = text.rstrip(punctuation)
-            if self.ends is not None and core.isalpha():
-                tail = text[len(core):]
-                plain.append((word, core.lower() if self.lowers and core.isascii() else core, tail))
-            else:
-                other.append((word, text))
-        self._learn({core for _, core, _ in plain}, self._letters)
-        self._learn({tail for _, _, tail in plain if tail} | {text for _, text in other}, self._marked)
-        ids = self.parts
-        self.known.update((word, ids[core] + ids[tail] if tail else ids[core]) for word, core, tail in plain)
-        self.known.update((word, ids[text]) for word, text in other)
+        """Each word is a head of letters, maybe empty, and a tail."""
+        texts = b"\n".join(words).decode().split("\n")
+        heads = [""] * len(texts)
+        if self.ends is not None:
+            cores = [text.rstrip(punctuation) for text in texts]
+            heads = [core if core.isalpha() else "" for core in cores]
+        tails = [text[len(head):] for text, head in zip(texts, heads)]
+        if self.lowers:
+            heads = [head.lower() if head.isascii() else head for head in heads]
+        self._learn(set(heads), self._letters)
+        self._learn(set(tails), self._marked)
+        ids = self.parts.__getitem__
+        self.known.update(zip(words, map(add, map(ids, heads), map(ids, tails))))
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of whole texts."""
@@ -96,7 +96,7 @@ class Words:
         if new:
             if len(self.known) + len(new) > CACHE_WORDS:
                 self.known.clear()
-                self.parts.clear()
+                self.parts = {"": b""}
                 new = set().union(*split)
             self.learn(new)
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
