@@ -17,7 +17,7 @@ from premia.llm.common import ranked, small_batches, stored, text_of
 SEQUENCE = 4096
 GRAIN = 8
 END_ID = 2
-CACHE_WORDS = 800_000
+CACHE_WORDS = 1_200_000
 TOGETHER = 1 << 20
 BETWEEN = "<|endoftext|>"
 
