@@ -1,7 +1,8 @@
 """Conversation memory over a log of queries or a table of messages.
 
 Messages: session_id, message_index (0, 1, 2 ... in a session), turn_index, role, content.
-Two messages make a turn.
+Two messages make a turn. Sessions belong to a tenant: wherever a table has a ``tenant_id``, a session is
+known by tenant and id, and the results carry both. A table without that column holds one tenant.
 """
 
 from __future__ import annotations
@@ -26,6 +27,11 @@ def hour_of(time: Column) -> Column:
     return F.floor(F.unix_timestamp(time.cast("timestamp")) / _HOUR)
 
 
+def session_key(df: DataFrame) -> list[str]:
+    """The columns that tell sessions apart."""
+    return [c for c in ("tenant_id", "session_id") if c in df.columns]
+
+
 def persistent(log: DataFrame) -> DataFrame:
     """Queries that reach memory; scenario runs never do."""
     return log.filter(~F.col("is_ephemeral"))
@@ -37,14 +43,15 @@ def conversation_turns(log: DataFrame, bucket: Column | None = None) -> DataFram
     ``log``: query_id, session_id, asked_at, question, action, is_ephemeral.
     """
     numbered = number_along(
-        persistent(log), ["session_id"], ["asked_at", "query_id"],
+        persistent(log), session_key(log), ["asked_at", "query_id"],
         hour_of(F.col("asked_at")) if bucket is None else bucket, "turn_index")
     said = F.posexplode(F.array(
         F.struct(F.lit("user").alias("role"), F.col("question").alias("content")),
         F.struct(F.lit("assistant").alias("role"),
                  F.coalesce("action", F.lit("")).alias("content"))))
-    return numbered.select("session_id", "turn_index", said.alias("_side", "_said")).select(
-        "session_id", (F.col("turn_index") * 2 + F.col("_side")).alias("message_index"),
+    key = session_key(log)
+    return numbered.select(*key, "turn_index", said.alias("_side", "_said")).select(
+        *key, (F.col("turn_index") * 2 + F.col("_side")).alias("message_index"),
         "turn_index", "_said.role", "_said.content")
 
 
@@ -54,10 +61,10 @@ def recent_window(messages: DataFrame, turns: int = WINDOW_TURNS,
 
     The rank limit prunes every session to that many messages in each task before the shuffle.
     """
-    newest = F.row_number().over(
-        Window.partitionBy("session_id").orderBy(F.desc("message_index")))
+    key = session_key(messages)
+    newest = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("message_index")))
     return messages.withColumn("_newest", newest).filter(F.col("_newest") <= 2 * turns).select(
-        "session_id", "message_index", "turn_index", "role",
+        *key, "message_index", "turn_index", "role",
         F.substring("content", 1, chars).alias("content"))
 
 
@@ -70,15 +77,16 @@ def rollup_blocks(messages: DataFrame, window: int = WINDOW_TURNS,
     bounds each group.
     """
     size = summarize_after - window + 1
-    turns = messages.groupBy("session_id").agg((F.max("turn_index") + 1).alias("turn_count"))
+    key = session_key(messages)
+    turns = messages.groupBy(*key).agg((F.max("turn_index") + 1).alias("turn_count"))
     line = speaker_line(F.col("role"), F.col("content"), SUMMARY_MESSAGE_CHARS)
     lines = F.sort_array(F.collect_list(F.struct("message_index", line.alias("line"))))
     return (
         messages.withColumn("block", F.floor(F.col("turn_index") / size))
-        .groupBy("session_id", "block").agg(lines["line"].alias("lines"))
-        .join(turns, "session_id")
+        .groupBy(*key, "block").agg(lines["line"].alias("lines"))
+        .join(turns, key)
         .filter(F.col("turn_count") >= F.lit(size) * F.col("block") + summarize_after + 1)
-        .select("session_id", "block", F.array_join("lines", "\n").alias("old_text"))
+        .select(*key, "block", F.array_join("lines", "\n").alias("old_text"))
     )
 
 
@@ -94,15 +102,16 @@ def session_summaries(blocks: DataFrame, summarize: Callable[[Column], Column])
     so round b handles block b of all sessions at once; the state is written to the shared folder
     each round, which keeps plans short and lets lost executors be replaced.
     """
+    key = session_key(blocks)
     blocks = materialize(blocks, "blocks")
     last = blocks.agg(F.max("block")).first()[0]
     state = materialize(
-        blocks.select("session_id").distinct()
+        blocks.select(*key).distinct()
         .withColumn("context_summary", F.lit(None).cast("string")), "summaries")
     for b in range(0, -1 if last is None else last + 1):
-        due = blocks.filter(F.col("block") == b).select("session_id", "old_text")
-        stepped = state.join(due, "session_id", "left")
-        state = materialize(stepped.select("session_id", F.when(
+        due = blocks.filter(F.col("block") == b).select(*key, "old_text")
+        stepped = state.join(due, key, "left")
+        state = materialize(stepped.select(*key, F.when(
             F.col("old_text").isNotNull(),
             summarize(summary_prompt(F.col("context_summary"), F.col("old_text"))),
         ).otherwise(F.col("context_summary")).alias("context_summary")), "summaries")
@@ -116,16 +125,16 @@ def context_strings(window: DataFrame, summaries: DataFrame | None = None) -> Da
     """
     line = F.concat(F.upper("role"), F.lit(": "), F.col("content"))
     lines = F.sort_array(F.collect_list(F.struct("message_index", line.alias("line"))))
-    recent = window.groupBy("session_id").agg(
+    key = session_key(window)
+    recent = window.groupBy(*key).agg(
         F.concat(F.lit("Recent conversation:\n"), F.array_join(lines["line"], "\n"))
         .alias("_recent"))
     if summaries is None:
         return recent.withColumnRenamed("_recent", "context")
     earlier = F.when(F.coalesce("context_summary", F.lit("")) != "", F.concat(
         F.lit("Summary of earlier discussion:\n"), "context_summary"))
-    return recent.join(summaries.select("session_id", earlier.alias("_earlier")),
-                       "session_id", "full").select(
-        "session_id", F.concat_ws("\n\n", "_earlier", "_recent").alias("context"))
+    return recent.join(summaries.select(*key, earlier.alias("_earlier")), key, "full").select(
+        *key, F.concat_ws("\n\n", "_earlier", "_recent").alias("context"))
 
 
 def carry_forward_assets(log: DataFrame, ids: str = "dataset_ids", bucket: Column | None = None
@@ -136,7 +145,7 @@ def carry_forward_assets(log: DataFrame, ids: str = "dataset_ids", bucket: Colum
     """
     own = F.when(F.size(ids) > 0, F.col(ids))
     carried = last_before(
-        log, ["session_id"], ["asked_at", "query_id"],
+        log, session_key(log), ["asked_at", "query_id"],
         hour_of(F.col("asked_at")) if bucket is None else bucket,
         F.when(~F.col("is_ephemeral"), own), "_inherited")
     empty = F.array().cast(log.schema[ids].dataType)

@@ -11,7 +11,7 @@ from premia.operators.embedding import TfidfEmbedder, embed_chunks
 from premia.operators.evidence import (
     assemble_prompts, format_document_evidence, format_sql_evidence, with_scenario,
 )
-from premia.operators.memory import carry_forward_assets
+from premia.operators.memory import carry_forward_assets, session_key
 from premia.operators.recommendations import generate_recommendations
 from premia.operators.retrieval import attach_texts, lexical_overlap, rerank, vector_top_k
 from premia.session import materialize
@@ -42,7 +42,8 @@ def answer_questions(log: DataFrame, chunks: DataFrame, embedder: TfidfEmbedder,
 
     ``log``: query_id, session_id, tenant_id, asked_at, question, dataset_ids, document_ids,
     scenario_label, scenario_assumptions, is_ephemeral. ``sql_results`` is keyed by question_id =
-    query_id (see ``format_sql_evidence``); ``contexts`` holds session_id and context.
+    query_id (see ``format_sql_evidence``); ``contexts`` holds session_id, context and, where sessions
+    of several tenants may share an id, tenant_id.
     """
     log = carry_forward_assets(carry_forward_assets(log), "document_ids")
     asked = log.select(
@@ -50,7 +51,7 @@ def answer_questions(log: DataFrame, chunks: DataFrame, embedder: TfidfEmbedder,
         F.col("effective_document_ids").alias("document_ids"),
         with_scenario(F.col("question"), F.col("scenario_assumptions")).alias("question"))
     evidence = materialize(find_evidence(asked, chunks, embedder), "evidence")
-    with_context = (asked.join(contexts, "session_id", "left") if contexts is not None
+    with_context = (asked.join(contexts, session_key(contexts), "left") if contexts is not None
                     else asked.withColumn("context", F.lit(None).cast("string")))
     prompts = assemble_prompts(
         with_context, format_document_evidence(evidence),

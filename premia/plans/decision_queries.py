@@ -268,32 +268,35 @@ def _screen_sql_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- memory ----------------------------------------------------------------------------
 
 _TURNS_SQL = f"""
-    SELECT session_id, 2 * turn_index + side AS message_index, turn_index,
+    SELECT tenant_id, session_id, 2 * turn_index + side AS message_index, turn_index,
            (['user', 'assistant'])[side + 1] AS role,
            CASE WHEN side = 0 THEN question ELSE action END AS content
-    FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY asked_at, query_id) - 1
-                 AS turn_index
+    FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, session_id
+                                    ORDER BY asked_at, query_id) - 1 AS turn_index
           FROM ({QUERY_LOG_SQL}) q WHERE NOT is_ephemeral) t, (VALUES (0), (1)) s(side)
 """
 
 
-def _window_sql(source: str, turns: int, chars: int = 600) -> str:
+_TENANT_KEY = "tenant_id, session_id"
+
+
+def _window_sql(source: str, turns: int, chars: int = 600, key: str = "session_id") -> str:
     return f"""
-    SELECT session_id, message_index, turn_index, role, substr(content, 1, {chars}) AS content
+    SELECT {key}, message_index, turn_index, role, substr(content, 1, {chars}) AS content
     FROM ({source}) m
-    QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY message_index DESC) <= {2 * turns}
+    QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY message_index DESC) <= {2 * turns}
     """
 
 
-def _rollup_sql(source: str, window: int, after: int) -> str:
+def _rollup_sql(source: str, window: int, after: int, key: str = "session_id") -> str:
     size = after - window + 1
     return f"""
-    SELECT session_id, turn_index // {size} AS block,
+    SELECT {key}, turn_index // {size} AS block,
            string_agg(upper(role) || ': ' || substr(content, 1, 500), chr(10)
                       ORDER BY message_index) AS old_text
-    FROM (SELECT *, max(turn_index) OVER (PARTITION BY session_id) + 1 AS turn_count
+    FROM (SELECT *, max(turn_index) OVER (PARTITION BY {key}) + 1 AS turn_count
           FROM ({source}) m) t
-    GROUP BY session_id, turn_index // {size}, turn_count
+    GROUP BY {key}, turn_index // {size}, turn_count
     HAVING turn_count >= {size} * (turn_index // {size}) + {after + 1}
     """
 
@@ -316,7 +319,7 @@ def _recent_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recent_window(messages(spark, sf_dir), turns=2)
 
 
-@query("recent_window_turns", _window_sql(_TURNS_SQL, 4))
+@query("recent_window_turns", _window_sql(_TURNS_SQL, 4, key=_TENANT_KEY))
 def _recent_window_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recent_window(conversation_turns(query_log(spark, sf_dir)))
 
@@ -326,7 +329,7 @@ def _rollup_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup_blocks(messages(spark, sf_dir), window=1, summarize_after=2)
 
 
-@query("rollup_blocks_turns", _rollup_sql(_TURNS_SQL, 4, 8))
+@query("rollup_blocks_turns", _rollup_sql(_TURNS_SQL, 4, 8, _TENANT_KEY))
 def _rollup_blocks_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup_blocks(conversation_turns(query_log(spark, sf_dir)))
 
@@ -382,7 +385,7 @@ def _session_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
                              THEN dataset_ids END IGNORE NULLS) OVER w AS ds,
                last_value(CASE WHEN len(document_ids) > 0 AND NOT is_ephemeral
                           THEN document_ids END IGNORE NULLS) OVER w AS docs
-        FROM log WINDOW w AS (PARTITION BY session_id ORDER BY asked_at, query_id
+        FROM log WINDOW w AS (PARTITION BY tenant_id, session_id ORDER BY asked_at, query_id
                               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
     SELECT query_id, session_id,
            array_to_string(CASE WHEN len(dataset_ids) > 0 THEN dataset_ids

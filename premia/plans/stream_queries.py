@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from premia.plans.decision_queries import _TURNS_SQL, _rollup_sql
+from premia.plans.decision_queries import _TENANT_KEY, _TURNS_SQL, _rollup_sql
 from premia.plans.registry import query
 from premia.plans.tables import REQUEST_LOG_SQL, query_log_of, request_log_of, table
 from premia.session import shared_folder
@@ -65,18 +65,18 @@ def _remember(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
     return out, log
 
 
-@query("stream_session_memory", _rollup_sql(_TURNS_SQL, 4, 8))
+@query("stream_session_memory", _rollup_sql(_TURNS_SQL, 4, 8, _TENANT_KEY))
 def _stream_session_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, log = _remember(spark, sf_dir)
-    return rolled_up(spark, out, log.schema["session_id"].dataType)
+    return rolled_up(spark, out, log.schema)
 
 
 @query("stream_session_window", f"""
-    SELECT session_id, message_index, turn_index, role, content
-    FROM (SELECT *, max(turn_index) OVER (PARTITION BY session_id) + 1 AS turn_count
+    SELECT tenant_id, session_id, message_index, turn_index, role, content
+    FROM (SELECT *, max(turn_index) OVER (PARTITION BY tenant_id, session_id) + 1 AS turn_count
           FROM ({_TURNS_SQL}) t) m
     WHERE turn_count < 5 * (turn_index // 5) + 9
 """)
 def _stream_session_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, log = _remember(spark, sf_dir)
-    return stored_messages(spark, out, log.schema["session_id"].dataType)
+    return stored_messages(spark, out, log.schema)

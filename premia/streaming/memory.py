@@ -11,18 +11,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from premia.operators.memory import conversation_turns, rollup_blocks
+from premia.operators.memory import conversation_turns, rollup_blocks, session_key
 from premia.settings import SUMMARIZE_AFTER_TURNS, WINDOW_TURNS
 from premia.streaming.files import read_batch, read_batches, write_batch
 
 
-def _schemas(session_type: T.DataType) -> tuple[T.StructType, T.StructType]:
-    session = T.StructField("session_id", session_type)
+def _schemas(log: T.StructType) -> tuple[T.StructType, T.StructType]:
+    """Messages and blocks of a log's sessions, with its tenants if it has them."""
+    session = [T.StructField(c, log[c].dataType) for c in ("tenant_id", "session_id") if c in log.names]
     message = T.StructType([
-        session, T.StructField("message_index", T.LongType()),
+        *session, T.StructField("message_index", T.LongType()),
         T.StructField("turn_index", T.LongType()), T.StructField("role", T.StringType()),
         T.StructField("content", T.StringType())])
-    block = T.StructType([session, T.StructField("block", T.LongType()),
+    block = T.StructType([*session, T.StructField("block", T.LongType()),
                           T.StructField("old_text", T.StringType())])
     return message, block
 
@@ -30,16 +31,17 @@ def _schemas(session_type: T.DataType) -> tuple[T.StructType, T.StructType]:
 def advance_memory(stored: DataFrame, log: DataFrame, window: int, summarize_after: int
                    ) -> tuple[DataFrame, DataFrame]:
     """(messages stored afterwards, blocks rolled up now) after the queries in ``log``."""
-    seen = stored.groupBy("session_id").agg((F.max("turn_index") + 1).alias("_seen"))
+    key = session_key(log)
+    seen = stored.groupBy(*key).agg((F.max("turn_index") + 1).alias("_seen"))
     earlier = F.coalesce("_seen", F.lit(0))
-    new = conversation_turns(log).join(seen, "session_id", "left").select(
-        "session_id", (F.col("message_index") + 2 * earlier).alias("message_index"),
+    new = conversation_turns(log).join(seen, key, "left").select(
+        *key, (F.col("message_index") + 2 * earlier).alias("message_index"),
         (F.col("turn_index") + earlier).alias("turn_index"), "role", "content")
     messages = stored.unionByName(new)
     blocks = rollup_blocks(messages, window, summarize_after)
     size = summarize_after - window + 1
     kept = messages.withColumn("block", F.floor(F.col("turn_index") / size)).join(
-        blocks.select("session_id", "block"), ["session_id", "block"], "left_anti")
+        blocks.select(*key, "block"), [*key, "block"], "left_anti")
     return kept.select(*stored.columns), blocks
 
 
@@ -50,7 +52,7 @@ def stream_session_memory(log: DataFrame, out: str, window: int = WINDOW_TURNS,
     Micro-batches must come in the order of time. Writes ``out/blocks`` (what was rolled up) and
     ``out/stored`` (what is kept verbatim).
     """
-    message, _ = _schemas(log.schema["session_id"].dataType)
+    message, _ = _schemas(log.schema)
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -69,13 +71,13 @@ def stream_session_memory(log: DataFrame, out: str, window: int = WINDOW_TURNS,
     )
 
 
-def rolled_up(spark: SparkSession, out: str, session_type: T.DataType) -> DataFrame:
-    """All blocks rolled up so far."""
-    return read_batches(spark, f"{out}/blocks", _schemas(session_type)[1]).drop("batch_id")
+def rolled_up(spark: SparkSession, out: str, log: T.StructType) -> DataFrame:
+    """All blocks rolled up so far; ``log`` is the schema of the stream."""
+    return read_batches(spark, f"{out}/blocks", _schemas(log)[1]).drop("batch_id")
 
 
-def stored_messages(spark: SparkSession, out: str, session_type: T.DataType) -> DataFrame:
+def stored_messages(spark: SparkSession, out: str, log: T.StructType) -> DataFrame:
     """The messages kept verbatim after the newest batch."""
-    every = read_batches(spark, f"{out}/stored", _schemas(session_type)[0])
+    every = read_batches(spark, f"{out}/stored", _schemas(log)[0])
     newest = every.agg(F.max("batch_id").alias("batch_id"))
     return every.join(F.broadcast(newest), "batch_id", "left_semi").drop("batch_id")

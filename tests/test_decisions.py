@@ -69,7 +69,7 @@ def test_context_and_summaries(spark):
     summary = None
     for b in blocks:
         summary = f"S{size + len(summary or 'None') + len(b)}"
-    assert [tuple(r) for r in summaries.collect()] == [("s", summary)]
+    assert [(r["session_id"], r["context_summary"]) for r in summaries.collect()] == [("s", summary)]
     context = context_strings(recent_window(messages), summaries).first()["context"]
     assert context.startswith(f"Summary of earlier discussion:\n{summary}\n\nRecent conversation:\n")
     plain = context_strings(recent_window(messages)).first()["context"]
@@ -77,6 +77,21 @@ def test_context_and_summaries(spark):
     assert session_summaries(rollup_blocks(messages).limit(0), lambda p: p).count() == 0
 
 
+def test_tenants_may_share_a_session_id(spark):
+    log, _ = make_log(spark, 40)
+    other = log.withColumn("tenant_id", F.lit("other"))
+    both = log.unionByName(other.withColumn("dataset_ids", F.array().cast("array<string>")))
+    turns = conversation_turns(both)
+    alone = conversation_turns(log).count()
+    assert {r["tenant_id"]: r["count"] for r in turns.groupBy("tenant_id").count().collect()} == {
+        t: alone for t in {"other", log.first()["tenant_id"]}}
+    assert rollup_blocks(turns).groupBy("tenant_id", "block").count().filter("count > 1").isEmpty()
+    assert recent_window(turns).count() == 2 * recent_window(conversation_turns(log)).count()
+    assert context_strings(recent_window(turns)).count() == 2
+    theirs = carry_forward_assets(both).filter("tenant_id = 'other'")
+    assert theirs.filter("size(effective_dataset_ids) > 0").isEmpty()
+
+
 def test_ephemeral_runs_leave_no_memory(spark):
     log, rows = make_log(spark, 12)
     ephemeral = {r[0] for r in rows if r[8]}

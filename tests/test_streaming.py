@@ -81,8 +81,8 @@ def test_session_memory_over_batches(spark, tmp_path, parts):
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path)
     stream_session_memory(stream, out).awaitTermination()
     want = rollup_blocks(conversation_turns(log))
-    assert blocks_of(rolled_up(spark, out, T.StringType())) == blocks_of(want)
-    kept = stored_messages(spark, out, T.StringType())
+    assert blocks_of(rolled_up(spark, out, log.schema)) == blocks_of(want)
+    kept = stored_messages(spark, out, log.schema)
     done = {(s, t) for s, b in blocks_of(want) for t in range(5 * b, 5 * b + 5)}
     rest = {(r["session_id"], r["message_index"]) for r in conversation_turns(log).collect()
             if (r["session_id"], r["turn_index"]) not in done}
