@@ -17,6 +17,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from premia.operators.embedding import terms
+from premia.session import materialize
 from premia.settings import TOP_K_RERANK, TOP_K_RETRIEVE
 
 VECTORS_PER_BLOCK = 32_768
@@ -24,6 +25,10 @@ QUESTIONS_PER_BLOCK = 4_096
 # Questions scored at once inside a block; bounds the score matrix to 32 MB.
 _SLICE = 128
 _NO_MATCH = -2.0
+# Scores rank on this many digits, so that equal vectors tie whatever block they are in, ...
+_RANK_DIGITS = 12
+# ... and are shown with this many.
+_SHOWN_DIGITS = 4
 
 
 def _unit_rows(column: pd.Series) -> np.ndarray:
@@ -53,7 +58,7 @@ def _block_scorer(k: int, filtered: bool) -> Callable[[pd.DataFrame, pd.DataFram
             documents = vectors["document_id"].to_numpy() if filtered else None
             allowed = questions["document_ids"].to_numpy() if filtered else None
             for start in range(0, len(asked), _SLICE):
-                scores = np.round(asked[start:start + _SLICE] @ matrix, 4) + 0.0
+                scores = np.round(asked[start:start + _SLICE] @ matrix, _RANK_DIGITS) + 0.0
                 for row, name in zip(range(len(scores)), names[start:start + _SLICE]):
                     mine = scores[row]
                     if filtered and allowed[start + row] is not None and len(allowed[start + row]):
@@ -115,7 +120,8 @@ def _scored_in_blocks(questions: DataFrame, vectors: DataFrame, scope: list[str]
 def _ranked(hits: DataFrame, k: int) -> DataFrame:
     """Best k per question; the rank limit prunes in every task before the shuffle."""
     order = Window.partitionBy("question_id").orderBy(F.desc("similarity_score"), "chunk_id")
-    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k) \
+        .withColumn("similarity_score", F.round("similarity_score", _SHOWN_DIGITS))
 
 
 def vector_top_k(questions: DataFrame, vectors: DataFrame, k: int = TOP_K_RETRIEVE,
@@ -125,7 +131,8 @@ def vector_top_k(questions: DataFrame, vectors: DataFrame, k: int = TOP_K_RETRIE
 
     ``questions``: question_id, tenant_id, embedding and optionally document_ids (null or empty
     means no document filter). ``vectors``: chunk_id, tenant_id, embedding, and document_id if
-    questions filter on it. Equal scores (4 digits) rank by chunk_id.
+    questions filter on it. Scores are shown with 4 digits but rank in full; equal ones rank by
+    chunk_id.
     """
     return _ranked(_scored_in_blocks(questions, vectors, ["tenant_id"], k, vectors_per_block,
                                      questions_per_block), k)
@@ -158,18 +165,12 @@ class CellIndex:
             "cell", F.explode(self._nearest(probes, "array<int>")(F.col("embedding"))))
 
 
-def build_cells(vectors: DataFrame, cells: int, seed: int = 7, per_cell: int = 256) -> CellIndex:
-    """Learn cell centres from about ``per_cell`` vectors per cell.
-
-    Only the centres come from a sample; every vector is later assigned to a cell and stays
-    findable. What reaches the driver is ``cells`` vectors.
-    """
+def build_cells(vectors: DataFrame, cells: int, seed: int = 7) -> CellIndex:
+    """Learn cell centres from all vectors. What reaches the driver is ``cells`` vectors."""
     # a vector of zeros has no direction to learn from
     pointed = vectors.filter(F.exists("embedding", lambda x: x != 0))
-    share = min(1.0, cells * per_cell / max(pointed.count(), 1))
-    picked = pointed if share >= 1.0 else pointed.sample(share, seed)
     model = KMeans(k=cells, seed=seed, maxIter=10, distanceMeasure="cosine").fit(
-        picked.select(array_to_vector(F.col("embedding")).alias("features")))
+        pointed.select(array_to_vector(F.col("embedding")).alias("features")))
     return CellIndex(_unit_rows(pd.Series(list(model.clusterCenters()))))
 
 
@@ -179,11 +180,20 @@ def vector_top_k_approx(questions: DataFrame, vectors: DataFrame, index: CellInd
                         questions_per_block: int = QUESTIONS_PER_BLOCK) -> DataFrame:
     """Top-k among the vectors of the ``probes`` cells nearest to each question, scored exactly.
 
-    With as many probes as cells the result is exact. A crowded cell is split like a tenant.
+    With as many probes as cells the result is exact. A crowded cell is split like a tenant. A
+    question whose cells hold fewer than k vectors is searched again exactly, so that no question
+    gets fewer answers than there are.
     """
-    return _ranked(
+    vectors = vectors.filter(F.col("embedding").isNotNull())
+    questions = questions.filter(F.col("embedding").isNotNull())
+    near = materialize(_ranked(
         _scored_in_blocks(index.probe(questions, probes), index.assign(vectors),
-                          ["tenant_id", "cell"], k, vectors_per_block, questions_per_block), k)
+                          ["tenant_id", "cell"], k, vectors_per_block, questions_per_block), k),
+        "near")
+    enough = near.filter(F.col("rank") == k).select("question_id")
+    short = questions.join(enough, "question_id", "left_anti")
+    return near.join(enough, "question_id", "left_semi").unionByName(
+        vector_top_k(short, vectors, k, vectors_per_block, questions_per_block))
 
 
 def lexical_overlap(question: Column, text: Column) -> Column:

@@ -102,7 +102,7 @@ def _top_k_sql(scope: str) -> str:
            round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 4) + 0.0
                AS similarity_score,
            row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(
-               q.embedding::double[], v.embedding::double[]), 4) DESC, v.vec_id) AS rank
+               q.embedding::double[], v.embedding::double[]), 12) DESC, v.vec_id) AS rank
     FROM embeddings q JOIN embeddings v ON q.label = v.label {scope}
     QUALIFY rank <= 20
     """
@@ -192,14 +192,15 @@ def evidence_ctes(asked_sql: str = _ASKED_SQL) -> str:
     {_tfidf_ctes(CHUNKS_SQL, asked_sql)},
     cosine AS (
         SELECT question_id, chunk_id,
-               round(sum(q.x * v.x) / sqrt(any_value(qn) * any_value(vn)), 4) AS similarity_score
+               round(sum(q.x * v.x) / sqrt(any_value(qn) * any_value(vn)), 12) AS score,
+               round(score, 4) AS similarity_score
         FROM (SELECT *, sum(x * x) OVER (PARTITION BY question_id) AS qn FROM qweight) q
         JOIN (SELECT *, sum(x * x) OVER (PARTITION BY chunk_id) AS vn FROM weight
               WHERE chunk_id IN (SELECT chunk_id FROM chunk WHERE tenant_id = 'en')) v USING (slot)
         GROUP BY ALL),
     candidate AS MATERIALIZED (
         SELECT * FROM cosine QUALIFY row_number() OVER (
-            PARTITION BY question_id ORDER BY similarity_score DESC, chunk_id) <= 20),
+            PARTITION BY question_id ORDER BY score DESC, chunk_id) <= 20),
     overlap AS (
         SELECT c.*, k.document_id, k.page, k.text, a.text AS question,
                len(list_intersect({_TERMS.replace('text', 'a.text')},

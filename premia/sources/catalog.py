@@ -30,6 +30,7 @@ def register_assets(incoming: DataFrame, catalog: DataFrame, requeue: bool = Fal
     The newest active, not failed asset of the same tenant and hash is reused. Without one, the
     first such upload of the batch becomes a new pending asset, which the later ones then find.
     ``requeue`` queues a reused asset again when it is not ready and its file is still there.
+    An upload without a tenant or hash gets no asset: action ``refuse``, status ``no_fingerprint``.
     """
     key = ["tenant_id", "file_hash"]
     exists = F.col("file_exists") if requeue else F.lit(False)
@@ -47,19 +48,22 @@ def register_assets(incoming: DataFrame, catalog: DataFrame, requeue: bool = Fal
     is_first = F.col("first.upload_id") == F.col("upload_id")
     current = F.when(is_known, F.col("known.upload_status")).otherwise("pending")
     stored = F.when(is_known, F.col("known.file_exists")).otherwise(F.lit(requeue))
+    unknown = F.col("tenant_id").isNull() | F.col("file_hash").isNull()
     action = (
-        F.when(~is_known & is_first, "new")
+        F.when(unknown, "refuse")
+        .when(~is_known & is_first, "new")
         .when((current != "ready") & stored, "requeue")
         .otherwise("reuse")
     )
     return (
-        incoming.join(decided, key)
+        incoming.join(decided, key, "left")
         .select(
             "upload_id", *key,
             F.coalesce(F.col("known.asset_id").cast("string"),
                        F.col("first.upload_id").cast("string")).alias("asset_id"),
             action.alias("action"),
-            F.when(action != "reuse", "queued")
+            F.when(unknown, "no_fingerprint")
+            .when(action != "reuse", "queued")
             .when(current == "ready", "already_exists").otherwise(current).alias("status"),
         )
     )

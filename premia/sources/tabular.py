@@ -63,19 +63,15 @@ def read_dataset(spark: SparkSession, path: str, schema: T.StructType | None = N
     ])
 
 
-def fingerprint_files(spark: SparkSession, path: str, max_bytes: int = MAX_UPLOAD_BYTES
-                      ) -> DataFrame:
-    """path, file_size_bytes and the SHA-256 of each file under ``path``.
+def fingerprint_files(spark: SparkSession, path: str) -> DataFrame:
+    """path, file_size_bytes and the SHA-256 of each file under ``path``, whatever its size.
 
-    Files above ``max_bytes`` are listed with a null hash and their content is never read.
+    A file is one binary value, which Spark limits to 2 GB. The size limit of uploads is
+    ``screen_uploads``'s.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    size = F.col("length").alias("file_size_bytes")
-    hashed = files.filter(F.col("length") <= max_bytes).select(
-        "path", size, F.sha2("content", 256).alias("file_hash"))
-    oversize = files.filter(F.col("length") > max_bytes).select(
-        "path", size, F.lit(None).cast("string").alias("file_hash"))
-    return hashed.unionByName(oversize)
+    return files.select("path", F.col("length").alias("file_size_bytes"),
+                        F.sha2("content", 256).alias("file_hash"))
 
 
 def file_extension(filename: Column) -> Column:

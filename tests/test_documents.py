@@ -129,9 +129,9 @@ def vectors(spark):
 def brute(data, tenants, q, tenant, k, documents=()):
     def unit(v):
         return v / (np.linalg.norm(v) or 1.0)
-    scored = [(-(round(float(unit(q) @ unit(data[i])), 4) + 0.0), i) for i in range(len(data))
+    scored = [(-(round(float(unit(q) @ unit(data[i])), 12) + 0.0), i) for i in range(len(data))
               if tenants[i] == tenant and (not documents or i % 5 in documents)]
-    return [(i, -s) for s, i in sorted(scored)[:k]]
+    return [(i, round(-s, 4)) for s, i in sorted(scored)[:k]]
 
 
 @pytest.mark.parametrize("blocks", [(32768, 4096), (37, 9)])
@@ -157,6 +157,25 @@ def test_top_k_without_candidates(spark, vectors):
     assert vector_top_k(questions, df).count() == 0
 
 
+def test_close_scores_rank_in_full(spark):
+    df = spark.createDataFrame([(1, "t", [1.0, 0.009]), (2, "t", [1.0, 0.0]), (3, "t", None)],
+                               "chunk_id int, tenant_id string, embedding array<double>")
+    asked = df.filter("chunk_id = 2").withColumnRenamed("chunk_id", "question_id")
+    assert [(r["chunk_id"], r["similarity_score"]) for r in vector_top_k(asked, df, 1).collect()] == [(2, 1.0)]
+
+
+def test_approximate_search_is_filled_up(spark, vectors):
+    df, _, _ = vectors
+    questions = df.filter("chunk_id < 60").withColumnRenamed("chunk_id", "question_id").drop("document_id")
+    index = build_cells(df, cells=8, seed=5)
+
+    def counts(hits):
+        return {r["question_id"]: r["count"] for r in hits.groupBy("question_id").count().collect()}
+
+    assert counts(vector_top_k_approx(questions, df, index, probes=1, k=100)) == counts(
+        vector_top_k(questions, df, 100))
+
+
 def test_approximate_search(spark, vectors):
     df, _, _ = vectors
     questions = df.filter("chunk_id < 399").withColumnRenamed("chunk_id", "question_id") \

@@ -26,13 +26,14 @@ def test_read_dataset_types_after_missing_tokens(spark, tmp_path):
     assert rows[1]["premium"] == 1000.0 and rows[2]["premium"] is None and rows[1]["name"] is None
 
 
-def test_fingerprints_and_size_limit(spark, tmp_path):
+def test_fingerprints_of_files_of_any_size(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes(b"x,y\n1,2\n")
     (tmp_path / "b.csv").write_bytes(b"z" * 100)
     rows = {r["path"].rsplit("/", 1)[1]: r
-            for r in fingerprint_files(spark, str(tmp_path), max_bytes=50).collect()}
+            for r in fingerprint_files(spark, str(tmp_path)).collect()}
     assert rows["a.csv"]["file_hash"] == hashlib.sha256(b"x,y\n1,2\n").hexdigest()
-    assert rows["b.csv"]["file_hash"] is None and rows["b.csv"]["file_size_bytes"] == 100
+    assert rows["b.csv"]["file_hash"] == hashlib.sha256(b"z" * 100).hexdigest()
+    assert rows["b.csv"]["file_size_bytes"] == 100
 
 
 def test_screen_uploads(spark):
@@ -44,6 +45,16 @@ def test_screen_uploads(spark):
     assert got["big.csv"] == "file_too_large" and got["noext"] == "file_type_not_allowed"
 
 
+def test_registration_keeps_uploads_without_a_hash(spark):
+    incoming = spark.createDataFrame([(1, "t", None, 1), (2, "t", "h", 2)],
+                                     "upload_id int, tenant_id string, file_hash string, submitted_at int")
+    catalog = spark.createDataFrame(
+        [], "asset_id string, tenant_id string, file_hash string, upload_status string, is_active boolean, created_at int")
+    got = {r["upload_id"]: (r["action"], r["status"], r["asset_id"])
+           for r in register_assets(incoming, catalog).collect()}
+    assert got == {1: ("refuse", "no_fingerprint", None), 2: ("new", "queued", "2")}
+
+
 def test_registration(spark):
     incoming = spark.createDataFrame(
         [(1, "t", "h1", 1), (2, "t", "h1", 2), (3, "u", "h1", 3), (4, "t", "h2", 4),
