@@ -82,6 +82,16 @@ def test_words_encode_like_whole_texts():
     assert got == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_greedy_patterns_start_the_program():
+    rng = random.Random(8)
+    for _ in range(20):
+        sizes = np.array(sorted(rng.sample(range(1, 60), 9)))
+        demand = np.array([rng.randint(1, 40) for _ in sizes], float)
+        patterns, use = packing.greedy_patterns(sizes, demand, 64)
+        assert (use >= 0).all() and np.allclose(patterns @ use, demand)
+        assert (sizes @ patterns <= 64).all() and np.linalg.matrix_rank(patterns) == len(sizes)
+
+
 def test_knapsack_and_plan():
     rng = random.Random(4)
     for _ in range(20):
