@@ -64,4 +64,4 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text an earlier row has; columns as they were."""
     rows, rid = numbered(docs, "exact-dedup-rows")
     kept = exact_dedup(rows, row_id=rid).filter("kept").select(F.col("row_id").alias(rid))
-    return rows.join(kept, rid, "left_semi").select(docs.columns)
+    return stored(rows.join(kept, rid, "left_semi").select(docs.columns), "exact-dedup-kept")

@@ -235,4 +235,4 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     found = jaccard_components(rows, id_col=id_col, row_id=rid)
     order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("row_id").alias("rid"))
     first = found.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.rid").alias(rid))
-    return rows.join(first, rid, "left_semi").select(docs.columns)
+    return stored(rows.join(first, rid, "left_semi").select(docs.columns), "jaccard-kept")

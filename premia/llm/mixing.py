@@ -142,5 +142,6 @@ def mixed(docs: DataFrame, text_col: str = "text") -> DataFrame:
     parts = F.filter(F.array(run(F.col(f"{m}.from_word"), F.col(f"{m}.to_word")), run(F.lit(0), F.col(f"{m}.to_word_2"))),
                      lambda t: t.isNotNull())
     texts = F.concat(F.coalesce(whole, F.array().cast("array<string>")), parts)
-    return rows.join(plan, rid).withColumn(piece, F.explode(texts)).select(
+    made = rows.join(plan, rid).withColumn(piece, F.explode(texts)).select(
         *[F.col(piece).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    return stored(made, "mixing-made")
