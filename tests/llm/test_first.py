@@ -235,3 +235,31 @@ def test_shards_keep_groups(spark):
     got = sharding.shard_documents(docs_of(spark, rows), links=pairs).collect()
     where = {r.doc_id: r.shard for r in got}
     assert sum(where[i] != where[i + 1] for i in range(600, 1200, 2)) <= 15
+
+
+@pytest.mark.parametrize("whole", [1, 10**9])
+def test_shards_settle_hot_group(spark, monkeypatch, whole):
+    monkeypatch.setattr(sharding, "WHOLE", whole, raising=False)
+    rows = [(i, "hot" if i < 1600 else f"text {i // 2}" if i < 2400 else f"single {i}", "en", "s", 1) for i in range(4800)]
+    got = sharding.shard_documents(docs_of(spark, rows)).collect()
+    where = {r.doc_id: r.shard for r in got}
+    assert set(Counter(where.values()).values()) == {600}
+    # The hot group needs three shards of 600; united pairs may hold part of them.
+    hot = Counter(where[i] for i in range(1600)).most_common()
+    assert len(hot) <= 4 and sum(n for _, n in hot[:3]) >= 1400
+    assert sum(where[i] != where[i + 1] for i in range(1600, 2400, 2)) <= 4
+
+
+def test_shards_all_linked(spark):
+    rows = [(i, f"text {i // 2}", "en", "s", 1) for i in range(4800)]
+    where = {r.doc_id: r.shard for r in sharding.shard_documents(docs_of(spark, rows)).collect()}
+    assert set(Counter(where.values()).values()) == {600}
+    assert sum(where[i] != where[i + 1] for i in range(0, 4800, 2)) <= 240
+
+
+def test_shards_of_chained_links_end(spark):
+    rng = random.Random(4)
+    docs = docs_of(spark, [(i, f"t{i}", "en", "s", 1) for i in range(400)])
+    links = spark.createDataFrame([(i, j) for j in range(300) for i in rng.sample(range(400), rng.randint(2, 6))], "doc_id long, link long")
+    got = sharding.shard_documents(docs, links=links).collect()
+    assert set(Counter(r.shard for r in got).values()) == {50}
