@@ -1,10 +1,10 @@
-"""Mix sources to target weights: Sainte-Laguë quotas of equal blocks of words, then seeded blocks."""
+"""Mix sources to target weights: Sainte-Laguë quotas of words and of equal blocks of words, then seeded blocks."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from premia.llm.common import BLANK, buckets_for, fresh, numbered, stored, text_of
+from premia.llm.common import BLANK, fresh, numbered, stored, text_of
 
 # Weights of the sources in the order of their names, repeating; the largest repetition.
 WEIGHTS = (5, 2, 1)
@@ -77,10 +77,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     ``passes`` counts how often the whole document is taken; ``from_word``, ``to_word`` and ``from_word_2``,
     ``to_word_2`` are the one or two runs of its words that are taken once more (empty when equal). Documents
-    of a source are dealt to shards and laid end to end in a seeded order; a shard's words fall into blocks of
-    ``block_words``. Sainte-Laguë gives each source a whole number of blocks by its target, and each of
-    its shards a part by its words. A quota takes the whole shard as often as it can and then the words of
-    neighbouring blocks from a seeded first block on, around the end if need be. No document is taken more than ``most`` times.
+    of a source are dealt to shards, one for every ``shard_rows`` of the source's rows, and laid end to end in a seeded
+    order; a shard's words fall into blocks of ``block_words``. Sainte-Laguë gives each source a whole number of
+    words by its target, and each of its shards a whole number of blocks by its words. What blocks leave over, a last part
+    of a block and what a shard cannot hold, goes to the first shards with room, in a seeded order, so each source meets
+    its target to a word or so. A quota takes the whole shard as often as it can and then the words of neighbouring blocks
+    from a seeded first block on, around the end if need be. No document is taken more than ``most`` times.
     Null and empty texts have size 0 and are never taken; a null source is a source of its own;
     repeated rows count each; an empty table gives no rows. Reruns agree for distinct rows.
     """
@@ -89,16 +91,27 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                               F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
                               F.coalesce(words(F.col(text_col)), F.lit(0)).alias("size"),
                               F.xxhash64(F.lit(seed), F.col(id_col), text_of(text_col)).alias("seeded")), "mixing")
-    shards = buckets_for(base.count(), shard_rows)
-    dealt = base.withColumn("shard", F.pmod(F.xxhash64("seeded"), F.lit(shards)).cast("int"))
     name = ["no_source", "source"]
+    # Stored, so that the join can split a source that has very many rows.
+    parts = stored(base.groupBy(*name).agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias("parts")), "mixing-sources")
+    dealt = base.join(parts, name).withColumn("shard", F.pmod(F.xxhash64("seeded"), F.col("parts")).cast("int")).drop("parts")
     cells = stored(dealt.groupBy(*name, "shard").agg(F.sum("size").alias("votes")), "mixing-cells")
     goals = targets(cells.groupBy(*name).agg(F.sum("votes").alias("source_size")), weights, most)
-    parties = goals.withColumn("votes", F.col("target")).withColumn(
-        "seats", F.round(F.sum("source_size").over(Window.partitionBy()) / block_words).cast("long"))
-    goals = stored(sainte_lague(parties, [], name).select(*name, "source_size", "target", F.col("quota").alias("seats")), "mixing-goals")
+    # Full sources take all they may; the others share the words that are left.
+    limit, whole = F.col("source_size") * most, Window.partitionBy()
+    full = F.col("target") >= limit
+    parties = goals.withColumn("votes", F.when(full, 0.0).otherwise(F.col("target"))).withColumn(
+        "seats", F.sum(F.col("source_size") - F.when(full, limit).otherwise(F.lit(0))).over(whole).cast("long"))
+    goals = stored(sainte_lague(parties, [], name).select(
+        *name, "source_size", "target", F.when(full, limit).otherwise(F.least("quota", limit)).cast("long").alias("words")),
+        "mixing-goals").withColumn("seats", F.floor(F.col("words") / block_words))
+    same, held = Window.partitionBy(*name), F.col("votes") * most
+    before = same.orderBy(F.xxhash64(F.lit(seed), "source", "shard"), "shard").rowsBetween(Window.unboundedPreceding, -1)
     quotas = (sainte_lague(cells.join(goals, name), name, [*name, "shard"])
-              .withColumn("share", F.least(F.col("quota") * block_words, F.col("votes") * most))
+              .withColumn("share", F.least(F.col("quota") * block_words, held))
+              .withColumn("left", F.col("words") - F.sum("share").over(same)
+                          - F.coalesce(F.sum(held - F.col("share")).over(before), F.lit(0)))
+              .withColumn("share", F.col("share") + F.greatest(F.least(F.col("left"), held - F.col("share")), F.lit(0)))
               .withColumn("blocks", F.greatest(F.ceil(F.col("votes") / block_words), F.lit(1)))
               .withColumn("passes", F.when(F.col("votes") > 0, F.floor(F.col("share") / F.col("votes"))).otherwise(F.lit(0)))
               .withColumn("extra", F.col("share") - F.col("passes") * F.col("votes"))

@@ -192,6 +192,21 @@ def test_mix(spark, corpus, shard):
         assert abs(taken[round(t, 6)] - sum(goal[x] for x in alike)) <= 32 * (1 + len(alike)), s
 
 
+@pytest.mark.parametrize("weights", [(5, 2, 1), (80000, 1800, 30), (40000, 5000, 3)])
+def test_mix_meets_targets(spark, weights):
+    rows = [(s, " ".join(f"w{k}" for k in range(n)), m) for s, n, m in (("a", 40, 2000), ("b", 30, 60), ("c", 10, 3)) for _ in range(m)]
+    df = docs_of(spark, [(i, f"{t} {i}"[3:] if i % 2 else t, "en", s, 1) for i, (s, t, _) in enumerate(rows)])
+    got = mixing.mix(df, shard_rows=20, weights=weights).collect()
+    taken, goal = Counter(), {}
+    for r in got:
+        s = rows[r.doc_id][0]
+        assert 0 <= r.taken <= 3 * r["size"] and r["size"] == len(rows[r.doc_id][1].split())
+        taken[s] += r.taken
+        goal[s] = r.target
+    assert all(abs(taken[s] - goal[s]) <= 1 for s in goal), (taken, goal)
+    assert sum(taken.values()) == 2000 * 40 + 60 * 30 + 3 * 10
+
+
 def test_sainte_lague(spark):
     rng = random.Random(5)
     for n, seats in ((1, 4), (3, 0), (4, 7), (9, 1), (12, 1000), (7, 3)):
