@@ -18,15 +18,36 @@ from premia.llm.common import fresh, small_batches
 ROUNDS = 8
 KEY = b"premia corpus key; replace for each corpus"
 
-# ISO 13616 lengths of account numbers by country.
+# ISO 13616 lengths of account numbers by country, as far as the register lists them.
 IBAN_LENGTHS = {
-    "AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27,
-    "HU": 28, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SK": 24,
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28,
+    "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18,
+    "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HN": 28, "HR": 21, "HU": 28,
+    "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20,
+    "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28,
+    "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24,
+    "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26,
+    "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
 }
+
+
+def _iban_shape() -> str:
+    """Per country its length of letters and digits, with or without spaces between groups of four, and nothing after it."""
+    by_length: dict[int, list[str]] = {}
+    for country, length in IBAN_LENGTHS.items():
+        by_length.setdefault(length, []).append(country)
+    kinds = []
+    for length, countries in sorted(by_length.items()):
+        fours, rest = divmod(length - 4, 4)
+        tail = f"(?: ?[A-Z0-9]{{{rest}}})" if rest else ""
+        kinds.append(rf"(?:{'|'.join(countries)})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}{tail}")
+    return rf"(?<![\w])(?:{'|'.join(kinds)})(?![\w])"
+
+
 # What each kind of datum looks like, in the order of preference at one place.
 SHAPES = {
     "email": r"(?<![\w.+%-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w])",
-    "iban": r"(?<![\w])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w])",
+    "iban": _iban_shape(),
     "date": r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\w/-]|\.\d)",
     "ip": r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d)",
     "card": r"(?<![\w.+-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})(?![\w]|[.-]\d)",
@@ -237,7 +258,7 @@ def pseudonymise(text: Column, key: bytes = KEY) -> Column:
 def replace_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes = KEY) -> DataFrame:
     """One row per document: id, ``text`` with pseudonyms, ``n_found``, ``spans`` (start, length, kind).
 
-    Card numbers (Luhn), account numbers (check digits), social security numbers, phone numbers, IPv4
+    Card numbers (Luhn), account numbers (ISO 13616: length of the country, check digits), social security numbers, phone numbers, IPv4
     addresses, calendar dates and the names in e-mail addresses are replaced by another value of the same
     format that passes the same checks. A value always gets the same pseudonym under a key, and different values
     different ones, so links between documents stay. Numbers that fail their checks stay as they are. Null

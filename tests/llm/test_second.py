@@ -196,6 +196,34 @@ def test_what_stays(text):
     assert pseudonyms.replace(text, pseudonyms.Feistel(b"k")) == (text, [])
 
 
+@pytest.mark.parametrize("value", [
+    "ES9121000418450200051332", "BE71096123456769", "AT611904300234573201", "BG80BNBG96611020345678", "HR1210010051863000160",
+    "CY17002001280000001200527600", "EE382200221020145685", "LT121000011101001000", "LV80BANK0000435195001", "MT84MALT011000012345MTLCAST001S",
+    "SI56263300012039086", "IS140159260076545510730339", "TR330006100519786457841326", "AE070331234567890123456",
+    "SA0380000000608010167519", "BR1800360305000010009795493C1", "LC55HEMM000100010012001200023015"])
+def test_account_numbers_end_where_their_country_says(value):
+    f = pseudonyms.Feistel(b"k")
+    assert len(value) == pseudonyms.IBAN_LENGTHS[value[:2]]
+    for said in (value, " ".join(re.findall(".{1,4}", value))):
+        for after in ("", " EUR", " BIC GENODEFF", " 12 May", " 1234", " 1234 5678", " ABCD 12", ", EUR", "."):
+            new, spans = pseudonyms.replace("to " + said + after, f)
+            assert spans == [(3, len(said), "iban")], (said, after, spans)
+            own = new[3:len(new) - len(after)]
+            assert own != said and own[:2] == value[:2] and new.endswith(after) and len(own) == len(said)
+            plain = own.replace(" ", "")
+            assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    assert pseudonyms.replace(value + "0", f)[1] == []
+
+
+def test_account_numbers_of_all_countries():
+    f = pseudonyms.Feistel(b"k")
+    assert len(pseudonyms.IBAN_LENGTHS) > 80
+    for country, n in pseudonyms.IBAN_LENGTHS.items():
+        account = "1234567890" * 3
+        value = f"{country}{pseudonyms.iban_check(country, account[:n - 4]):02}{account[:n - 4]}"
+        assert pseudonyms.replace(f"{value} USD", f)[1] == [(0, n, "iban")], value
+
+
 def test_personal_data_table(spark):
     rows = [(1, f"card {CARD} or {CARD} and a@b.org"), (2, f"again {CARD}"), (3, None), (4, ""), (4, ""), (None, "ip 27.109.211.155 4387393285946913 +1 (438) 555-5817")]
     got = defaultdict(list)
