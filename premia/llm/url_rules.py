@@ -18,6 +18,7 @@ RULES = (
 ALLOW, BLOCK = "allow", "block"
 MIN_SUPPORT = 0.01
 MIN_CONFIDENCE = 0.6
+# Host labels and path words that are told apart by their place; the others count without it.
 LABELS = 4
 SEGMENTS = 2
 
@@ -44,19 +45,24 @@ def listed(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def tokens(url: Column, host: Column, path: Column) -> Column:
-    """Distinct tokens of an address: scheme, host labels from the right, path words, query keys.
+    """Distinct tokens of an address: scheme, all host labels, all path words, query keys.
 
     The last ``LABELS`` labels and first ``SEGMENTS`` path words are told apart by their place, so that a
-    combination names a part of the web and not just words. Digits in a path read as one sign.
+    combination names a part of the web and not just words; those beyond count wherever they stand. Digits in a
+    path read as one sign.
     """
-    labels = F.slice(F.reverse(F.split(host, r"\.")), 1, LABELS)
-    words = F.slice(F.filter(F.split(path, "/"), lambda w: w != ""), 1, SEGMENTS)
+    labels = F.reverse(F.split(host, r"\."))
+    words = F.filter(F.split(path, "/"), lambda w: w != "")
+
+    def place(i: Column, placed: int) -> Column:
+        return F.when(i < placed, i.cast("string")).otherwise("")
+
     keys = F.regexp_extract_all(F.regexp_extract(url, r"(?s)\?([^#]*)", 1), F.lit(r"([^&=]+)=?[^&]*"), 1)
     scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
     parts = F.concat(
         F.array(F.concat(F.lit("scheme:"), F.lower(scheme))),
-        F.transform(labels, lambda w, i: F.concat(F.lit("host"), i.cast("string"), F.lit(":"), w)),
-        F.transform(words, lambda w, i: F.concat(F.lit("path"), i.cast("string"), F.lit(":"),
+        F.transform(labels, lambda w, i: F.concat(F.lit("host"), place(i, LABELS), F.lit(":"), w)),
+        F.transform(words, lambda w, i: F.concat(F.lit("path"), place(i, SEGMENTS), F.lit(":"),
                                                  F.regexp_replace(F.lower(w), "[0-9]+", "0"))),
         F.transform(keys, lambda w: F.concat(F.lit("query:"), F.lower(w))))
     return F.array_sort(F.array_distinct(F.filter(F.coalesce(parts, F.array().cast("array<string>")),
@@ -69,8 +75,20 @@ def mine(examples: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     FP-growth finds token combinations with a verdict that hold in at least ``min_support`` of the examples.
     A combination becomes a rule if ``min_confidence`` of its examples share the verdict, and no
     smaller part of it with the same verdict is at least as sure.
+
+    Tokens that the same examples have, as the words of a deep path, would double the combinations each; only the
+    smallest of them is mined, and the others take its place in the rules found. No rule is lost by
+    that: one with two such tokens is no surer than without either.
     """
-    baskets = examples.select(F.concat("tokens", F.array(F.concat(F.lit("verdict:"), "verdict"))).alias("items"))
+    sign = [F.sum(F.xxhash64(F.lit(i), "tokens").cast("decimal(38,0)")).alias(f"sign{i}") for i in (0, 1)]
+    frequent = (examples.select("tokens", F.explode("tokens").alias("token")).groupBy("token")
+                .agg(F.count(F.lit(1)).alias("n"), *sign)
+                .join(F.broadcast(examples.agg((F.count(F.lit(1)) * min_support).alias("least"))), F.col("n") >= F.floor("least")))
+    alike = stored(frequent.groupBy("n", "sign0", "sign1").agg(F.array_sort(F.collect_list("token")).alias("alike"))
+                   .filter("size(alike) > 1").select(F.col("alike")[0].alias("token"), "alike"), "url-alike")
+    # One row.
+    others = alike.agg(F.flatten(F.collect_list(F.slice("alike", 2, F.size("alike")))).alias("others"))
+    baskets = examples.crossJoin(F.broadcast(others)).select(F.concat(F.array_except("tokens", "others"), F.array(F.concat(F.lit("verdict:"), "verdict"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     found = model.associationRules.filter("consequent[0] IN ('verdict:allow', 'verdict:block')").select(
         F.array_sort("antecedent").alias("tokens"), F.substring(F.col("consequent")[0], 9, 9).alias("verdict"),
@@ -81,7 +99,14 @@ def mine(examples: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
                .select("tokens", "verdict", "confidence",
                        F.explode(F.transform(F.col("tokens"), lambda t: F.array_remove(F.col("tokens"), t))).alias("part"))
                .join(part, ["verdict", "part"]).filter("sure >= confidence").select("tokens", "verdict"))
-    return rules.join(smaller, ["tokens", "verdict"], "left_anti")
+    lean = rules.join(smaller, ["tokens", "verdict"], "left_anti")
+    chosen = F.aggregate("choices", F.array(F.array().cast("array<string>")), lambda sets, ways: F.flatten(
+        F.transform(sets, lambda s: F.transform(ways, lambda t: F.concat(s, F.array(t))))))
+    return (lean.select("*", F.explode("tokens").alias("token")).join(F.broadcast(alike), "token", "left")
+            .groupBy("tokens", "verdict", "confidence", "support")
+            .agg(F.collect_list(F.coalesce("alike", F.array("token"))).alias("choices"))
+            .select(F.explode(chosen).alias("tokens"), "verdict", "confidence", "support")
+            .withColumn("tokens", F.array_sort("tokens")))
 
 
 def match(addresses: DataFrame, rules: DataFrame) -> DataFrame:

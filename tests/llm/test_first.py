@@ -9,6 +9,8 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from premia.llm import exact_dedup, max_score, mixing, sharding, url_rules
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -118,6 +120,35 @@ def test_mined_rules(spark):
         assert got.get(tuple(a)) == (min(fits)[-1] if fits else None)
 
 
+def test_deep_addresses(spark):
+    rng = random.Random(8)
+    rows, deep = [], "/".join(f"w{k}x" for k in "abcdefghijklmnopqrstuvwxyz")
+    for i in range(400):
+        verdict = "block" if i % 2 else "allow"
+        end = "shop" if i % 2 else "docs"
+        rows.append((i, f"https://{end}.d.c.b.a.example.com/en/p/{deep}/{rng.choice('xyz')}", verdict))
+        rows.append((1000 + i, f"https://s.d.c.b.a.example.net/{rng.choice('pq')}/p/q/r/{end}/{i}", verdict))
+    asked = [(5000, "https://shop.z.y.x.w.example.org/a/b/c"), (5001, "https://docs.z.y.x.w.example.org/a/b/c"),
+             (5002, "https://h.example.org/p/q/r/s/t/shop/1"), (5003, "https://h.example.org/p/q/r/s/t/docs/1"),
+             (5004, "https://shop.example.org/a"), (5005, "https://h.example.org/a/shop")]
+    url = F.col("url")
+    with_tokens = lambda df: df.withColumn("tokens", url_rules.tokens(url, url_rules.host_of(url), url_rules.path_of(url)))
+    examples = with_tokens(spark.createDataFrame(rows, "page_id long, url string, verdict string"))
+    pages = with_tokens(spark.createDataFrame(asked, "page_id long, url string"))
+    tokens = {r.page_id: set(r.tokens) for r in pages.collect()}
+    assert {"host0:org", "host3:x", "host:z", "host:shop", "path0:a", "path:c"} <= tokens[5000]
+    assert {"path0:p", "path:shop", "path:0"} <= tokens[5002] and "path1:shop" in tokens[5005]
+    learned = url_rules.match(pages, url_rules.mine(examples.select("tokens", "verdict")))
+    got = {r.page_id: r.learned for r in pages.join(learned, "tokens").collect()}
+    assert [got.get(k) for k in (5000, 5001, 5002, 5003)] == ["block", "allow", "block", "allow"]
+
+
+def test_tokens_of_the_same_examples(spark):
+    rows = [(["a", "b", "c"] if i % 2 else ["d"], "block" if i % 2 else "allow") for i in range(40)]
+    mined = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"))
+    assert sorted((r.tokens, r.verdict) for r in mined.collect()) == [(["a"], "block"), (["b"], "block"), (["c"], "block"), (["d"], "allow")]
+
+
 def vectors_of(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
 
