@@ -43,15 +43,36 @@ def infer_types(df: DataFrame) -> list[T.DataType]:
     return types
 
 
+def _refuse_surplus(spark: SparkSession, path: str, names: list[str], options: dict) -> DataFrame:
+    """The rows of a CSV file as text; one with more cells than ``names`` raises an error when it is read."""
+    broken = "_broken"
+    while broken.lower() in {n.lower() for n in names}:
+        broken += "_"
+    cells = T.StructType([T.StructField(n, T.StringType()) for n in [*names, broken]])
+    rows = spark.read.option("columnPruning", False).csv(
+        path, schema=cells, mode="PERMISSIVE", columnNameOfCorruptRecord=broken, **options)
+    # Spark marks rows with too few cells too; quoted cells count as one, whatever is in them.
+    plain = F.regexp_replace(F.col(broken), r'(^|,)\s*"(?:[^"]|"")*"', "$1")
+    surplus = F.regexp_count(plain, F.lit(",")) >= len(names)
+    # Names a cell as well, since Spark refuses to read the record column alone.
+    said = F.concat(F.lit(f"row with more than {len(names)} cells: "), F.col(broken),
+                    F.coalesce(F.substring(F.col(f"`{names[0]}`"), 1, 0), F.lit("")))
+    return rows.filter(F.when(surplus, F.raise_error(said).cast("boolean")).otherwise(True)).drop(broken)
+
+
 def read_dataset(spark: SparkSession, path: str, schema: T.StructType | None = None,
                  multi_line: bool = False) -> DataFrame:
     """A CSV file or folder with a header row, missing-value tokens read as null.
 
     Without a schema the types are inferred after the tokens are removed, so a column of numbers
     with ``N/A`` in it stays numeric. ``multi_line`` allows line breaks inside quotes, at the price
-    of files that cannot be split.
+    of files that cannot be split. A row with more cells than the header is refused: reading it
+    fails and names it. Missing cells at the end of a row are null.
     """
-    raw = spark.read.csv(path, header=True, inferSchema=False, escape='"', multiLine=multi_line)
+    options = {"header": True, "escape": '"', "multiLine": multi_line}
+    raw = spark.read.csv(path, inferSchema=False, **options)
+    if raw.columns:
+        raw = _refuse_surplus(spark, path, raw.columns, options)
     cleaned = raw.select(*[
         F.when(~F.col(f"`{c}`").isin(*MISSING_TOKENS), F.col(f"`{c}`")).alias(c)
         for c in raw.columns

@@ -1,5 +1,7 @@
 import hashlib
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from premia.functions.tenancy import scope_chunks, scope_to_tenant, tenant_id_of
@@ -171,3 +173,18 @@ def test_replace_chunks_and_stale_models(spark):
     assert ids(replace_document_chunks(store, new, both)) == [9]
     assert ids(replace_document_chunks(store, new.limit(0), both)) == []
     assert ids(stale_embeddings(store, "m1")) == [3]
+
+
+def test_rows_with_surplus_cells_are_refused(spark, tmp_path):
+    good = tmp_path / "good.csv"
+    good.write_text('a,b\n1,"x, y, ""z"", w"\n2\n3,q\n')
+    rows = read_dataset(spark, str(good))
+    assert rows.count() == 3 and sorted((r.a, r.b) for r in rows.collect()) == [(1, 'x, y, "z", w'), (2, None), (3, "q")]
+    assert rows.select("b").filter("b = 'q'").count() == 1
+    for name, row in (("one", "2,x,y"), ("empty", "2,x,"), ("late", "2,x,,y"), ("quoted", '2,"x, y",z')):
+        bad = tmp_path / f"{name}.csv"
+        bad.write_text(f"a,b\n1,w\n{row}\n")
+        with pytest.raises(Exception, match="more than 2 cells"):
+            read_dataset(spark, str(bad)).collect()
+        with pytest.raises(Exception, match="more than 2 cells"):
+            read_dataset(spark, str(bad), rows.schema).count()
