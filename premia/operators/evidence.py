@@ -72,7 +72,7 @@ def with_scenario(question: Column, assumptions: Column) -> Column:
 def expand_scenarios(questions: DataFrame, scenarios: list[tuple[str, Mapping]]) -> DataFrame:
     """Each question under each of two or three scenarios (label, assumptions). Narrow."""
     if not 2 <= len(scenarios) <= 3:
-        raise ValueError("Provide 2-3 scenarios for comparison")
+        raise ValueError("a comparison takes two or three scenarios")
     choices = F.array(*[
         F.struct(F.lit(label).alias("scenario_label"),
                  F.lit(json.dumps(dict(assumptions))).alias("scenario_assumptions"))

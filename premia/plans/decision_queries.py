@@ -209,7 +209,7 @@ def _explode_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- a log of generated statements ---------------------------------------------------
 
 def sql_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as generated statements of eight shapes; the user is one of 150 tenants."""
+    """Events as generated statements of twelve shapes; the user is one of 150 tenants."""
     user = F.col("user_id").cast("string")
     own = F.concat(F.lit("t_"), user, F.lit("_policies"))
     other = F.concat(F.lit("T_"), ((F.col("user_id") + F.col("event_id") % 3) % 150)
@@ -226,16 +226,20 @@ def sql_log(spark: SparkSession, sf_dir: str) -> DataFrame:
                  other, F.lit(") q")),
         F.concat(F.lit("Sure: SELECT age FROM "), own, F.lit(" WHERE id IN (SELECT id FROM "),
                  other, F.lit(")")),
+        F.concat(F.lit("SELECT age FROM "), own, F.lit(" limit, "), other),
+        F.concat(F.lit("SELECT age FROM "), own, F.lit(' "order" JOIN '), other),
+        F.concat(F.lit("SELECT age FROM "), own, F.lit(" WHERE id IN (FROM "), other, F.lit(")")),
+        F.concat(F.lit("SELECT age FROM "), own, F.lit(" /* /* */ ' */ , "), other, F.lit(" /* ' */")),
     ]
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("statement_id"), user.alias("tenant_id"),
-        F.element_at(F.array(*shapes), (F.col("event_id") % 8 + 1).cast("int"))
+        F.element_at(F.array(*shapes), (F.col("event_id") % 12 + 1).cast("int"))
         .alias("sql_text"))
 
 
 @query("screen_sql_log", """
     WITH log AS (
-        SELECT event_id AS statement_id, user_id::varchar AS tenant_id, event_id % 8 AS shape,
+        SELECT event_id AS statement_id, user_id::varchar AS tenant_id, event_id % 12 AS shape,
                't_' || user_id || '_policies' AS own,
                'T_' || ((user_id + event_id % 3) % 150) || '_policies' AS other,
                (user_id + event_id % 3) % 150 <> user_id AS foreign_table
@@ -249,12 +253,16 @@ def sql_log(spark: SparkSession, sf_dir: str) -> DataFrame:
                WHEN 5 THEN 'SELECT age FROM ' || own || ' UNION SELECT age FROM ' || own
                WHEN 6 THEN 'SELECT * FROM (SELECT age FROM ' || own || ' UNION SELECT age FROM '
                            || other || ') q'
-               ELSE 'SELECT age FROM ' || own || ' WHERE id IN (SELECT id FROM ' || other || ')'
+               WHEN 7 THEN 'SELECT age FROM ' || own || ' WHERE id IN (SELECT id FROM ' || other || ')'
+               WHEN 8 THEN 'SELECT age FROM ' || own || ' limit, ' || other
+               WHEN 9 THEN 'SELECT age FROM ' || own || ' "order" JOIN ' || other
+               WHEN 10 THEN 'SELECT age FROM ' || own || ' WHERE id IN (FROM ' || other || ')'
+               ELSE 'SELECT age FROM ' || own || ' /* /* */ '' */ , ' || other || ' /* '' */'
            END AS statement,
            reason IS NULL AS ok, reason
     FROM (SELECT *, CASE WHEN shape = 3 THEN 'not_a_select' WHEN shape = 5 THEN 'top_level_set_operation'
                          WHEN shape = 4 THEN 'qualified_name'
-                         WHEN shape IN (2, 6, 7) AND foreign_table THEN 'table_not_entitled'
+                         WHEN shape IN (2, 6, 7, 8, 9, 10, 11) AND foreign_table THEN 'table_not_entitled'
                     END AS reason FROM log) l
 """)
 def _screen_sql_log(spark: SparkSession, sf_dir: str) -> DataFrame:
