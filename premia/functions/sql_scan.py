@@ -37,77 +37,93 @@ def _first() -> Column:
         F.lit(False).alias("set_operation"), F.lit(False).alias("qualified"), F.lit(False).alias("refused"))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _read(state: Column, piece: Column) -> Column:
     """The state after one more piece: first whether it is comment, literal, name or code, then its role."""
     mode, deep, escaped, raw = state["mode"], state["deep"], state["escaped"], state["raw"]
     code = (mode == CODE) & (deep == 0)
-    quoting = {"'": TEXT, '"': NAME, "`": TICKED}
+    opens = piece.isin("'", '"', "`")
     closes = (((mode == TEXT) & (piece == "'")) | ((mode == NAME) & (piece == '"'))) & ~escaped | ((mode == TICKED) & (piece == "`"))
+    in_code = F.struct(
+        F.when(piece == "--", LINE).when(piece == "'", TEXT).when(piece == '"', NAME).when(piece == "`", TICKED)
+        .otherwise(CODE).alias("mode"),
+        F.when(piece == "/*", 1).otherwise(0).alias("deep"), F.lit(False).alias("escaped"), F.lit("").alias("quoted"),
+        (~opens & ~piece.isin("--", "/*", " ", "\n") & (F.trim(piece) != "")).alias("act"),
+        piece.rlike(_WORD).alias("word"), F.lit(False).alias("name"), F.upper(piece).alias("token"),
+        (piece.isin(*_REFUSED_PIECES)
+         | (opens & (((F.lower(raw) == "r") & (piece != "`")) | ((raw == piece) & (piece != "'"))))).alias("odd"))
     line_ends = (mode == LINE) & ((piece == "\r") | ((piece == "\n") & ~escaped))
-    new_mode = F.when(closes | line_ends, CODE).when(~code, mode).when(piece == "--", LINE)
-    for sign, kind in quoting.items():
-        new_mode = new_mode.when(piece == sign, kind)
-    new_deep = (F.when(code & (piece == "/*"), 1).when((deep > 0) & (piece == "/*"), deep + 1)
-                .when((deep > 0) & (piece == "*/"), deep - 1).otherwise(deep))
-    opens = code & piece.isin(*quoting)
-    # What is closed here: a literal, or a quoted name with its text.
-    named_piece = closes & (mode != TEXT)
-    word = code & piece.rlike(_WORD)
-    blank = ~closes & (~code | opens | piece.isin("--", "/*") | piece.rlike(r"^\s+$"))
-    token = F.when(named_piece, F.concat(F.lit('"'), F.upper(state["quoted"]))).when(closes, F.lit("'")).otherwise(F.upper(piece))
-    odd = (code & piece.isin(*_REFUSED_PIECES)) | ((deep > 0) & (piece == "/*+")) | (
-        opens & (((F.lower(raw) == "r") & (piece != "`")) | ((raw == piece) & (piece != "'"))))
-    read = F.struct(
-        F.coalesce(new_mode, F.lit(CODE)).alias("mode"), new_deep.alias("deep"),
-        ((piece == "\\") & (((mode == LINE)) | (mode.isin(TEXT, NAME) & ~escaped))).alias("escaped"), piece.alias("raw"),
-        F.when(mode.isin(NAME, TICKED) & ~closes, F.concat(state["quoted"], piece)).otherwise("").alias("quoted"))
-    return F.struct(*[read[c].alias(c) for c in ("mode", "deep", "escaped", "raw", "quoted")],
-                    *_role(state, token, word, named_piece, blank, odd))
-
-
-def _role(state: Column, token: Column, word: Column, name: Column, blank: Column, odd: Column) -> list[Column]:
-    """What the token does to the place in the statement, the tables and the verdict so far."""
+    # A quoted name or a literal counts where it closes.
+    elsewhere = F.struct(
+        F.when(closes | line_ends, CODE).otherwise(mode).alias("mode"),
+        F.when(deep == 0, 0).when(piece == "/*", deep + 1).when(piece == "*/", deep - 1).otherwise(deep).alias("deep"),
+        ((piece == "\\") & ((mode == LINE) | (mode.isin(TEXT, NAME) & ~escaped))).alias("escaped"),
+        F.when(mode.isin(NAME, TICKED) & ~closes, F.concat(state["quoted"], piece)).otherwise("").alias("quoted"),
+        closes.alias("act"), F.lit(False).alias("word"), (closes & (mode != TEXT)).alias("name"),
+        F.when(mode == TEXT, "'").otherwise(F.concat(F.lit('"'), F.upper(state["quoted"]))).alias("token"),
+        ((deep > 0) & (piece == "/*+")).alias("odd"))
+    return _let(F.when(code, in_code).otherwise(elsewhere),
+                lambda now: F.when(now["act"], _role(state, piece, now)).otherwise(_passed(state, piece, now)))
+
+
+def _lexical(piece: Column, now: Column) -> list[Column]:
+    return [*[now[c].alias(c) for c in ("mode", "deep", "escaped")], piece.alias("raw"), now["quoted"].alias("quoted")]
+
+
+def _passed(state: Column, piece: Column, now: Column) -> Column:
+    """The state after a piece without a role."""
+    kept = ("around", "place", "last", "named", "tables", "unmatched", "set_operation", "qualified")
+    return F.struct(*_lexical(piece, now), *[state[c].alias(c) for c in kept], (state["refused"] | now["odd"]).alias("refused"))
+
+
+def _role(state: Column, piece: Column, now: Column) -> Column:
+    """What a token does to the place in the statement, the tables and the verdict so far."""
     place, last, around, named = state["place"], state["last"], state["around"], state["named"]
-    act = ~blank
-    opened, closed, comma = (act & ~name & (token == sign) for sign in ("(", ")", ","))
-    nested = word & (last == "(") & (token.isin("SELECT", "VALUES", "FROM", "WITH"))
-    is_table = act & (place == TABLE) & (name | (word & ~nested & (token != "LATERAL")))
-    outer = F.try_element_at(around, F.lit(-1))
-    inside = (F.when((place == TABLE) & ~named, TABLE).when(last.isin(*_FROM_CALLS), CALL).otherwise(BRACKET))
-    set_word = word & ~is_table & token.isin(*_SET_WORDS)
-    starts = word & (token == "SELECT") & ((place == START) | (last == "("))
-    new_place = (
-        F.when(blank, place)
-        .when(opened, inside)
-        .when(closed, F.coalesce(outer, F.lit(LATER)))
-        .when(comma & place.isin(TABLE, FROM, LATER), TABLE)
-        .when(is_table, FROM)
-        .when(starts | (word & nested & (token == "VALUES")), SELECTED)
-        .when(set_word, START)
-        .when(word & (token == "JOIN"), TABLE)
-        .when(word & (token == "FROM") & (place != CALL), TABLE)
-        .when(word & token.isin(*_LATER_WORDS) & (place == FROM), LATER)
-        .when(word & (token == "BY") & last.isin(*_SORT_WORDS) & place.isin(FROM, LATER, SORTED), SORTED)
-        .otherwise(place))
-    kept = F.when(place == TABLE, FROM).otherwise(place)
-    new_around = (F.when(opened, F.array_append(around, kept))
-                  .when(closed & (F.size(around) > 0), F.slice(around, 1, F.greatest(F.size(around) - 1, F.lit(0))))
-                  .otherwise(around))
-    plain = F.when(token.startswith('"'), F.substring(token, 2, 1 << 30)).otherwise(token)
-    last_plain = F.when(last.startswith('"'), F.substring(last, 2, 1 << 30)).otherwise(last)
-    refused = (odd | (opened & (named | last_plain.isin(*_CODE_CALLS)))
-               | (word & ~is_table & (token == "TABLE")) | (act & ~word & (token == "'") & ((last == "USING") | (place == TABLE)))
-               | (word & (token == "SELECT") & place.isin(TABLE, FROM, LATER, SORTED) & (last != "("))
-               | (nested & (token == "WITH")))
-    return [
-        new_around.alias("around"), new_place.alias("place"), F.when(blank, last).otherwise(token).alias("last"),
-        F.when(blank, named).otherwise(is_table).alias("named"),
-        F.when(is_table, F.array_append(state["tables"], F.lower(plain))).otherwise(state["tables"]).alias("tables"),
-        (state["unmatched"] | (closed & (F.size(around) == 0))).alias("unmatched"),
-        (state["set_operation"] | (set_word & (F.size(around) == 0))).alias("set_operation"),
-        (state["qualified"] | (act & named & (token == "."))).alias("qualified"),
-        (state["refused"] | refused).alias("refused"),
-    ]
+    token, word, name = now["token"], now["word"], now["name"]
+    nested = word & (last == "(") & token.isin("SELECT", "VALUES", "FROM", "WITH")
+    facts = F.struct(
+        (~name & (token == "(")).alias("opened"), (~name & (token == ")")).alias("closed"), nested.alias("nested"),
+        ((place == TABLE) & (name | (word & ~nested & (token != "LATERAL")))).alias("table"),
+        (word & (place != TABLE) & token.isin(*_SET_WORDS)).alias("set"))
+
+    def after(is_: Column) -> Column:
+        opened, closed = is_["opened"], is_["closed"]
+        inside = F.when((place == TABLE) & ~named, TABLE).when(last.isin(*_FROM_CALLS), CALL).otherwise(BRACKET)
+        new_place = (
+            F.when(is_["table"], FROM)
+            .when(opened, inside)
+            .when(closed, F.coalesce(F.try_element_at(around, F.lit(-1)), F.lit(LATER)))
+            .when((token == ",") & place.isin(TABLE, FROM, LATER), TABLE)
+            .when(~word, place)
+            .when((token == "SELECT") & ((place == START) | (last == "(")), SELECTED)
+            .when(is_["nested"] & (token == "VALUES"), SELECTED)
+            .when(is_["set"], START)
+            .when(token == "JOIN", TABLE)
+            .when((token == "FROM") & (place != CALL), TABLE)
+            .when(token.isin(*_LATER_WORDS) & (place == FROM), LATER)
+            .when((token == "BY") & last.isin(*_SORT_WORDS) & place.isin(FROM, LATER, SORTED), SORTED)
+            .otherwise(place))
+        new_around = (F.when(opened, F.array_append(around, F.when(place == TABLE, FROM).otherwise(place)))
+                      .when(closed & (F.size(around) > 0), F.slice(around, 1, F.greatest(F.size(around) - 1, F.lit(0))))
+                      .otherwise(around))
+        refused = (state["refused"] | now["odd"] | (opened & (named | F.ltrim(last, F.lit('"')).isin(*_CODE_CALLS)))
+                   | (word & ~is_["table"] & (token == "TABLE"))
+                   | (~word & (token == "'") & ((last == "USING") | (place == TABLE)))
+                   | (word & (token == "SELECT") & place.isin(TABLE, FROM, LATER, SORTED) & (last != "("))
+                   | (is_["nested"] & (token == "WITH")))
+        found = F.lower(F.when(name, F.substring(token, 2, 1 << 30)).otherwise(token))
+        return F.struct(
+            *_lexical(piece, now), new_around.alias("around"), new_place.alias("place"), token.alias("last"),
+            is_["table"].alias("named"), F.when(is_["table"], F.array_append(state["tables"], found)).otherwise(state["tables"]).alias("tables"),
+            (state["unmatched"] | (closed & (F.size(around) == 0))).alias("unmatched"),
+            (state["set_operation"] | (is_["set"] & (F.size(around) == 0))).alias("set_operation"),
+            (state["qualified"] | (named & (token == "."))).alias("qualified"), refused.alias("refused"))
+
+    return _let(facts, after)
 
 
 def scan(statement: Column) -> Column:
