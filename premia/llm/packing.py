@@ -47,6 +47,14 @@ class Words:
             vocabulary = self.tokenizer.get_vocab()
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+            self.sizes = np.zeros(len(self.ends), np.int64)
+            for token, i in vocabulary.items():
+                self.sizes[i] = len(token.removesuffix(suffix))
+
+    def _normal(self, word: str) -> str:
+        """The word as the tokenizer sees it."""
+        shape = self.tokenizer.normalizer
+        return word if shape is None or (word.isascii() and self.lowers) else shape.normalize_str(word)
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -60,11 +68,17 @@ class Words:
         return [part.tobytes() for part in np.split(ids[ids != mark], np.flatnonzero(ids == mark) - np.arange(len(words) - 1))]
 
     def _letters(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters alone: each has one token that ends a word, unless the tokenizer changes letters."""
+        """Ids of words of letters alone: each has one token that ends a word, and its tokens have its bytes.
+
+        Where one of the words has not, all are encoded with marks between them.
+        """
         ids = self._encode(" ".join(words))
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(words) or stops[-1] != len(ids):
             return self._marked(words)
+        held = np.add.reduceat(self.sizes[ids], np.append(0, stops[:-1]))
+        if held.tolist() != [len(self._normal(word).encode()) for word in words]:
+            return self._marked(words)
         raw, stops = ids.tobytes(), (4 * stops).tolist()
         return [raw[a:b] for a, b in zip([0, *stops], stops)]
 
@@ -80,7 +94,8 @@ class Words:
         heads = [""] * len(texts)
         if self.ends is not None:
             cores = [text.rstrip(punctuation) for text in texts]
-            heads = [core if core.isalpha() else "" for core in cores]
+            # İ, for one, becomes a letter and a mark that the tokenizer joins to what follows.
+            heads = [core if core.isalpha() and (core.isascii() or self._normal(core).isalpha()) else "" for core in cores]
         tails = [text[len(head):] for text, head in zip(texts, heads)]
         if self.lowers:
             heads = [head.lower() if head.isascii() else head for head in heads]
@@ -186,36 +201,64 @@ def greedy_patterns(sizes: np.ndarray, demand: np.ndarray, room: int) -> tuple[n
     return columns, use
 
 
-def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+def solved(basis: np.ndarray, demand: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Inverse of the basis and the uses that meet the demand; None if they don't within a millionth."""
+    try:
+        inverse = np.linalg.inv(basis)
+    except np.linalg.LinAlgError:
+        return None
+    use = inverse @ demand
+    slack = 1e-6 * max(1.0, float(demand.max()))
+    if not np.isfinite(inverse).all() or use.min() < -slack or np.abs(basis @ np.maximum(use, 0) - demand).max() > slack:
+        return None
+    return inverse, np.maximum(use, 0)
+
+
+def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int = 20_000,
+                      refactor: int = 20) -> tuple[np.ndarray, np.ndarray]:
     """Patterns and how often each is used: the linear program of the cutting-stock problem.
 
     Starts with the greedy patterns. Each round prices a new pattern by the duals and swaps it into the
-    basis; it ends when no pattern is worth more than a sequence, when every sequence is full (no plan uses fewer), or
-    after ``rounds`` (still feasible).
+    basis, for the pattern with the largest pivot among those used up first; every ``refactor`` rounds the basis is inverted
+    anew and has to meet the demand. Demands are raised by less than a millionth, each by another share, so that no two
+    patterns are used up at once and the basis cannot go round in a circle. Ends when no pattern is worth more than a sequence, when every sequence is full (no plan
+    uses fewer), when a basis is no longer sound, or after ``rounds``; the last sound patterns, never worse
+    than the greedy ones, come back.
     """
     basis, use = greedy_patterns(sizes, demand, room)
-    inverse = np.linalg.inv(basis)
-    full = float(sizes @ demand) / room
-    for turn in range(rounds):
+    sound = basis.copy(), use
+    raised = demand * (1 + 1e-7 * np.random.default_rng(len(sizes)).uniform(1, 2, len(sizes)))
+    fresh = solved(basis, demand)
+    full = float(sizes @ raised) / room
+    for turn in range(rounds if fresh is not None else 0):
+        if turn % refactor == 0:
+            fresh, met = solved(basis, raised), solved(basis, demand)
+            if fresh is None or met is None or met[1].sum() > sound[1].sum() * (1 + 1e-6):
+                break
+            inverse, use = fresh
+            sound = basis.copy(), met[1]
         if use.sum() <= full * (1 + 1e-9):
             break
         worth, pattern = best_pattern(inverse.sum(axis=0), sizes, room)
         if worth <= 1 + 1e-7:
             break
         step = inverse @ pattern
-        able = step > 1e-9
+        able = step > 1e-7 * max(1.0, float(np.abs(step).max()))
+        if not able.any():
+            break
         ratio = np.where(able, use / np.where(able, step, 1), np.inf)
-        out = int(ratio.argmin())
+        tied = ratio <= ratio.min() * (1 + 1e-12)
+        out = int(np.where(tied, step, 0).argmax())
         basis[:, out] = pattern
         row = inverse[out] / step[out]
         inverse -= np.outer(step, row)
         inverse[out] = row
-        use = use - ratio[out] * step
+        use = np.maximum(use - ratio[out] * step, 0)
         use[out] = ratio[out]
-        if turn % 500 == 499:
-            inverse = np.linalg.inv(basis)
-            use = inverse @ demand
-    return basis.T.astype(np.int64), np.maximum(use, 0)
+    last = solved(basis, demand)
+    if last is not None and last[1].sum() <= sound[1].sum():
+        sound = basis, last[1]
+    return sound[0].T.astype(np.int64), sound[1]
 
 
 def plan(histogram: dict[int, int], room: int) -> list[tuple[int, dict[int, int]]]:

@@ -120,6 +120,34 @@ def test_knapsack_and_plan():
     assert packing.plan({}, 64) == [] and packing.plan({64: 3}, 64) == [(3, {64: 1})]
 
 
+def test_column_generation_on_seeded_histograms():
+    rng = np.random.default_rng(8)
+    for case in range(200):
+        room = int(rng.choice([32, 128, 512]))
+        kinds = int(rng.integers(1, min(room - 1, 110)))
+        sizes = np.sort(rng.choice(np.arange(1, room), kinds, replace=False)).astype(np.int64)
+        demand = np.floor(rng.pareto(0.7, kinds) * rng.choice([1, 30, 2000]) + 1).clip(1, 1e6)
+        greedy = packing.greedy_patterns(sizes, demand, room)[1].sum()
+        patterns, use = packing.column_generation(sizes, demand, room)
+        assert (patterns >= 0).all() and (patterns @ sizes <= room).all() and (use >= 0).all()
+        assert np.abs(use @ patterns - demand).max() <= 1e-6 * max(1, demand.max()), case
+        assert use.sum() <= greedy * (1 + 1e-6) and use.sum() >= sizes @ demand / room * (1 - 1e-6)
+
+
+def test_ids_of_words_are_those_of_whole_texts():
+    from tokenizers import Tokenizer
+    whole, words = Tokenizer.from_file(TOKENIZER), packing.Words(TOKENIZER)
+    rng = random.Random(6)
+    signs = ["İ", "I", "ß", "ẞ", "ŉ", "ǰ", "ΐ", "e\u0301", "É", "é", "ﬁ", "Σ", "ς", "ı", "a", "Z", "7", "中", "\u0307", "\u0345", "Ω", "Ǆ", "ﾊﾞ"]
+    texts = ["GAZETESİ, DEVLETİ. Mİ?", "İ", "İ.", "İİ!!", "don't I'm He'll", "a\u0301,", "  \n\t"]
+    for _ in range(400):
+        texts.append(" ".join("".join(rng.choices(signs, k=rng.randint(1, 5))) + rng.choice(["", ",", ".", "?!", "'s", "...", "\u0301,"])
+                              for _ in range(rng.randint(1, 8))))
+    got = words.ids([t.encode() for t in texts])
+    for text, ids in zip(texts, got):
+        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
 def test_pack(spark):
     from tokenizers import Tokenizer
     whole = Tokenizer.from_file(TOKENIZER)
