@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -13,6 +16,26 @@ BLANK = r"[\x20\x09-\x0D]"
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(paths: list[str]) -> Iterator[None]:
+    """Note the folders that ``stored`` writes meanwhile in ``paths``."""
+    before = _scratch.set(paths)
+    try:
+        yield
+    finally:
+        _scratch.reset(before)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders that ``scratch`` noted; nothing may read them any more."""
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores added until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}
@@ -29,6 +52,8 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_folder(spark, purpose)
+    if _scratch.get() is not None:
+        _scratch.get().append(path)
     before = spark.conf.get(_CLEAN_UP, "false")
     spark.conf.set(_CLEAN_UP, "true")
     try:
