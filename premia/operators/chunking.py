@@ -117,12 +117,16 @@ def chunk_documents(blocks: DataFrame, size: int = CHUNK_TOKENS,
             *place, F.lit("text").alias("type"),
             _chunks_per_page(F.col("_words"), size, overlap).alias("_n")))
     is_prose = F.when(F.col("type") == "text", 1).otherwise(0)
-    bucket = is_prose.cast("bigint") * (1 << 40) + F.floor(F.col("page") / _PAGES_PER_BUCKET)
+    # a null page sorts first, so its bucket does too
+    bucket = is_prose.cast("bigint") * (1 << 40) + F.coalesce(
+        F.floor(F.col("page") / _PAGES_PER_BUCKET), F.lit(-1))
     first = total_before(counts, ["document_id"],
                          [is_prose, F.col("page"), F.col("table_index")], bucket,
                          F.col("_n"), "_first", light=True)
-    numbered = table_chunks.unionByName(prose_chunks).join(
-        first.select(*place, "type", "_first"), [*place, "type"])
+    # null-safe: a table without an index, or a block without a page, is a block like others
+    found = first.select(*[F.col(c).alias(f"_{c}") for c in (*place, "type")], "_first")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*place, "type")]
+    numbered = table_chunks.unionByName(prose_chunks).join(found, same).drop(*[f"_{c}" for c in (*place, "type")])
     return numbered.select(
         chunk_id(F.col("document_id"), F.col("type"), F.col("page"), F.col("table_index"),
                  F.col("position")).alias("chunk_id"),

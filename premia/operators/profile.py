@@ -76,7 +76,7 @@ def _local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 def _value_counts(df: DataFrame, numbers: list[T.StructField], wide: set[str]) -> DataFrame:
     """Every distinct value of every column once, with its count; counted map-side first.
 
-    Numbers go by ``value``, all others and the integers too wide for a double by ``text``;
+    Numbers go by ``value``, all others and the numbers too wide for a double by ``text``;
     ``tells`` marks the rows that stand for distinct values of their column.
     """
     def counted(fields: list[T.StructField], as_type: str) -> DataFrame:
@@ -174,8 +174,10 @@ def profile_columns(df: DataFrame, approx: bool = False, digits: int = 4) -> Dat
     else:
         whole = {f.name for f in numbers
                  if not isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+        # doubles tell apart whole numbers up to 2**53 and decimals of 15 digits
         wide = {s["column_name"] for s in summaries if s["column_name"] in whole
                 and s["max"] is not None and max(abs(s["min"]), abs(s["max"])) >= 2**53}
+        wide |= {f.name for f in numbers if isinstance(f.dataType, T.DecimalType) and f.dataType.precision > 15}
         counts = materialize(_value_counts(df, numbers, wide), "value-counts")
         quartiles = {}
         if numbers:

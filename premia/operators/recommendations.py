@@ -19,39 +19,61 @@ RECOMMENDATION_FIELDS = (
     "conflicts: array<string>, reasoning_steps: array<string>, uncertainty_sources: array<string>"
 )
 RECOMMENDATION_TYPE = f"struct<{RECOMMENDATION_FIELDS}>"
-_CORRUPT = "_corrupt"
+
+
+def _text(value: Column, path: str) -> Column:
+    return F.try_variant_get(value, path, "string")
+
+
+def _list(value: Column, path: str) -> Column:
+    """A list as it is; any other value as a list of one, so that ``"none"`` is not lost; null stays null."""
+    single = F.try_variant_get(value, path, "variant")
+    return F.coalesce(F.try_variant_get(value, path, "array<variant>"),
+                      F.when(single.isNotNull() & ~F.is_variant_null(single), F.array(single)))
+
+
+def _recommendation(value: Column) -> Column:
+    """The typed recommendation of a JSON object; a field that cannot be read is null, the others stay."""
+
+    def entries(path: str, whole: tuple[str, ...] = (), **kinds: str) -> Column:
+        return F.transform(_list(value, path), lambda x: F.struct(*[
+            F.coalesce(F.try_variant_get(x, f"$.{name}", kind),
+                       F.try_variant_get(x, "$", "string") if name in whole else F.lit(None).cast(kind)).alias(name)
+            for name, kind in kinds.items()]))
+
+    return F.struct(
+        _text(value, "$.action").alias("action"),
+        F.lower(F.trim(_text(value, "$.confidence"))).alias("confidence"),
+        _text(value, "$.confidence_rationale").alias("confidence_rationale"),
+        entries("$.document_evidence", ("text",), text="string", source="string", page="int", relevance="string")
+        .alias("document_evidence"),
+        entries("$.sql_evidence", ("key_finding",), sql="string", key_finding="string", row_summary="string").alias("sql_evidence"),
+        *[F.transform(_list(value, f"$.{name}"), lambda x: F.try_variant_get(x, "$", "string")).alias(name)
+          for name in ("conflicts", "reasoning_steps", "uncertainty_sources")],
+    ).cast(RECOMMENDATION_TYPE)
 
 
 def parse_recommendations(replies: DataFrame, reply: str = "raw_model_output") -> DataFrame:
     """Add recommendation and problem; exactly one of them is null.
 
-    The reply is read as JSON as it stands, then without its code fence. Rows that are no JSON
-    object of the schema, lack an action or have an unknown confidence stay, with their problem.
+    The reply is read as JSON as it stands, then without its code fence. Only what is no JSON object is
+    ``invalid_json``; fields are read one by one, so a page in quotes is a number, a single conflict is a list of
+    one, and ``High`` is a confidence. Rows that lack an action or have an unknown confidence stay, with their problem.
     """
-    schema = f"struct<{RECOMMENDATION_FIELDS}, {_CORRUPT}: string>"
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
-
-    def read(text):
-        return F.from_json(text, schema, options)
-
-    parsed = replies.withColumn("_plain", read(F.col(reply))).withColumn(
-        "_parsed",
-        F.when(F.col("_plain").isNotNull() & F.col(f"_plain.{_CORRUPT}").isNull()
-               & F.trim(F.col(reply)).startswith("{"), F.col("_plain"))
-        .otherwise(read(strip_json_fence(F.col(reply)))),
-    )
+    plain = F.when(F.trim(F.col(reply)).startswith("{"), F.try_parse_json(F.col(reply)))
+    parsed = replies.withColumn("_json", F.coalesce(plain, F.try_parse_json(strip_json_fence(F.col(reply)))))
+    is_object = F.coalesce(F.schema_of_variant("_json").startswith("OBJECT"), F.lit(False))
+    parsed = parsed.withColumn("_parsed", F.when(is_object, _recommendation(F.col("_json"))))
     problem = (
-        F.when(F.col("_parsed").isNull() | F.col(f"_parsed.{_CORRUPT}").isNotNull(),
-               "invalid_json")
+        F.when(F.col("_parsed").isNull(), "invalid_json")
         .when(F.col("_parsed.action").isNull(), "missing_action")
         .when(F.col("_parsed.confidence").isNull()
               | ~F.col("_parsed.confidence").isin(*CONFIDENCE_LEVELS), "unknown_confidence")
     )
     return (
         parsed.withColumn("problem", problem)
-        .withColumn("recommendation", F.when(
-            F.col("problem").isNull(), F.col("_parsed").dropFields(_CORRUPT)))
-        .drop("_plain", "_parsed")
+        .withColumn("recommendation", F.when(F.col("problem").isNull(), F.col("_parsed")))
+        .drop("_json", "_parsed")
     )
 
 

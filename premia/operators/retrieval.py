@@ -78,8 +78,12 @@ def _scored_in_blocks(questions: DataFrame, vectors: DataFrame, scope: list[str]
     """Best k per question and block; several blocks of a scope may answer one question."""
     filtered = "document_ids" in questions.columns
     # a chunk that waits for its vector is normal and matches nothing
-    vectors = vectors.filter(F.col("embedding").isNotNull())
-    questions = questions.filter(F.col("embedding").isNotNull())
+    vectors = vectors.filter(F.col("embedding").isNotNull()).withColumn("_width", F.size("embedding"))
+    questions = questions.filter(F.col("embedding").isNotNull()).withColumn("_width", F.size("embedding"))
+    # vectors of another width or another model have no angle to the question's
+    scope = [*scope, "_width"]
+    if "embedding_model" in vectors.columns and "embedding_model" in questions.columns:
+        scope.append("embedding_model")
 
     def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
         return df.groupBy(*scope).agg(F.ceil(F.count(F.lit(1)) / size).alias(name))

@@ -168,7 +168,7 @@ def _scenario_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _REPLIES_SQL = """
     SELECT conv_id * 100 + turn AS reply_id, conv_id, turn, role, text,
-           substr(regexp_replace(text, '[^\\p{L} ]', '', 'g'), 1, 40) AS action,
+           regexp_replace(text, '[^\\p{L} ]', '', 'g') AS action,
            (['high', 'medium', 'low', 'certain'])[conv_id % 4 + 1] AS confidence
     FROM conversations
 """

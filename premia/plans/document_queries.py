@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from premia.functions.tenancy import scope_chunks
 from premia.operators.chunking import (
@@ -152,12 +152,17 @@ def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("question_id"), F.lit("en").alias("tenant_id"),
+        F.col("item_id").alias("question_id"), tenant_of(F.col("item_id")).alias("tenant_id"),
         F.col("text").alias("question"))
 
 
+def tenant_of(item_id: Column) -> Column:
+    """Questions go round the tenants, which are the four languages."""
+    return F.element_at(F.array(*map(F.lit, ("en", "de", "fr", "es"))), (item_id % 4 + 1).cast("int"))
+
+
 def top_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five best English chunks for each benchmark text."""
+    """The five best chunks of its tenant for each benchmark text."""
     # the chunk store is a table in real use: written once, then read by every step
     chunks = materialize(text_chunks(spark, sf_dir), "chunks")
     return find_evidence(questions(spark, sf_dir), chunks, fit_tfidf(chunks))
@@ -190,14 +195,18 @@ def evidence_ctes(asked_sql: str = _ASKED_SQL) -> str:
     """CTEs up to ``evidence``: the five best chunks of each asked text."""
     return f"""
     {_tfidf_ctes(CHUNKS_SQL, asked_sql)},
-    cosine AS (
-        SELECT question_id, chunk_id,
-               round(sum(q.x * v.x) / sqrt(any_value(qn) * any_value(vn)), 12) AS score,
-               round(score, 4) AS similarity_score
-        FROM (SELECT *, sum(x * x) OVER (PARTITION BY question_id) AS qn FROM qweight) q
-        JOIN (SELECT *, sum(x * x) OVER (PARTITION BY chunk_id) AS vn FROM weight
-              WHERE chunk_id IN (SELECT chunk_id FROM chunk WHERE tenant_id = 'en')) v USING (slot)
+    scored AS (
+        SELECT question_id, chunk_id, sum(q.x * v.x) / sqrt(any_value(qn) * any_value(vn)) AS score
+        FROM (SELECT *, sum(x * x) OVER (PARTITION BY question_id) AS qn,
+                     (['en', 'de', 'fr', 'es'])[question_id % 4 + 1] AS tenant_id FROM qweight) q
+        JOIN (SELECT w.*, k.tenant_id, sum(x * x) OVER (PARTITION BY chunk_id) AS vn
+              FROM weight w JOIN chunk k USING (chunk_id)) v USING (slot, tenant_id)
         GROUP BY ALL),
+    cosine AS (
+        SELECT question_id, k.chunk_id, round(coalesce(s.score, 0), 12) + 0.0 AS score,
+               round(round(coalesce(s.score, 0), 12), 4) + 0.0 AS similarity_score
+        FROM asked a JOIN chunk k ON k.tenant_id = (['en', 'de', 'fr', 'es'])[a.question_id % 4 + 1]
+        LEFT JOIN scored s USING (question_id, chunk_id)),
     candidate AS MATERIALIZED (
         SELECT * FROM cosine QUALIFY row_number() OVER (
             PARTITION BY question_id ORDER BY score DESC, chunk_id) <= 20),

@@ -9,7 +9,7 @@ from premia.operators.embedding import fit_tfidf
 from premia.operators.memory import context_strings, recent_window
 from premia.plans.decision import answer_questions
 from premia.plans.decision_queries import _PROMPT_TAIL, _recent_sql, _window_sql
-from premia.plans.document_queries import evidence_ctes, text_chunks
+from premia.plans.document_queries import evidence_ctes, tenant_of, text_chunks
 from premia.plans.registry import query
 from premia.plans.tables import MESSAGES_SQL, messages, table
 from premia.session import materialize, shared_folder
@@ -22,7 +22,7 @@ def benchmark_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     no_ids = F.array().cast("array<string>")
     return table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"), (F.col("item_id") % 10).alias("session_id"),
-        F.lit("en").alias("tenant_id"),
+        tenant_of(F.col("item_id")).alias("tenant_id"),
         F.timestamp_seconds(F.col("item_id") * 60).cast("timestamp_ntz").alias("asked_at"),
         F.col("text").alias("question"),
         F.when(F.col("item_id") % 4 == 0, F.array(F.concat(F.lit("ds-"), "item_id")))
@@ -55,7 +55,7 @@ _AUGMENTED = """text || CASE WHEN item_id % 3 = 0 THEN chr(10)
         SELECT *, item_id % 10 AS session_id, {_AUGMENTED} AS asked,
                CASE WHEN item_id % 4 = 0 THEN item_id END AS own,
                last_value(CASE WHEN item_id % 4 = 0 AND item_id % 3 <> 0 THEN item_id END
-                          IGNORE NULLS) OVER (PARTITION BY item_id % 10 ORDER BY item_id
+                          IGNORE NULLS) OVER (PARTITION BY item_id % 10, item_id % 4 ORDER BY item_id
                               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS carried
         FROM benchmark)
     SELECT sha256('audit|' || item_id) AS id, l.session_id, l.text AS query_text,

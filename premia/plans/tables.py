@@ -325,7 +325,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     confidence = F.element_at(F.array(*map(F.lit, ("high", "medium", "low", "certain"))),
                               (F.col("conv_id") % 4 + 1).cast("int"))
     body = F.to_json(F.struct(
-        F.substring(F.regexp_replace("text", r"[^\p{L} ]", ""), 1, 40).alias("action"),
+        F.regexp_replace("text", r"[^\p{L} ]", "").alias("action"),
         confidence.alias("confidence"), F.col("role").alias("confidence_rationale"),
         F.array(F.struct(F.col("role").alias("text"), F.lit("memo").alias("source"),
                          F.col("turn").cast("int").alias("page"), F.lit("why").alias("relevance")))

@@ -109,3 +109,9 @@ def test_row_ids_unique_stable_and_split(spark):
     again = with_row_id(df.repartition(7), copies_per_task=1000)
     assert ids == sorted(r["_row_id"] for r in again.collect())
     assert first.groupBy("k").count().filter("k = 'a'").first()["count"] == 25
+
+
+def test_profile_tells_long_decimals_apart(spark):
+    df = spark.sql("SELECT CAST('1.0000000000000000001' AS decimal(38, 19)) AS d UNION ALL "
+                   "SELECT CAST('1.0000000000000000002' AS decimal(38, 19)) UNION ALL SELECT CAST(1 AS decimal(38, 19))")
+    assert profile_columns(df).first()["unique_count"] == 3

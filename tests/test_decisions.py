@@ -277,3 +277,34 @@ def test_request_metrics(spark):
     got = {(r["endpoint"], r["le"]): r["requests"] for r in latency_histogram(log).collect()}
     assert got["/a", 0.005] == 1 and got["/a", 0.025] == 2 and got["/a", 10.0] == 3
     assert got["/a", float("inf")] == 4 and got["/b", 0.5] == 1 and got["/b", 0.25] == 0
+
+
+def test_replies_are_read_field_by_field(spark):
+    def reply(**fields):
+        return json.dumps({"action": "Raise", "confidence": "High ", **fields})
+
+    replies = [
+        (1, reply(document_evidence=[{"text": "t", "page": "3"}, {"text": "u", "page": "n/a"}, "loose"])),
+        (2, reply(conflicts="none", reasoning_steps=["a", 2, None], uncertainty_sources=None)),
+        (3, reply(action=7, extra={"x": [1]}, sql_evidence={"sql": "SELECT 1", "key_finding": 5})),
+        (4, '{"action": "x", "action": "y"'), (5, '"just a text"'), (6, reply(confidence=["high"])),
+    ]
+    got = {r["id"]: r for r in parse_recommendations(
+        spark.createDataFrame(replies, "id int, raw_model_output string")).collect()}
+    assert [got[i]["problem"] for i in range(1, 7)] == [None, None, None, "invalid_json", "invalid_json", "unknown_confidence"]
+    one, two, three = (got[i]["recommendation"] for i in (1, 2, 3))
+    assert one["confidence"] == "high" and [(e["text"], e["page"]) for e in one["document_evidence"]] == [
+        ("t", 3), ("u", None), ("loose", None)]
+    assert two["conflicts"] == ["none"] and two["reasoning_steps"] == ["a", "2", None] and two["uncertainty_sources"] is None
+    assert three["action"] == "7" and [(e["sql"], e["key_finding"]) for e in three["sql_evidence"]] == [("SELECT 1", "5")]
+
+
+def test_only_bad_syntax_is_asked_again(spark):
+    prompts = spark.createDataFrame([(1, "p")], "question_id int, prompt string")
+    odd = json.dumps({"action": "Raise", "confidence": "HIGH", "conflicts": "none", "document_evidence": [{"page": "x"}]})
+
+    def generate(prompt):
+        return F.when(prompt.contains("valid JSON"), F.lit("asked again")).otherwise(F.lit(odd))
+
+    [row] = generate_recommendations(prompts, generate).collect()
+    assert row["problem"] is None and row["raw_model_output"] == odd

@@ -249,3 +249,24 @@ def test_overlap_counts_distinct_terms(spark):
     row = spark.createDataFrame([("a a b", "B, c: a")], "q string, t string").select(
         lexical_overlap(F.col("q"), F.col("t"))).first()
     assert row[0] == 2.0
+
+
+def test_a_table_without_an_index_keeps_its_chunks(spark):
+    blocks = spark.createDataFrame(
+        [("d", "t", "table", 1, None, None, [["a", "b"]]), ("d", "t", "table", 2, 0, None, [["c"]]),
+         ("d", "t", "text", 1, None, "some words", None), ("d", "t", "text", None, None, "no page", None)],
+        "document_id string, tenant_id string, kind string, page int, table_index int, text string, rows array<array<string>>")
+    got = chunk_documents(blocks).collect()
+    assert sorted((r["type"], r["text"]) for r in got) == [
+        ("table", "a | b"), ("table", "c"), ("text", "no page"), ("text", "some words")]
+    assert sorted(r["chunk_index"] for r in got) == [0, 1, 2, 3]
+
+
+def test_vectors_of_other_widths_and_models_do_not_meet(spark):
+    rows = [(1, "t", [1.0, 0.0], "m"), (2, "t", [0.0, 1.0], "m"), (3, "t", [1.0, 0.0, 0.0], "m"), (4, "t", [1.0, 0.0], "other"), (5, "t", None, "m")]
+    df = spark.createDataFrame(rows, "chunk_id int, tenant_id string, embedding array<double>, embedding_model string")
+    asked = df.withColumnRenamed("chunk_id", "question_id")
+    got = vector_top_k(asked, df).collect()
+    assert {(r["question_id"], r["chunk_id"]) for r in got} == {(1, 1), (1, 2), (2, 1), (2, 2), (3, 3), (4, 4)}
+    got = vector_top_k(asked.drop("embedding_model"), df).collect()
+    assert {(r["question_id"], r["chunk_id"]) for r in got if r["question_id"] == 1} == {(1, 1), (1, 2), (1, 4)}
