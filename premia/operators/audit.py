@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from premia.functions.tenancy import scope_to_tenant
 from premia.functions.text import citation, iso_time, minute_time, strip_blanks
+from premia.session import materialize
 from premia.settings import (
     AUDIT_PAGE_ROWS, DECISION_ACTIONS, PROMPT_VERSION, REPORT_BODY_CHARS, REPORT_CHUNK_CHARS,
     REPORT_CHUNKS, REPORT_CODE_CHARS, REPORT_SQL_QUERIES,
@@ -50,8 +51,19 @@ def audit_records(results: DataFrame, llm_model: str, embed_model: str,
 
 
 def append_audit(records: DataFrame, path: str) -> None:
-    """Add records to the trail, one folder per tenant; nothing already there is touched."""
-    records.write.mode("append").partitionBy("tenant_id").parquet(path)
+    """Add records to the trail, one folder per tenant; nothing already there is touched.
+
+    An id follows from its question, so a record that the trail has is not added again: a repeated append
+    changes nothing. Only ids are read, of the tenants at hand. Appends to one trail must not run at the same time.
+    """
+    spark = records.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    new = records.dropDuplicates(["tenant_id", "id"])
+    if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        there = spark.read.schema(records.select("id", "tenant_id").schema).parquet(path)
+        # stored, so that the trail is not read while it is written
+        new = materialize(new.join(there, ["tenant_id", "id"], "left_anti").select(records.columns), "audit-new")
+    new.write.mode("append").partitionBy("tenant_id").parquet(path)
 
 
 def apply_decisions(audit: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:

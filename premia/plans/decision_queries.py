@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from premia.operators.audit import (
-    apply_decisions, audit_kpis, audit_page, audit_report_lines, audit_trace, export_audit_json,
+    append_audit, apply_decisions, audit_kpis, audit_page, audit_report_lines, audit_trace, export_audit_json,
 )
 from premia.operators.evidence import (
     assemble_prompts, compare_scenarios, expand_scenarios, format_document_evidence,
@@ -24,7 +24,7 @@ from premia.plans.tables import (
     AUDIT_LOG_SQL, DECISION_LOG_SQL, MESSAGES_SQL, POLICY_BOOK_SQL, QUERY_LOG_SQL, REQUEST_LOG_SQL,
     audit_log, decision_log, messages, policy_book, query_log, replies, request_log, table,
 )
-from premia.session import spread
+from premia.session import materialize, shared_folder, spread
 
 SCENARIOS = [("Base", {}), ("Stress", {"claims_increase": 0.25}),
              ("Boom", {"claims_increase": -0.1, "note": "growth"})]
@@ -606,3 +606,17 @@ def _request_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latency_histogram(request_log(spark, sf_dir)).select(
         "endpoint", F.lower(F.regexp_replace(F.col("le").cast("string"), "Infinity", "inf"))
         .alias("le"), "requests", F.round("latency_sum", 4).alias("latency_sum"))
+
+
+@query("append_audit", f"""
+    SELECT id, tenant_id, session_id, recommendation_id, query_text, created_at, scenario_label
+    FROM ({AUDIT_LOG_SQL}) a
+""")
+def _append_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the trail, then all of it, then all of it once more: each record once."""
+    path, records = shared_folder(spark, "audit-trail"), materialize(audit_log(spark, sf_dir), "audit")
+    append_audit(records.filter(F.crc32(F.col("id").cast("binary")) % 2 == 0), path)
+    append_audit(records, path)
+    append_audit(records, path)
+    return spark.read.schema(records.schema).parquet(path).select(
+        "id", "tenant_id", "session_id", "recommendation_id", "query_text", "created_at", "scenario_label")

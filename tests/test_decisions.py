@@ -308,3 +308,13 @@ def test_only_bad_syntax_is_asked_again(spark):
 
     [row] = generate_recommendations(prompts, generate).collect()
     assert row["problem"] is None and row["raw_model_output"] == odd
+
+
+def test_a_repeated_append_adds_nothing(spark, audit, tmp_path):
+    path = str(tmp_path / "trail")
+    append_audit(audit.unionByName(audit).filter("tenant_id = 't0'"), path)
+    for _ in range(2):
+        append_audit(audit, path)
+    append_audit(audit.limit(0), path)
+    got = spark.read.schema(audit.schema).parquet(path).collect()
+    assert sorted(r["id"] for r in got) == sorted(r["id"] for r in audit.collect())
