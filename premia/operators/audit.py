@@ -152,6 +152,7 @@ def audit_report_lines(audit: DataFrame, title: str = "Pricing Recommendation")
     Sections come in a fixed order and stay away when they are empty; body lines are cut at 2000
     characters, SQL at 1000, chunk texts at 400; the first 3 statements and 5 chunks are shown.
     """
+    # fixed values: the labels and headings of the report, which results must match
     rec = F.col("recommendation")
     text_line = "array<struct<section: string, text: string>>"
 

@@ -90,6 +90,8 @@ def rollup_blocks(messages: DataFrame, window: int = WINDOW_TURNS,
     )
 
 
+# --- fixed values: the labels in summary_prompt and context_strings, which results must match ---
+
 def summary_prompt(previous: Column, old_text: Column) -> Column:
     return F.concat(F.lit("Previous summary:\n"), F.coalesce(previous, F.lit("None")),
                     F.lit("\n\nNew conversation to summarize:\n"), old_text)
