@@ -2,9 +2,9 @@
 
 Documents are stored in blocks. In a block, every string of ``span`` bytes is filed under the smallest hash of
 the k-byte strings in it, so equal strings of all documents are filed under the same hash. Strings whose
-hash no other document has cannot be repeated. For the others each block sorts its text pieces once
-and hands their Burrows-Wheeler transform to the bucket of the hash; a bucket merges the transforms of
-all blocks and returns one bit a string: whether a smaller document has it.
+hash no other document has cannot be repeated. For the others each block hands its text pieces to the bucket of
+the hash. A bucket sorts them in shards, merges the shards' Burrows-Wheeler transforms and returns one bit a
+string: whether a smaller document has it.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from premia.llm.shingles import mix64
 SPAN = 50
 BLOCK_BYTES = 2 << 20
 BUCKET_BYTES = 1 << 20
+SHARD_BYTES = 64 << 10
 LAST = np.iinfo(np.int64).max
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -129,41 +130,49 @@ class Block:
 def transform(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Burrows-Wheeler transform of a set of texts, each with an end sign 0, and the sorted suffixes' places.
 
-    Prefix doubling: suffixes get ranks by twice as many signs each time. The end sign of an earlier text is the smaller,
-    so no two suffixes are equal and equal ones go by their text.
+    Prefix doubling: suffixes get ranks by five signs, then by twice as many each time. The end sign of an earlier text
+    is the smaller, so no two suffixes are equal and equal ones go by their text.
     """
-    data = np.concatenate([np.append(np.frombuffer(t, np.uint8).astype(np.int64) + 1, 0) for t in texts])
+    size = np.array([len(t) + 1 for t in texts])
+    data = np.frombuffer(b"\0".join([*texts, b""]), np.uint8).astype(np.int64) + 1
     n = len(data)
-    end = data == 0
-    rank, depth = data + len(texts), 1
-    rank[end] = np.arange(len(texts))
+    end = np.cumsum(size) - 1
+    data[end] = 0
+    left = np.repeat(end, size) - np.arange(n)
+    depth, key = 5, data.copy()
+    for j in range(1, depth):
+        key = key * 257 + np.where(left[:n] >= j, np.append(data[j:], np.zeros(min(j, n), np.int64)), 0)
+    key = key * (len(texts) + 1) + np.where(left < depth, np.repeat(np.arange(1, len(texts) + 1), size), 0)
     while True:
-        key = rank * (n + len(texts) + 300) + np.append(rank[depth:], np.zeros(min(depth, n), np.int64))
         order = np.argsort(key)
         fresh = np.append(True, np.diff(key[order]) != 0)
         rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(fresh) - 1
-        depth *= 2
+        rank[order] = np.cumsum(fresh)
         if fresh.all():
             break
-    begin = np.append(True, end[:-1])
+        key = rank * (n + 1) + np.append(rank[depth:], np.zeros(min(depth, n), np.int64))
+        depth *= 2
     before = np.append(data[-1], data[:-1])
-    before[begin] = 0
     return before[order].astype(np.uint16), order
 
 
-def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave sorted suffixes of several transforms by their first ``depth`` signs.
+def merge(transforms: list[np.ndarray], owner: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Interleave sorted suffixes of several transforms by up to ``depth`` signs, as far as owners meet.
 
-    Returns the merged order, as places in the transforms laid end to end, and for each place in it the common
-    prefix with the one before (at most ``depth``). Each pass puts one more sign in front: suffixes in
+    ``owner`` is that of the text of each suffix, in the order of the transforms laid end to end; places count in
+    that order. Returns the places of the suffixes whose first ``depth`` signs another owner has too, merged, the interval
+    of equal signs that each lies in, and for every suffix the longest common prefix with a suffix of
+    another owner (at most ``depth``, end signs left out). Each pass puts one more sign in front: suffixes in
     their order by t signs, dealt out by the sign before them, are in order by t + 1 signs. No text is read and no
-    suffix is sorted again. Suffixes that part after t signs stay on their sides in all later passes,
-    so a boundary first seen in a pass is a common prefix of that length.
+    suffix is sorted again. An interval of one owner is settled: what stands before its suffixes parts into
+    intervals of that owner only, so neither is dealt out again, nor is what goes beyond the begin of a text.
     """
+    signs = np.concatenate(transforms)
     # Few signs occur: as bytes, in the same order, they are dealt out in one counting pass.
-    _, signs = np.unique(np.concatenate(transforms), return_inverse=True)
-    signs = signs.astype(np.uint8 if signs.max(initial=0) < 256 else np.uint16)
+    has = np.bincount(signs, minlength=1) > 0
+    has[0] = True
+    code = np.cumsum(has) - 1
+    signs = code[signs].astype(np.uint8 if code[-1] < 256 else np.uint16)
     place = np.int32 if len(signs) < 2**31 else np.int64
     step = np.empty(len(signs), place)
     at = 0
@@ -171,32 +180,33 @@ def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndar
         step[at + np.argsort(signs[at:at + len(t)], kind="stable")] = np.arange(at, at + len(t))
         at += len(t)
     order, group = np.arange(len(signs), dtype=place), np.zeros(len(signs), place)
-    common = np.full(len(signs), depth, np.int32)
-    for t in range(depth):
+    common = np.zeros(len(signs), np.int32)
+    for t in range(1, depth + 1):
         sign = signs[order]
-        dealt = np.argsort(sign, kind="stable")
+        dealt = np.argsort(sign, kind="stable")[len(sign) - np.count_nonzero(sign):]
+        if not len(dealt):
+            return order[:0], group[:0], common
         sign, source = sign[dealt], group[dealt]
         order = step[order[dealt]]
-        new = np.ones(len(signs), bool)
-        new[1:] = (sign[1:] != sign[:-1]) | (source[1:] != source[:-1])
-        group = np.cumsum(new, dtype=place)
-        common[new & (common == depth)] = t
-    return order, common
+        at = np.flatnonzero(np.append(True, (sign[1:] != sign[:-1]) | (source[1:] != source[:-1])))
+        held = owner[order]
+        shared = np.minimum.reduceat(held, at) < np.maximum.reduceat(held, at)
+        many = np.diff(np.append(at, len(order)))
+        order = order[np.repeat(shared, many)]
+        group = np.repeat(np.arange(np.count_nonzero(shared), dtype=place), many[shared])
+        common[order] = t
+    return order, group, common
 
 
 def repeated(shards: list[tuple[np.ndarray, np.ndarray]], span: int) -> list[np.ndarray]:
-    """For each shard (transform, owner of each suffix or -1 if shorter than span): who has a smaller owner's string."""
-    order, common = merge([t for t, _ in shards], span)
-    group = np.cumsum(common < span)
-    owner = np.concatenate([o for _, o in shards])[order]
-    valid = owner >= 0
-    order, group, owner = order[valid], group[valid], owner[valid]
-    total = sum(len(t) for t, _ in shards)
-    smaller = np.zeros(total, bool)
-    if len(owner):
+    """For each shard (transform, owner of each suffix's text): whose first ``span`` signs a smaller owner has."""
+    owner = np.concatenate([o for _, o in shards])
+    order, group, _ = merge([t for t, _ in shards], owner, span)
+    smaller = np.zeros(len(owner), bool)
+    if len(order):
+        held = owner[order]
         at = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        least = np.repeat(np.minimum.reduceat(owner, at), np.diff(np.append(at, len(owner))))
-        smaller[order[least < owner]] = True
+        smaller[order[np.minimum.reduceat(held, at)[group] < held]] = True
     return np.split(smaller, np.cumsum([len(t) for t, _ in shards])[:-1])
 
 
@@ -208,48 +218,73 @@ def _split(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]
         yield int(bucket[part[0]]), part
 
 
-def _texts(data: bytes, ends: bytes) -> list[bytes]:
-    stops = np.frombuffer(ends, np.int64).tolist()
-    return [data[a:b] for a, b in zip([0, *stops], stops)]
+def _shared_keys(held: pd.DataFrame) -> pd.DataFrame:
+    """The hashes of each block in a bucket that two documents have, in one or in two blocks."""
+    key = np.frombuffer(b"".join(held["keys"]), np.uint64)
+    many = np.array([len(k) // 8 for k in held["keys"]])
+    flag = [np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(held["many"], many)]
+    _, at, n = np.unique(key, return_inverse=True, return_counts=True)
+    n[at[np.concatenate(flag).astype(bool)]] = 2
+    wanted = n[at] > 1
+    ends = np.cumsum(many)
+    out = [key[a:b][wanted[a:b]].tobytes() for a, b in zip((ends - many).tolist(), ends.tolist())]
+    return pd.DataFrame({"block": held["block"].to_numpy(), "wanted": out})
+
+
+def _shards(texts: list[bytes], least: int) -> Iterator[list[bytes]]:
+    """``texts`` in their order, ``least`` bytes or a little more at a time."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= least:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def _merge_bucket(rows: pd.DataFrame, span: int) -> pd.DataFrame:
     """Bits of all strings that the blocks filed in one bucket.
 
-    A text that several blocks filed goes into the transform of the first only, with the least owner of all;
-    the others' strings are repeated throughout if their owner is larger.
+    A text that several blocks filed is judged once, with the least owner of all; the others' strings are repeated
+    throughout if their owner is larger. Equal strings have equal hashes, so only texts under a hash
+    with two distinct texts and two owners are transformed and merged.
     """
     known: dict[bytes, int] = {}
-    filed, shards = [], []
-    for data, ends, least in zip(rows["data"], rows["ends"], rows["least"]):
-        texts = _texts(data, ends)
-        before = len(known)
-        at = np.fromiter((known.setdefault(t, len(known)) for t in texts), np.int64, len(texts))
-        filed.append((at, np.frombuffer(least, np.int64)))
-        if len(known) > before:
-            shards.append([t for t, k in zip(texts, at.tolist()) if k >= before])
-    size = np.array([len(t) + 1 for t in known])
-    first = np.full(len(known), LAST)
-    for at, own in filed:
-        np.minimum.at(first, at, own)
-    # Owners are ranked, so that any id, even a negative one, can be told from "too short".
-    rank = np.searchsorted(np.unique(first), first)
-    left = np.repeat(np.cumsum(size), size) - np.arange(size.sum()) - 1
-    owner = np.where(left >= span, np.repeat(rank, size), -1)
-    begin, made, orders = 0, [], []
-    for texts in shards:
-        signs, order = transform(texts)
-        made.append((signs, owner[begin:begin + len(order)][order]))
-        orders.append(order + begin)
-        begin += len(order)
-    marks = np.zeros(begin, bool)
-    marks[np.concatenate(orders)] = np.concatenate(repeated(made, span))
+    many, at = [], []
+    for data, ends in zip(rows["data"], rows["ends"]):
+        stops = np.frombuffer(ends, np.int64).tolist()
+        many.append(len(stops))
+        at += [known.setdefault(data[a:b], len(known)) for a, b in zip([0, *stops], stops)]
+    texts, at = list(known), np.array(at)
+    own = np.frombuffer(b"".join(rows["least"]), np.int64)
+    key = np.zeros(len(texts), np.uint64)
+    key[at] = np.frombuffer(b"".join(rows["keys"]), np.uint64)
+    first = np.full(len(texts), LAST)
+    np.minimum.at(first, at, own)
+    by_key = np.argsort(key, kind="stable")
+    begin = np.flatnonzero(np.append(True, np.diff(key[by_key]) != 0))
+    meet = np.minimum.reduceat(first[by_key], begin) < np.maximum.reduceat(first[by_key], begin)
+    open_ = np.sort(by_key[np.repeat(meet, np.diff(np.append(begin, len(key))))])
+    size = np.array([len(t) + 1 for t in texts])
     starts = np.cumsum(size) - size
-    bits = []
-    for at, own in filed:
-        n = size[at]
-        spot = np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        bits.append(np.packbits(marks[spot] | np.repeat(own > first[at], n)).tobytes())
+    marks = np.zeros(int(size.sum()), bool)
+    if len(open_):
+        held = np.repeat(first[open_], size[open_])
+        spot = np.repeat(starts[open_] - (np.cumsum(size[open_]) - size[open_]), size[open_]) + np.arange(len(held))
+        done, made, orders = 0, [], []
+        for shard in _shards([texts[i] for i in open_.tolist()], SHARD_BYTES):
+            signs, order = transform(shard)
+            orders.append(order + done)
+            made.append((signs, held[orders[-1]]))
+            done += len(order)
+        marks[spot[np.concatenate(orders)]] = np.concatenate(repeated(made, span))
+    n = size[at]
+    ends = np.cumsum(n)
+    bit = marks[np.repeat(starts[at] - (ends - n), n) + np.arange(n.sum())] | np.repeat(own > first[at], n)
+    stop = ends[np.cumsum(many) - 1].tolist()
+    bits = [np.packbits(bit[a:b]).tobytes() for a, b in zip([0, *stop], stop)]
     return pd.DataFrame({"block": rows["block"].to_numpy(), "bucket": rows["bucket"].to_numpy(), "bits": bits})
 
 
@@ -283,40 +318,33 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 b, at, keys, flags = zip(*out)
                 yield pa.RecordBatch.from_pydict({"bucket": b, "block": at, "keys": pa.array(keys, pa.binary()), "many": pa.array(flags, pa.binary())})
 
-    def shared_keys(held: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.frombuffer(k, np.uint64) for k in held["keys"]]
-        many = [np.unpackbits(np.frombuffer(m, np.uint8), count=len(k)).astype(bool) for m, k in zip(held["many"], keys)]
-        value, n = np.unique(np.concatenate([*keys, *(k[m] for k, m in zip(keys, many))]), return_counts=True)
-        shared = value[n > 1]
-        return pd.DataFrame({"block": held["block"].to_numpy(), "wanted": [np.intersect1d(k, shared).tobytes() for k in keys]})
-
     filed = blocks.select("ids", "ends", "data", "block").mapInArrow(file_keys, "bucket long, block long, keys binary, many binary")
-    shared = stored(filed.groupBy("bucket").applyInPandas(shared_keys, "block long, wanted binary").filter("octet_length(wanted) > 0"), "repeats-keys")
+    shared = stored(filed.groupBy("bucket").applyInPandas(_shared_keys, "block long, wanted binary").filter("octet_length(wanted) > 0"), "repeats-keys")
     wanted = shared.groupBy("block").agg(F.collect_list("wanted").alias("wanted"))
     blocks = stored(blocks.join(wanted, "block", "left"), "repeats-wanted")
 
     def pieces_of(row: dict, block: Block):
         keys = np.sort(np.frombuffer(b"".join(row["wanted"] or []), np.uint64))
         runs, text, texts, least, key = block.pieces(keys)
-        return runs, text, texts, least, list(_split((key % np.uint64(buckets)).astype(np.int64), buckets))
+        return runs, text, texts, least, key, list(_split((key % np.uint64(buckets)).astype(np.int64), buckets))
 
     def file_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, block in opened(batches):
-            _, _, texts, least, parts = pieces_of(row, block)
+            _, _, texts, least, key, parts = pieces_of(row, block)
             out = [(b, row["block"], b"".join(texts[j] for j in i), np.cumsum([len(texts[j]) for j in i], dtype=np.int64).tobytes(),
-                    least[i].tobytes()) for b, i in parts]
+                    least[i].tobytes(), key[i].tobytes()) for b, i in parts]
             if out:
-                b, at, data, ends, owner = zip(*out)
+                b, at, data, ends, owner, keys = zip(*out)
                 yield pa.RecordBatch.from_pydict({"bucket": b, "block": at, **{
-                    n: pa.array(c, pa.binary()) for n, c in (("data", data), ("ends", ends), ("least", owner))}})
+                    n: pa.array(c, pa.binary()) for n, c in (("data", data), ("ends", ends), ("least", owner), ("keys", keys))}})
 
-    filed = blocks.mapInArrow(file_pieces, "bucket long, block long, data binary, ends binary, least binary")
+    filed = blocks.mapInArrow(file_pieces, "bucket long, block long, data binary, ends binary, least binary, keys binary")
     judged = stored(filed.groupBy("bucket").applyInPandas(lambda held: _merge_bucket(held, span), "block long, bucket long, bits binary"), "repeats-bits")
     bits = judged.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("bits"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, block in opened(batches):
-            runs, text, texts, least, parts = pieces_of(row, block)
+            runs, text, texts, least, _, parts = pieces_of(row, block)
             given = {x["bucket"]: x["bits"] for x in row["bits"] or []}
             size = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
             begin = np.cumsum(size) - size

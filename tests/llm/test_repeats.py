@@ -62,18 +62,32 @@ def test_edges(spark):
     assert {(r.n_bytes, r.n_removed, bytes(r.kept)) for r in repeats.remove_repeats(df).collect()} == {(0, 0, b"")}
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(12))
 def test_merge(seed):
     rng = random.Random(seed)
     shards = [[bytes(rng.choice(b"ab\x00") for _ in range(rng.randint(1, 30))) for _ in range(rng.randint(1, 5))] for _ in range(3)]
     made = [repeats.transform(s) for s in shards]
-    suffixes = [b for s in shards for t in s for b in [[c + 1 for c in t[i:]] + [0] for i in range(len(t) + 1)]]
+    texts = [t for s in shards for t in s]
+    owners = [rng.randrange(4) for _ in texts]
+    suffixes = [t[i:] for t in texts for i in range(len(t) + 1)]
+    owner_of = np.array([o for t, o in zip(texts, owners) for _ in range(len(t) + 1)])
     at = np.concatenate([o + sum(len(m[1]) for m in made[:k]) for k, (_, o) in enumerate(made)])
+    held = [(suffixes[x], owner_of[x]) for x in at]
+    same = lambda a, b, depth: next((k for k in range(min(len(a), len(b), depth)) if a[k] != b[k]), min(len(a), len(b), depth))
     for depth in (1, 4, 12):
-        order, common = repeats.merge([t for t, _ in made], depth)
-        whole = [suffixes[at[x]] for x in order]
-        # Beyond an end sign the order is of no use; up to it suffixes are sorted and prefixes are right.
-        assert all(a[:depth] <= b[:depth] for a, b in zip(whole, whole[1:]) if len(a) > depth and len(b) > depth)
-        for a, b, c in zip(whole, whole[1:], common[1:]):
-            if len(a) > depth and len(b) > depth:
-                assert c == next((k for k in range(depth) if a[k] != b[k]), depth)
+        order, group, common = repeats.merge([t for t, _ in made], owner_of[at], depth)
+        assert common.tolist() == [max([same(a, b, depth) for b, p in held if p != o], default=0) for a, o in held]
+        assert sorted(order.tolist()) == [x for x in range(len(held)) if common[x] == depth]
+        first = [held[x][0][:depth] for x in order]
+        assert first == sorted(first)
+        assert all((a == b) == (g == h) for a, b, g, h in zip(first, first[1:], group, group[1:]))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_transform(seed):
+    rng = random.Random(seed)
+    texts = [bytes(rng.choice(b"ab\x00\xff") for _ in range(rng.randint(0, 40))) for _ in range(rng.randint(1, 9))] + [b"aa" * 30, b"aa" * 30]
+    signs, order = repeats.transform(texts)
+    whole = [([c + 1 for c in t[i:]] + [0], k, t[i - 1] + 1 if i else 0) for k, t in enumerate(texts) for i in range(len(t) + 1)]
+    assert order.tolist() == sorted(range(len(whole)), key=lambda x: whole[x][:2])
+    assert signs.tolist() == [whole[x][2] for x in order]
