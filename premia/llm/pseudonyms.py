@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import math
@@ -16,7 +17,6 @@ from pyspark.sql.functions import pandas_udf
 from premia.llm.common import fresh, small_batches
 
 ROUNDS = 8
-KEY = b"premia corpus key; replace for each corpus"
 
 # ISO 13616 lengths of account numbers by country, as far as the register lists them.
 IBAN_LENGTHS = {
@@ -44,6 +44,10 @@ def _iban_shape() -> str:
     return rf"(?<![\w])(?:{'|'.join(kinds)})(?![\w])"
 
 
+# ITU E.164 country codes of two digits; 1 and 7 have one digit, all others three.
+TWO_DIGIT_CODES = {20, 27, 30, 31, 32, 33, 34, 36, 39, 40, 41, 43, 44, 45, 46, 47, 48, 49, 51, 52, 53, 54, 55, 56, 57, 58,
+                   60, 61, 62, 63, 64, 65, 66, 81, 82, 84, 86, 90, 91, 92, 93, 94, 95, 98}
+
 # What each kind of datum looks like, in the order of preference at one place.
 SHAPES = {
     "email": r"(?<![\w.+%-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w])",
@@ -141,20 +145,38 @@ def _iban(s: str, f: Feistel) -> str | None:
     return "".join(c if c == " " else next(it) for c in s)
 
 
+@lru_cache(maxsize=64)
+def _days(century: int) -> tuple[list[int], list[int]]:
+    """Ordinals of the century's days: up to the 12th of their month, and later ones."""
+    first, last = datetime.date(century, 1, 1).toordinal(), datetime.date(century + 99, 12, 31).toordinal()
+    early: list[int] = []
+    late: list[int] = []
+    for n in range(first, last + 1):
+        (late if datetime.date.fromordinal(n).day > 12 else early).append(n)
+    return early, late
+
+
 def _date(s: str, f: Feistel) -> str | None:
-    style = "%Y-%m-%d" if s[4] == "-" else "%d.%m.%Y" if s[2] == "." else "%m/%d/%Y"
-    day = None
-    for style in (style, "%d/%m/%Y") if style == "%m/%d/%Y" else (style,):
+    """Another day of the century, in all styles the same for the same day.
+
+    A day up to the 12th of its month stays one, and so does a later one. So slashes keep their reading: month first
+    where that is a date, else day first, and different strings stay different.
+    """
+    styles = ["%Y-%m-%d"] if s[4] == "-" else ["%d.%m.%Y"] if s[2] == "." else ["%m/%d/%Y", "%d/%m/%Y"]
+    for style in styles:
         try:
             day = datetime.datetime.strptime(s, style).date()
             break
         except ValueError:
             continue
-    if day is None or day.year < 100:
+    else:
+        return None
+    if day.year < 100:
         return None
-    start = datetime.date(day.year // 100 * 100, 1, 1)
-    days = (datetime.date(start.year + 99, 12, 31) - start).days + 1
-    new = start + datetime.timedelta(f.pseudonym((day - start).days, days, f"date{start.year}"))
+    century = day.year // 100 * 100
+    late = day.day > 12
+    days = _days(century)[late]
+    new = datetime.date.fromordinal(days[f.pseudonym(bisect.bisect_left(days, day.toordinal()), len(days), f"date{century}/{late}")])
     return style.replace("%Y", f"{new.year:04}").replace("%m", f"{new.month:02}").replace("%d", f"{new.day:02}")
 
 
@@ -187,22 +209,22 @@ def _ssn(s: str, f: Feistel) -> str | None:
 
 
 def _phone(s: str, f: Feistel) -> str | None:
-    """National numbers of ten digits keep area and exchange codes from 2 up; the country code stays."""
+    """The country code stays; a number without one is of country 1, so it goes with the same number that has it.
+
+    Ten digits of country 1 whose area and exchange codes begin with 2 to 9 are permuted among such numbers, other ten
+    digits among the others, and numbers of any other country among those of equal length.
+    """
     digits = re.sub(r"\D", "", s)
-    ten = re.search(r"(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}$", s)
-    own = digits[-10:] if ten else digits[len(re.match(r"\+(\d{1,3})", s)[1]):]
-    if not ten and not 7 <= len(digits) <= 15:
+    if not 7 <= len(digits) <= 15:
         return None
-    country = digits[:len(digits) - len(own)]
-    if ten and own[0] > "1" and own[3] > "1":
-        value = int(own[0]) - 2
-        for c, n in zip(own[1:], (10, 10, 8, 10, 10, 10, 10, 10, 10)):
-            value = value * n + int(c) - (2 if n == 8 else 0)
-        value, out = f.pseudonym(value, 64 * 10**8, "phone" + country), []
-        for n in (10, 10, 10, 10, 10, 10, 8, 10, 10, 8):
-            value, d = divmod(value, n)
-            out.append(str(d + (2 if n == 8 else 0)))
-        new = "".join(reversed(out))
+    code = 0 if s[0] != "+" else 1 if digits[0] in "17" else 2 if int(digits[:2]) in TWO_DIGIT_CODES else 3
+    country, own = digits[:code], digits[code:]
+    if country in ("", "1") and len(own) == 10:
+        dialled = min(own[0], own[3]) > "1"
+        pairs = [a + b for a in "0123456789" for b in "0123456789" if (min(a, b) > "1") == dialled]
+        value = pairs.index(own[0] + own[3]) * 10**8 + int(own[1:3] + own[4:])
+        pair, rest = divmod(f.pseudonym(value, len(pairs) * 10**8, f"phone1/{dialled}"), 10**8)
+        new = f"{pairs[pair][0]}{rest // 10**6:02}{pairs[pair][1]}{rest % 10**6:06}"
     else:
         new = f"{f.pseudonym(int(own), 10 ** len(own), f'phone{country}/{len(own)}'):0{len(own)}}"
     return spread_digits(s, country + new)
@@ -242,7 +264,7 @@ def _datum(text: str, start: int, f: Feistel) -> tuple[int, str, str] | None:
     return None
 
 
-def pseudonymise(text: Column, key: bytes = KEY) -> Column:
+def pseudonymise(text: Column, key: bytes) -> Column:
     """Struct (text, spans) of each whole text; null stays null."""
 
     @pandas_udf("text string, spans array<struct<start:int,length:int,kind:string>>")
@@ -255,13 +277,15 @@ def pseudonymise(text: Column, key: bytes = KEY) -> Column:
     return run(text)
 
 
-def replace_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes = KEY) -> DataFrame:
+def replace_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, key: bytes) -> DataFrame:
     """One row per document: id, ``text`` with pseudonyms, ``n_found``, ``spans`` (start, length, kind).
 
     Card numbers (Luhn), account numbers (ISO 13616: length of the country, check digits), social security numbers, phone numbers, IPv4
     addresses, calendar dates and the names in e-mail addresses are replaced by another value of the same
     format that passes the same checks. A value always gets the same pseudonym under a key, and different values
-    different ones, so links between documents stay. Numbers that fail their checks stay as they are. Null
+    different ones, so links between documents stay; so they do between styles of a date and between phone numbers with and
+    without country code 1. Left as they are: IPv6 addresses, dates with month names, one-digit parts or a time
+    right behind them, account numbers in lower case, ten digits in a row. Numbers that fail their checks stay as they are. Null
     texts stay null with nothing found; empty texts stay empty; repeated rows give one row each; extra
     columns are ignored; an empty table gives no rows.
     """

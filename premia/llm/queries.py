@@ -94,7 +94,8 @@ def sharding_query(spark, sf_dir):
 
 @query("op9_pseudonyms")
 def pseudonyms_query(spark, sf_dir):
-    return pseudonyms.replace_personal_data(table(spark, sf_dir, "documents"))
+    # A key for these tables; a real corpus keeps its own secret.
+    return pseudonyms.replace_personal_data(table(spark, sf_dir, "documents"), key=b"key of the registered query")
 
 
 @query("op10_jaccard_join")

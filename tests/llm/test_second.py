@@ -1,5 +1,6 @@
 """Language id, packing, pseudonyms and the Jaccard join against brute force and known facts."""
 
+import datetime
 import random
 import re
 import zlib
@@ -243,6 +244,41 @@ def test_account_numbers_end_where_their_country_says(value):
     assert pseudonyms.replace(value + "0", f)[1] == []
 
 
+def test_dates_of_a_century_stay_apart_and_together():
+    f = pseudonyms.Feistel(b"k")
+    day, by_style = datetime.date(2000, 1, 1), defaultdict(dict)
+    while day.year < 2100:
+        for style in ("%Y-%m-%d", "%d.%m.%Y", "%m/%d/%Y", "%d/%m/%Y"):
+            said = day.strftime(style)
+            by_style["/" if "/" in style else style][said] = pseudonyms._date(said, f)
+        day += datetime.timedelta(1)
+    for style, new in by_style.items():
+        assert sorted(new) == sorted(new.values()), style
+        assert not any(a == b for a, b in new.items())
+    assert len(by_style["/"]) == 36525 + sum(d > "12" for _, _, d in (s.split("-") for s in by_style["%Y-%m-%d"]))
+    for said, new in by_style["%Y-%m-%d"].items():
+        y, m, d = said.split("-")
+        u, v, w = new.split("-")
+        assert by_style["%d.%m.%Y"][f"{d}.{m}.{y}"] == f"{w}.{v}.{u}"
+        assert by_style["/"][f"{m}/{d}/{y}"] == f"{v}/{w}/{u}"
+        assert d <= "12" or by_style["/"][f"{d}/{m}/{y}"] == f"{w}/{v}/{u}"
+
+
+def test_phones_stay_apart_and_together():
+    f = pseudonyms.Feistel(b"k")
+    digits = lambda s: re.sub(r"\D", "", pseudonyms._phone(s, f))
+    for own in ("5552345678", "1552345678", "5551345678", "0000000001"):
+        a, b, c = own[:3], own[3:6], own[6:]
+        new = digits(f"{a}-{b}-{c}")
+        assert new != own and len(new) == 10 and (min(new[0], new[3]) > "1") == (min(own[0], own[3]) > "1")
+        assert {digits(s) for s in (f"+1 {a}-{b}-{c}", f"+1 ({a}) {b}-{c}", f"+1{own}", f"+1.{a}.{b}.{c}")} == {"1" + new}
+        assert digits(f"({a}) {b}-{c}") == digits(f"{a}.{b}.{c}") == new
+    assert digits("+44 20 7946 0958") == digits("+442079460958") == digits("+44 2079 460 958")
+    assert digits("+442079460958").startswith("44") and digits("+358401234567").startswith("358") and digits("+74951234567")[0] == "7"
+    some = [f"{a}{b:02}-{c}{b:02}-{d:04}" for a in range(10) for b in (0, 57) for c in range(10) for d in (0, 1, 9999)]
+    assert len({digits(s) for s in some}) == len(set(some))
+
+
 def test_account_numbers_of_all_countries():
     f = pseudonyms.Feistel(b"k")
     assert len(pseudonyms.IBAN_LENGTHS) > 80
@@ -255,12 +291,12 @@ def test_account_numbers_of_all_countries():
 def test_personal_data_table(spark):
     rows = [(1, f"card {CARD} or {CARD} and a@b.org"), (2, f"again {CARD}"), (3, None), (4, ""), (4, ""), (None, "ip 27.109.211.155 4387393285946913 +1 (438) 555-5817")]
     got = defaultdict(list)
-    for r in pseudonyms.replace_personal_data(docs_of(spark, [(*r, 1) for r in rows], ", said int")).collect():
+    for r in pseudonyms.replace_personal_data(docs_of(spark, [(*r, 1) for r in rows], ", said int"), key=b"k").collect():
         got[r.doc_id].append(r)
     assert [r.n_found for r in got[1]] == [3] and CARD not in got[1][0].text
     assert got[2][0].text.split()[1] == got[1][0].text.split()[1] == got[1][0].text.split()[3]
     assert got[3][0].text is None and [r.text for r in got[4]] == ["", ""] and got[None][0].n_found == 3
-    assert pseudonyms.replace_personal_data(docs_of(spark, [])).count() == 0
+    assert pseudonyms.replace_personal_data(docs_of(spark, []), key=b"k").count() == 0
 
 
 # Jaccard join
