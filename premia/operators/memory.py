@@ -7,9 +7,10 @@ known by tenant and id, and the results carry both. A table without that column
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from premia.functions.text import speaker_line
 from premia.operators.ordering import last_before, number_along
@@ -92,32 +93,65 @@ def rollup_blocks(messages: DataFrame, window: int = WINDOW_TURNS,
 
 # --- fixed values: the labels in summary_prompt and context_strings, which results must match ---
 
-def summary_prompt(previous: Column, old_text: Column) -> Column:
-    return F.concat(F.lit("Previous summary:\n"), F.coalesce(previous, F.lit("None")),
-                    F.lit("\n\nNew conversation to summarize:\n"), old_text)
-
-
-def session_summaries(blocks: DataFrame, summarize: Callable[[Column], Column]) -> DataFrame:
+def summary_prompt(previous: str | None, old_text: str) -> str:
+    return (f"Previous summary:\n{'None' if previous is None else previous}"
+            f"\n\nNew conversation to summarize:\n{old_text}")
+
+
+def _fold(load: Callable[[], Callable[[list[str]], list[str]]]):
+    """Arrow batches of (session key …, old_text), in order, to (session key …, context_summary)."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        summarize = load()
+        open_: list[tuple] = []
+        carried: list[str | None] = []
+        types, names = [], []
+
+        def rows(keys: list[tuple], summaries: list[str | None]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [*(pa.array(c, t) for c, t in zip(zip(*keys), types)), pa.array(summaries, pa.string())], names)
+
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            types, names = batch.schema.types[:-1], [*batch.schema.names[:-1], "context_summary"]
+            waiting: list[list[str]] = [[] for _ in open_]
+            for *key, text in zip(*columns):
+                if not open_ or open_[-1] != tuple(key):
+                    open_.append(tuple(key))
+                    carried.append(None)
+                    waiting.append([])
+                waiting[-1].append(text)
+            for turn in range(max(map(len, waiting), default=0)):
+                # the next block of every session of the batch in one call of the model
+                due = [i for i, texts in enumerate(waiting) if len(texts) > turn]
+                replies = summarize([summary_prompt(carried[i], waiting[i][turn]) for i in due])
+                if len(replies) != len(due):
+                    raise ValueError(f"{len(replies)} summaries of {len(due)} prompts")
+                for i, reply in zip(due, replies):
+                    carried[i] = reply
+            # the last session may go on in the next batch
+            if len(open_) > 1:
+                yield rows(open_[:-1], carried[:-1])
+                del open_[:-1], carried[:-1]
+        if open_:
+            yield rows(open_, carried)
+
+    return fold
+
+
+def session_summaries(blocks: DataFrame, load: Callable[[], Callable[[list[str]], list[str]]]) -> DataFrame:
     """(session_id, context_summary): each session's blocks folded in order.
 
-    ``summarize`` is a column function from prompt to summary. A summary needs the one before it,
-    so round b handles block b of all sessions at once; the state is written to the shared folder
-    each round, which keeps plans short and lets lost executors be replaced.
+    ``load`` runs once a task and returns the model, a function from prompts to as many summaries. One job for
+    any number of blocks: rows are dealt by session, sorted, and read as a stream that carries only the summary of the
+    session at hand, so the longest session costs time but no memory. The result is written to the shared
+    folder, so later steps ask no model again.
     """
     key = session_key(blocks)
-    blocks = materialize(blocks, "blocks")
-    last = blocks.agg(F.max("block")).first()[0]
-    state = materialize(
-        blocks.select(*key).distinct()
-        .withColumn("context_summary", F.lit(None).cast("string")), "summaries")
-    for b in range(0, -1 if last is None else last + 1):
-        due = blocks.filter(F.col("block") == b).select(*key, "old_text")
-        stepped = state.join(due, key, "left")
-        state = materialize(stepped.select(*key, F.when(
-            F.col("old_text").isNotNull(),
-            summarize(summary_prompt(F.col("context_summary"), F.col("old_text"))),
-        ).otherwise(F.col("context_summary")).alias("context_summary")), "summaries")
-    return state
+    schema = T.StructType([*(blocks.schema[c] for c in key), T.StructField("context_summary", T.StringType())])
+    ordered = blocks.select(*key, "block", "old_text").repartition(*key).sortWithinPartitions(*key, "block")
+    return materialize(
+        ordered.select(*key, "old_text").mapInArrow(_fold(load), schema), "summaries")
 
 
 def context_strings(window: DataFrame, summaries: DataFrame | None = None) -> DataFrame:

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from premia.session import materialize
 
-# A column with fewer values than this is searched whole for its quartiles.
-SMALL_COLUMN = 100_000
 _SKETCH_ACCURACY = 1_000
-# Half width of the bracket around a quartile, as a share of the rows; several times the
-# sketch's rank error of 1 / _SKETCH_ACCURACY.
-_BRACKET = 0.005
 _QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
-_CELLS = 1024
+# Cells a bracket is cut into in each round of the search for quartiles, ...
+CELLS = 64
+# ... and the number of distinct values that are put in order at the end.
+LAST_CELL = 4_096
 
 
 def _clean(field: T.StructField) -> Column:
@@ -40,7 +41,6 @@ def _long(df: DataFrame, fields: list[T.StructField], as_type: str) -> DataFrame
 def _summaries(df: DataFrame, approx: bool) -> list[dict]:
     """Per-column figures from a single pass over the wide table; one row reaches the driver."""
     numeric = {f.name for f in numeric_fields(df)}
-    marks = [q + side for q in _QUARTILES.values() for side in (-_BRACKET, _BRACKET)]
     aggregates = [F.count(F.lit(1)).alias("rows")]
     for i, field in enumerate(df.schema.fields):
         value = _clean(field)
@@ -52,10 +52,10 @@ def _summaries(df: DataFrame, approx: bool) -> list[dict]:
             aggregates += [
                 F.avg(number).alias(f"a{i}"), F.stddev_samp(number).alias(f"s{i}"),
                 F.min(number).alias(f"l{i}"), F.max(number).alias(f"h{i}"),
-                F.percentile_approx(
-                    number, list(_QUARTILES.values()) if approx else marks, _SKETCH_ACCURACY
-                ).alias(f"q{i}"),
             ]
+            if approx:
+                aggregates.append(F.percentile_approx(
+                    number, list(_QUARTILES.values()), _SKETCH_ACCURACY).alias(f"q{i}"))
     row = df.agg(*aggregates).first().asDict()
     return [
         {
@@ -96,48 +96,86 @@ def _value_counts(df: DataFrame, numbers: list[T.StructField], wide: set[str]) -
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
+@dataclass
+class _Wanted:
+    """A quartile being searched: its values lie in (low, high], under which lie ``before`` rows; None is no bound."""
+
+    column: str
+    quartile: str
+    rank: float
+    low: float | None = None
+    high: float | None = None
+    before: int = 0
+
+    @property
+    def bracket(self) -> tuple[str, float | None, float | None]:
+        return self.column, self.low, self.high
+
+
+_BRACKET = ["column_name", "low", "high"]
+_BRACKET_SCHEMA = "column_name string, low double, high double"
+
+
+def _inside(counts: DataFrame, brackets: DataFrame) -> DataFrame:
+    return counts.filter(F.col("value").isNotNull()).join(brackets, "column_name").filter(
+        (F.col("low").isNull() | (F.col("value") > F.col("low")))
+        & (F.col("high").isNull() | (F.col("value") <= F.col("high"))))
+
+
+def _narrow(wanted: list[_Wanted], splits: dict[tuple, list[float]], cells: dict[tuple, dict[int, int]]) -> None:
+    """Each quartile's bracket becomes the cell or cells that hold the two ranks around it."""
+    for w in wanted:
+        edges = splits.get(w.bracket)
+        if edges is None:
+            continue
+        counted, end, held = cells[w.bracket], w.before, []
+        for cell in sorted(counted):
+            start, end = end, end + counted[cell]
+            if start <= math.ceil(w.rank) and end > math.floor(w.rank):
+                held.append((cell, start))
+        (first, start), (last, _) = held[0], held[-1]
+        w.low, w.before = (edges[first - 1] if first else w.low), start
+        w.high = edges[last] if last < len(edges) else w.high
+
+
 def _exact_quartiles(counts: DataFrame, summaries: list[dict]) -> DataFrame:
     """Quartiles by linear interpolation, found by counting instead of by holding all values.
 
-    A sketch has given a narrow bracket around each quartile. Values under the bracket are only
-    counted; values inside it are counted per cell of an even split of the bracket, and only the
-    cell that holds the wanted rank is put in order.
+    All columns are searched at once, whatever their size. Each round cuts the brackets that still hold many
+    distinct values at quantiles of these values and counts rows by cell; only the cells that hold the ranks
+    around a quartile go on, so a round leaves a small share of the distinct values. At most ``LAST_CELL`` of
+    them are put in order at the end. The driver sees ``CELLS`` numbers a bracket.
     """
-    rows = []
-    for s in summaries:
-        if not s["value_count"] or s["marks"] is None:
-            continue
-        small = s["value_count"] <= SMALL_COLUMN
-        for i, (name, p) in enumerate(_QUARTILES.items()):
-            low, high = (s["min"], s["max"]) if small else s["marks"][2 * i:2 * i + 2]
-            rows.append((s["column_name"], name, p * (s["value_count"] - 1), low, high))
-    brackets = _local(counts.sparkSession, rows, "column_name string, quartile string, "
-                      "rank double, low double, high double")
+    spark = counts.sparkSession
+    wanted = [_Wanted(s["column_name"], name, p * (s["value_count"] - 1))
+              for s in summaries if s["value_count"] and s["mean"] is not None
+              for name, p in _QUARTILES.items()]
+    open_ = {w.bracket for w in wanted}
+    while open_:
+        seen = _inside(counts, _local(spark, list(open_), _BRACKET_SCHEMA)).groupBy(*_BRACKET).agg(
+            F.count(F.lit(1)).alias("distinct"),
+            F.percentile_approx("value", [i / CELLS for i in range(1, CELLS)]).alias("edges")).collect()
+        splits = {(r["column_name"], r["low"], r["high"]): sorted(set(r["edges"]))
+                  for r in seen if r["distinct"] > LAST_CELL}
+        if not splits:
+            break
+        cut = _local(spark, [(*bracket, edges) for bracket, edges in splits.items()],
+                     f"{_BRACKET_SCHEMA}, edges array<double>")
+        cell = F.size(F.filter("edges", lambda edge: edge < F.col("value"))).alias("cell")
+        cells: dict[tuple, dict[int, int]] = {}
+        for r in _inside(counts, cut).groupBy(*_BRACKET, cell).agg(F.sum("n").alias("n")).collect():
+            cells.setdefault((r["column_name"], r["low"], r["high"]), {})[r["cell"]] = r["n"]
+        _narrow(wanted, splits, cells)
+        open_ = {w.bracket for w in wanted if w.bracket not in {
+            (r["column_name"], r["low"], r["high"]) for r in seen if r["distinct"] <= LAST_CELL}}
     key = ["column_name", "quartile"]
-    share = (F.col("value") - F.col("low")) / (F.col("high") - F.col("low")) * _CELLS
-    cell = (
-        F.when(F.col("value") < F.col("low"), -1)
-        .when((F.col("high") <= F.col("low")) | F.isnan(share), 0)
-        .otherwise(F.least(F.floor(share), F.lit(_CELLS - 1)))
-    )
-    near = counts.join(brackets, "column_name").filter(F.col("value") <= F.col("high")) \
-        .withColumn("cell", cell.cast("int"))
-    before = Window.partitionBy(*key).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    first, last = F.floor("rank"), F.ceil("rank")
-    cells = (
-        near.groupBy(*key, "rank", "cell").agg(F.sum("n").alias("n"))
-        .withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .filter((F.col("before") <= last) & (F.col("before") + F.col("n") > first))
-        .select(*key, "cell", "before")
-    )
-    inside = Window.partitionBy(*key, "cell").orderBy("value") \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # one or two cells per quartile and column
-    ranked = (
-        near.join(F.broadcast(cells), [*key, "cell"])
-        .withColumn("end", F.col("before") + F.sum("n").over(inside))
+    brackets = _local(
+        spark, [(w.column, w.low, w.high, w.quartile, w.rank, w.before) for w in wanted],
+        f"{_BRACKET_SCHEMA}, quartile string, rank double, before bigint")
+    upto = Window.partitionBy(*key).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = _inside(counts, brackets).withColumn("end", F.col("before") + F.sum("n").over(upto)) \
         .withColumn("start", F.col("end") - F.col("n"))
-    )
+    first, last = F.floor("rank"), F.ceil("rank")
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("start") <= rank) & (F.col("end") > rank), F.col("value")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from premia.operators.audit import (
@@ -371,19 +373,20 @@ def _context_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _session_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The folded summary counts characters and blocks, in place of a language model."""
 
-    def summarize(prompt):
-        previous = F.regexp_extract(prompt, r"\A[^\n]*\n(\d+) characters in (\d+)", 1)
-        blocks = F.regexp_extract(prompt, r"\A[^\n]*\n(\d+) characters in (\d+)", 2)
-        marker = "New conversation to summarize:\n"
-        text = F.substr(prompt, F.locate(marker, prompt) + len(marker))
-        return F.concat(
-            (F.coalesce(previous.try_cast("bigint"), F.lit(0)) + F.length(text)).cast("string"),
-            F.lit(" characters in "),
-            (F.coalesce(blocks.try_cast("bigint"), F.lit(0)) + 1).cast("string"),
-            F.lit(" blocks"))
+    def load():
+        def summarize(prompts):
+            replies = []
+            for prompt in prompts:
+                earlier = re.match(r"[^\n]*\n(\d+) characters in (\d+)", prompt)
+                size, blocks = map(int, earlier.groups()) if earlier else (0, 0)
+                text = prompt.split("New conversation to summarize:\n", 1)[1]
+                replies.append(f"{size + len(text)} characters in {blocks + 1} blocks")
+            return replies
+
+        return summarize
 
     return session_summaries(
-        rollup_blocks(messages(spark, sf_dir), window=1, summarize_after=2), summarize)
+        rollup_blocks(messages(spark, sf_dir), window=1, summarize_after=2), load)
 
 
 @query("carry_forward", f"""

@@ -66,9 +66,9 @@ def test_profile_tells_wide_integers_apart(spark):
     assert by_column(profile_columns(df))["k"]["unique_count"] == 3
 
 
-@pytest.mark.parametrize("small_column", [10**9, 0])
-def test_quartiles_equal_numpy(spark, monkeypatch, small_column):
-    monkeypatch.setattr(profiling, "SMALL_COLUMN", small_column)
+@pytest.mark.parametrize("last_cell", [4_096, 5])
+def test_quartiles_equal_numpy(spark, monkeypatch, last_cell):
+    monkeypatch.setattr(profiling, "LAST_CELL", last_cell)
     rng = np.random.default_rng(3)
     n = 30_000
     heavy = np.where(rng.random(n) < 0.34, 7.25, rng.lognormal(3, 2, n))
@@ -115,3 +115,19 @@ def test_profile_tells_long_decimals_apart(spark):
     df = spark.sql("SELECT CAST('1.0000000000000000001' AS decimal(38, 19)) AS d UNION ALL "
                    "SELECT CAST('1.0000000000000000002' AS decimal(38, 19)) UNION ALL SELECT CAST(1 AS decimal(38, 19))")
     assert profile_columns(df).first()["unique_count"] == 3
+
+
+def test_quartiles_of_odd_columns(spark, monkeypatch):
+    """Nine tenths of equal values, huge spans, and a quartile between two far values."""
+    monkeypatch.setattr(profiling, "LAST_CELL", 3)
+    n = 2_001
+    columns = {
+        "same": [5.0 if i % 10 else float(i) for i in range(n)],
+        "span": [(-1.0) ** i * 10.0 ** (i % 300) for i in range(n)],
+        "gap": [float(i) if i < n // 4 + 1 else 1e9 + i for i in range(n)],
+    }
+    df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{c} double" for c in columns))
+    p = by_column(profile_columns(df.repartition(3), digits=6))
+    for name, values in columns.items():
+        wanted = np.quantile(values, [0.25, 0.5, 0.75])
+        assert np.allclose([p[name][q] for q in ("p25", "p50", "p75")], wanted, rtol=1e-12, atol=1e-6), name

@@ -64,7 +64,7 @@ def test_context_and_summaries(spark):
     messages = conversation_turns(log)
     _, blocks = simulate(rows)
     summaries = session_summaries(
-        rollup_blocks(messages), lambda prompt: F.concat(F.lit("S"), F.length(prompt)))
+        rollup_blocks(messages), lambda: lambda prompts: [f"S{len(p)}" for p in prompts])
     size = len("Previous summary:\n\n\nNew conversation to summarize:\n")
     summary = None
     for b in blocks:
@@ -74,7 +74,30 @@ def test_context_and_summaries(spark):
     assert context.startswith(f"Summary of earlier discussion:\n{summary}\n\nRecent conversation:\n")
     plain = context_strings(recent_window(messages)).first()["context"]
     assert plain.startswith("Recent conversation:\nUSER: q")
-    assert session_summaries(rollup_blocks(messages).limit(0), lambda p: p).count() == 0
+    assert session_summaries(rollup_blocks(messages).limit(0), lambda: list).count() == 0
+
+
+def test_summaries_over_batches(spark):
+    """Sessions of 1 to 40 blocks, cut into Arrow batches of 7 rows, one session known by null."""
+    rows = [(s if s else None, b, f"{s}.{b}") for s in range(12) for b in range(1 + 3 * s + (s == 11) * 6)]
+    blocks = spark.createDataFrame(rows, "session_id int, block bigint, old_text string").orderBy(F.rand(1)).coalesce(3)
+
+    def load():
+        def model(prompts):
+            said = [p.split("\n\nNew conversation to summarize:\n") for p in prompts]
+            return [earlier.removeprefix("Previous summary:\n").replace("None", "") + "," + new for earlier, new in said]
+        return model
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r["session_id"]: r["context_summary"] for r in session_summaries(blocks, load).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    wanted = {}
+    for s, b, text in sorted(rows, key=lambda r: r[1]):
+        wanted[s] = wanted.get(s, "") + "," + text
+    assert got == wanted
 
 
 def test_tenants_may_share_a_session_id(spark):
