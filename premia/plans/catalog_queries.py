@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from premia.functions.tenancy import tenant_id_of
@@ -15,8 +16,8 @@ from premia.plans.tables import (
 )
 from premia.session import spread
 from premia.sources.catalog import (
-    apply_registration, list_assets, newest_per_key, record_outcomes, register_assets,
-    resolve_datasets, workspace_kpis,
+    apply_registration, list_assets, newest_per_key, publish_dataset, published_versions, record_outcomes,
+    register_assets, resolve_datasets, withdraw_dataset, workspace_kpis,
 )
 from premia.sources.tabular import fingerprint_files, screen_uploads
 
@@ -103,6 +104,29 @@ def _sample_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_values(table(spark, sf_dir, "part"), "p_partkey")
 
 
+@query("publish_dataset", """
+    SELECT c_custkey, c_name, c_nationkey, round(c_acctbal * 2, 2) AS balance, 2 AS versions
+    FROM customer
+""")
+def _publish_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers are published three times, the second time from their own rows; the third job fails midway."""
+    ids = ("customers", "balances")
+    first = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
+    withdraw_dataset(spark, *ids)
+    name = publish_dataset(first, *ids)
+    publish_dataset(spark.table(name).select(
+        "c_custkey", "c_name", "c_nationkey", F.round(F.col("c_acctbal") * 2, 2).alias("balance")), *ids)
+    broken = F.when(F.col("c_custkey") % 2 == 0, F.raise_error(F.lit("cannot be read"))).otherwise("lost")
+    try:
+        publish_dataset(spark.table(name).withColumn("c_name", broken), *ids)
+    except PySparkException:
+        pass  # the version before stays
+    # counted before the result is read, and so a fixed value of the plan
+    stored = len(published_versions(spark, name))
+    return spark.table(name).select(
+        "c_custkey", "c_name", "c_nationkey", "balance", F.lit(stored).alias("versions"))
+
+
 @query("row_ids", """
     SELECT l_suppkey, l_returnflag, l_linestatus,
            row_number() OVER (PARTITION BY l_suppkey, l_returnflag, l_linestatus) - 1 AS ordinal

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import time
+import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from premia.operators.rowids import with_row_id
 
@@ -111,13 +114,41 @@ def published_table_name(tenant_id: str, dataset_id: str) -> str:
     return f"t_{tenant_id.replace('-', '')[:8]}_{dataset_id.replace('-', '')[:8]}"
 
 
-def publish_dataset(df: DataFrame, tenant_id: str, dataset_id: str) -> str:
-    """Write a dataset with row ids as the tenant's table, replacing an older one."""
+def publish_dataset(df: DataFrame, tenant_id: str, dataset_id: str, keep: int = 1) -> str:
+    """Publish a dataset with row ids under the tenant's table name, replacing an older one; returns the name.
+
+    The rows become a table of their own first; then the name, a view, is switched to it in one step. A
+    reader sees the whole old or the whole new version, a job that fails leaves the old one as it was, and a dataset
+    may be made from its own published rows. The ``keep`` versions before stay for jobs that still read them. Two
+    jobs that publish one dataset at once both succeed; the later switch wins.
+    """
+    spark = df.sparkSession
     name = published_table_name(tenant_id, dataset_id)
-    with_row_id(df).write.mode("overwrite").saveAsTable(name)
+    version = f"{name.lower()}_v{time.time_ns():020d}_{uuid.uuid4().hex[:8]}"
+    with_row_id(df).write.saveAsTable(version)
+    if spark.catalog.tableExists(name) and spark.catalog.getTable(name).tableType != "VIEW":
+        spark.sql(f"DROP TABLE `{name}`")  # published before there were versions
+    spark.sql(f"CREATE OR REPLACE VIEW `{name}` AS SELECT * FROM `{version}`")
+    older = [v for v in published_versions(spark, name) if v < version]
+    for old in older[:max(0, len(older) - keep)]:
+        spark.sql(f"DROP TABLE IF EXISTS `{old}`")
     return name
 
 
+def published_versions(spark: SparkSession, name: str) -> list[str]:
+    """The stored versions of a published table, oldest first."""
+    found = [t.name for t in spark.catalog.listTables(pattern=f"{name}_v*")]
+    return sorted(t for t in found if re.fullmatch(r"\d{20}_[0-9a-f]{8}", t[len(name) + 2:]))
+
+
+def withdraw_dataset(spark: SparkSession, tenant_id: str, dataset_id: str) -> None:
+    """Take a published dataset away, with all its versions. One that was never published is no error."""
+    name = published_table_name(tenant_id, dataset_id)
+    spark.sql(f"DROP VIEW IF EXISTS `{name}`")
+    for version in published_versions(spark, name):
+        spark.sql(f"DROP TABLE IF EXISTS `{version}`")
+
+
 def list_assets(catalog: DataFrame, tenant_id: str | None = None) -> DataFrame:
     """Active assets, of one tenant or of all."""
     active = catalog.filter(F.col("is_active"))

@@ -2,12 +2,13 @@ import hashlib
 
 import pytest
 
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from premia.functions.tenancy import scope_chunks, scope_to_tenant, tenant_id_of
 from premia.sources.catalog import (
     apply_registration, canonical_id, newest_per_key, publish_dataset, published_table_name,
-    record_outcomes, register_assets, resolve_datasets, set_column_tags,
+    published_versions, record_outcomes, register_assets, resolve_datasets, set_column_tags, withdraw_dataset,
 )
 from premia.sources.chunk_store import replace_document_chunks, stale_embeddings
 from premia.sources.tabular import fingerprint_files, read_dataset, screen_uploads
@@ -112,7 +113,34 @@ def test_publish_replaces(spark):
         assert publish_dataset(df, "aaaa-bbbbcccc", "dd-ddeeeeff-ff") == name
         assert spark.table(name).count() == len(rows)
     assert spark.table(name).columns == ["v", "_row_id"]
-    spark.sql(f"DROP TABLE {name}")
+    withdraw_dataset(spark, "aaaa-bbbbcccc", "dd-ddeeeeff-ff")
+    assert not spark.catalog.tableExists(name) and published_versions(spark, name) == []
+    withdraw_dataset(spark, "aaaa-bbbbcccc", "dd-ddeeeeff-ff")
+
+
+def test_failed_publish_leaves_the_old_version(spark):
+    ids = ("tenant-a", "data-one")
+    name = published_table_name(*ids)
+    # a plain table of that name gives way to versions
+    spark.range(3).write.saveAsTable(name)
+    publish_dataset(spark.range(10).select("id"), *ids)
+    reader = spark.table(name)
+    with pytest.raises(PySparkException):
+        publish_dataset(spark.range(10).select(
+            F.when(F.col("id") == 7, F.raise_error(F.lit("no"))).otherwise(F.col("id")).alias("id")), *ids)
+    assert spark.table(name).count() == 10
+    # from its own rows, while an older reader is still open
+    publish_dataset(spark.table(name).select((F.col("id") + 100).alias("id")), *ids)
+    assert reader.agg(F.max("id")).first()[0] == 9
+    assert spark.table(name).agg(F.min("id"), F.count("id")).first() == (100, 10)
+    publish_dataset(spark.range(2), *ids, keep=0)
+    assert len(published_versions(spark, name)) == 1 and spark.table(name).count() == 2
+    # versions of a name that goes on are another dataset's
+    other = publish_dataset(spark.range(1), "tenant-a", "data-on_v")
+    assert len(published_versions(spark, name)) == 1
+    withdraw_dataset(spark, *ids)
+    assert spark.table(other).count() == 1
+    withdraw_dataset(spark, "tenant-a", "data-on_v")
 
 
 def test_resolve_keeps_order_and_drops_unusable(spark):
