@@ -8,7 +8,7 @@ from premia.plans.decision_queries import _TENANT_KEY, _TURNS_SQL, _rollup_sql
 from premia.plans.registry import query
 from premia.plans.tables import REQUEST_LOG_SQL, query_log_of, request_log_of, table
 from premia.session import shared_folder
-from premia.streaming.ingest import ingested_rows, stream_dedupe, stream_ingest
+from premia.streaming.ingest import ingest_status, ingested_rows, stream_dedupe, stream_ingest
 from premia.streaming.memory import rolled_up, stored_messages, stream_session_memory
 from premia.streaming.metrics import current_metrics, stream_request_metrics, windowed_metrics
 
@@ -19,14 +19,26 @@ def replay(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         f"{sf_dir}/{name}.parque[t]")
 
 
-@query("stream_ingest", "SELECT p_partkey, p_name, p_size, p_retailprice FROM part")
+@query("stream_ingest", """
+    SELECT p.*, 2 AS refused FROM part p
+""")
 def _stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts dropped as CSV files and ingested."""
+    """Parts dropped as CSV files, half of them with columns the other way round and one more column; a file without
+    a column and one whose keys are words are refused, each with all parts."""
     drop, out = shared_folder(spark, "drop"), shared_folder(spark, "ingest")
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_retailprice")
-    parts.write.csv(drop, header=True)
+    parts = table(spark, sf_dir, "part")
+    odd = F.col("p_partkey") % 2 == 1
+    kinds = [
+        parts.filter(~odd),
+        parts.filter(odd).select(F.lit("x").alias("Left Over"), *reversed(parts.columns)),
+        parts.drop("p_partkey").coalesce(1),
+        parts.withColumn("p_partkey", F.lit("none of them")).coalesce(1),
+    ]
+    for kind in kinds:
+        kind.write.mode("append").csv(drop, header=True)
     stream_ingest(spark, drop, parts.schema, out).awaitTermination()
-    return ingested_rows(spark, out, parts.schema)
+    refused = ingest_status(spark, out).filter("status = 'failed'").agg(F.count(F.lit(1)).cast("int").alias("refused"))
+    return ingested_rows(spark, out, parts.schema).crossJoin(F.broadcast(refused))
 
 
 @query("stream_dedupe", "SELECT DISTINCT user_id, event_type, props FROM events")

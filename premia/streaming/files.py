@@ -19,13 +19,14 @@ def read_batches(spark: SparkSession, folder: str, schema: T.StructType) -> Data
     full = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
     try:
         return spark.read.schema(full).parquet(folder)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], full)
 
 
 def read_batch(spark: SparkSession, folder: str, batch_id: int, schema: T.StructType) -> DataFrame:
-    """One batch; no rows when it does not exist."""
-    try:
-        return spark.read.schema(schema).parquet(f"{folder}/batch_id={batch_id}")
-    except AnalysisException:
+    """One batch; no rows before the first one. A batch that should be there and is not, is an error."""
+    if batch_id < 0:
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{folder}/batch_id={batch_id}")

@@ -1,10 +1,12 @@
 import datetime as dt
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F, types as T
 
 from premia.operators.memory import conversation_turns, rollup_blocks
 from premia.streaming.ingest import ingest_status, ingested_rows, stream_dedupe, stream_ingest
+from premia.streaming.files import read_batch
 from premia.streaming.memory import (
     advance_memory, rolled_up, stored_messages, stream_session_memory,
 )
@@ -32,6 +34,40 @@ def test_ingest_folder(spark, tmp_path):
                       "b.csv": ("ready", 1, 0)}
 
 
+def test_ingest_by_header(spark, tmp_path):
+    drop, out = tmp_path / "drop", str(tmp_path / "out")
+    drop.mkdir()
+    schema = T.StructType([T.StructField("Policy Id", T.StringType()),
+                           T.StructField("premium", T.DoubleType())])
+    for name, text in {
+        "swapped.csv": "\ufeffpremium,Policy Id\n10.5,P1\n",
+        "more.csv": '"Policy Id",note,"Premium"\n"P,2","a ""b""",2\n',
+        "header.csv": "Policy Id,premium\n",
+        "blank.csv": "\n",
+        "empty.csv": "",
+        "short.csv": "Policy Id\nP3\n",
+        "ragged.csv": "Policy Id,premium\nP4,1,9\n",
+        "with space.csv": "Policy Id,premium\nP5,5\n",
+    }.items():
+        (drop / name).write_text(text)
+    stream_ingest(spark, str(drop), schema, out, max_files_per_batch=3).awaitTermination()
+    rows = ingested_rows(spark, out, schema).orderBy("policy_id").collect()
+    assert [tuple(r) for r in rows] == [("P,2", 2.0), ("P1", 10.5), ("P5", 5.0)]
+    status = {r["file_path"].rsplit("/", 1)[1]: (r["status"], r["row_count"], r["reason"])
+              for r in ingest_status(spark, out).collect()}
+    assert status == {
+        "swapped.csv": ("ready", 1, None), "more.csv": ("ready", 1, None), "header.csv": ("ready", 0, None),
+        "blank.csv": ("failed", 0, "no header"), "short.csv": ("failed", 0, "missing columns: premium"),
+        "ragged.csv": ("failed", 1, "rows that do not fit"), "with%20space.csv": ("ready", 1, None)}
+
+
+def test_lost_state_is_an_error(spark, tmp_path):
+    none = read_batch(spark, str(tmp_path / "state"), -1, T.StructType([T.StructField("a", T.LongType())]))
+    assert none.count() == 0
+    with pytest.raises(AnalysisException):
+        read_batch(spark, str(tmp_path / "state"), 4, none.schema)
+
+
 def write_parts(df, path, n_parts, order):
     """One file per part, written in order, so that a stream reads one per micro-batch."""
     import time
