@@ -131,9 +131,33 @@ def audit_kpis(audit: DataFrame) -> DataFrame:
         F.count_if(F.coalesce("user_action", F.lit("")) == "").alias("pending"))
 
 
+def _as_json(text: Column) -> Column:
+    """JSON text as the value it says; other text as a string."""
+    return F.coalesce(F.try_parse_json(text), text.cast("variant"))
+
+
+def _exported(name: str) -> Column:
+    column = F.col(name)
+    if name in _TIMES:
+        return iso_time(column)
+    if name in ("id", "tenant_id", "session_id", "recommendation_id"):
+        return column.cast("string")
+    if name == "scenario_assumptions":
+        return _as_json(column)
+    if name == "sql_queries":
+        return F.transform(column, lambda q: F.struct(
+            q["sql"].alias("sql"), _as_json(q["rows_json"]).alias("rows"),
+            q["row_count"].alias("row_count"), q["error"].alias("error")))
+    return column
+
+
 def export_audit_json(audit: DataFrame, pretty: bool = False) -> DataFrame:
-    """(id, json): the twenty exported fields in order, nulls kept, times in ISO-8601."""
-    fields = [iso_time(F.col(c)).alias(c) if c in _TIMES else F.col(c) for c in EXPORT_FIELDS]
+    """(id, json): the twenty exported fields in order, nulls kept.
+
+    Ids are strings, times ISO-8601; assumptions and the rows of statements are JSON values, not text
+    in quotes, unless they are no JSON.
+    """
+    fields = [_exported(c).alias(c) for c in EXPORT_FIELDS]
     options = {"ignoreNullFields": "false", **({"pretty": "true"} if pretty else {})}
     return audit.select("id", F.to_json(F.struct(*fields), options).alias("json"))
 

@@ -128,15 +128,18 @@ def _publish_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("row_ids", """
-    SELECT l_suppkey, l_returnflag, l_linestatus,
-           row_number() OVER (PARTITION BY l_suppkey, l_returnflag, l_linestatus) - 1 AS ordinal
-    FROM lineitem
+    WITH marked AS (
+        SELECT l_suppkey, l_returnflag, l_linestatus,
+               sha256('{"l_suppkey":' || l_suppkey || ',"l_returnflag":"' || l_returnflag
+                      || '","l_linestatus":"' || l_linestatus || '"}') AS digest
+        FROM lineitem)
+    SELECT *, digest || '-' || (row_number() OVER (PARTITION BY digest) - 1) AS _row_id FROM marked
 """)
 def _row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ids; three columns, so that rows repeat (whole line items do not)."""
     rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_returnflag", "l_linestatus")
-    return with_row_id(rows).select(
-        "l_suppkey", "l_returnflag", "l_linestatus",
-        F.substring_index("_row_id", "-", -1).cast("bigint").alias("ordinal"))
+    made = with_row_id(rows)
+    return made.withColumn("digest", F.substring_index("_row_id", "-", 1))
 
 
 _SCREENED_SQL = f"""

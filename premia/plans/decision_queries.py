@@ -566,27 +566,39 @@ def _audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_report_lines(decided_audit(spark, sf_dir))
 
 
+def _iso_sql(column: str) -> str:
+    return (f"strftime({column}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond({column}) % 1000000 = 0 "
+            f"THEN '' ELSE strftime({column}, '.%f') END")
+
+
 @query("audit_json", f"""
-    SELECT id, '{{"id":"' || id || '","tenant_id":"' || tenant_id || '","session_id":'
-        || session_id || ',"recommendation_id":"' || recommendation_id || '","query_text":"'
-        || query_text || '","active_dataset_ids":' || to_json(dataset_ids)
-        || ',"active_document_ids":' || to_json(document_ids) AS json_head,
-        '"user_action":' || coalesce('"' || user_action || '"', 'null') || ',"user_comment":'
-        || coalesce('"' || user_comment || '"', 'null') || ',"action_at":'
-        || coalesce('"' || strftime(action_at, '%Y-%m-%dT%H:%M:%S') || '"', 'null')
-        || ',"scenario_label":' || coalesce('"' || scenario_label || '"', 'null')
-        || ',"scenario_assumptions":' || coalesce(to_json(scenario_assumptions)::varchar, 'null')
-        || ',"created_at":"' || strftime(created_at, '%Y-%m-%dT%H:%M:%S')
-        || CASE WHEN microsecond(created_at) % 1000000 = 0 THEN ''
-                ELSE strftime(created_at, '.%f') END || '"}}' AS json_tail
-    FROM ({_DECIDED_SQL}) d
+    WITH said AS (
+        SELECT *, CASE WHEN n <> 3 THEN {{
+            'action': action, 'confidence': 'high', 'confidence_rationale': 'Strong signal',
+            'document_evidence': []::varchar[], 'sql_evidence': []::varchar[],
+            'conflicts': CASE WHEN n = 1 THEN ['memo disagrees', query_text] ELSE [] END,
+            'reasoning_steps': ['step 1'], 'uncertainty_sources': []::varchar[]}} END AS said
+        FROM ({_DECIDED_SQL}) d)
+    SELECT id, json_object(
+        'id', id, 'tenant_id', tenant_id, 'session_id', session_id::varchar,
+        'recommendation_id', recommendation_id, 'query_text', query_text,
+        'active_dataset_ids', dataset_ids, 'active_document_ids', document_ids,
+        'llm_model', 'model-l', 'embed_model', 'model-e', 'prompt_version', 'v1.0',
+        'sql_queries', [{{'sql': 'SELECT ' || i || ' FROM t_' || session_id, 'rows': []::varchar[],
+                          'row_count': i, 'error': CASE WHEN i = 4 THEN 'timeout' END}}
+                        FOR i IN range(1, n + 1)],
+        'retrieved_chunks', [{{'text': query_text || ' chunk ' || i, 'document_id': 'document-' || session_id,
+                               'page': i + n, 'type': 'text', 'chunk_index': i,
+                               'similarity_score': 1::double / (i + 1), 'rerank_score': NULL::double}}
+                             FOR i IN range(1, CASE WHEN n % 2 = 0 THEN 7 ELSE 1 END)],
+        'raw_model_output', CASE WHEN n <> 3 THEN to_json(said)::varchar END,
+        'recommendation', said, 'user_action', user_action, 'user_comment', user_comment,
+        'action_at', {_iso_sql("action_at")}, 'scenario_label', scenario_label,
+        'scenario_assumptions', scenario_assumptions::json, 'created_at', {_iso_sql("created_at")})::varchar AS json
+    FROM said
 """)
 def _audit_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    exported = export_audit_json(decided_audit(spark, sf_dir))
-    return exported.select(
-        "id", F.substring_index("json", ',"llm_model":', 1).alias("json_head"),
-        F.concat(F.lit('"user_action":'), F.substring_index("json", '"user_action":', -1))
-        .alias("json_tail"))
+    return export_audit_json(decided_audit(spark, sf_dir))
 
 
 # --- request metrics ------------------------------------------------------------------------

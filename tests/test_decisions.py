@@ -276,6 +276,15 @@ def test_export_and_report(audit):
     record = json.loads(export_audit_json(audit, pretty=True).first()["json"])
     assert len(record) == 20 and record["action_at"] is None
     assert record["created_at"].startswith("2025-05-24T10:0") and record["prompt_version"] == "v1.0"
+    assert isinstance(record["session_id"], str)
+    odd = audit.limit(1).withColumn("scenario_assumptions", F.lit("no json")).withColumn("sql_queries", F.array(F.struct(
+        F.lit("SELECT 1").alias("sql"), F.lit('[{"a": 1.5}]').alias("rows_json"), F.lit(1).alias("row_count"),
+        F.lit(None).cast("string").alias("error"))))
+    record = json.loads(export_audit_json(odd).first()["json"])
+    assert record["scenario_assumptions"] == "no json"
+    assert record["sql_queries"] == [{"sql": "SELECT 1", "rows": [{"a": 1.5}], "row_count": 1, "error": None}]
+    record = json.loads(export_audit_json(odd.withColumn("scenario_assumptions", F.lit('{"x": [1, null]}'))).first()["json"])
+    assert record["scenario_assumptions"] == {"x": [1, None]}
     first = audit.orderBy("created_at").limit(2).select("*")
     lines = {}
     for r in audit_report_lines(first).orderBy("id", "line_no").collect():
