@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from premia.functions.tenancy import tenant_id_of
 from premia.operators.governed_sql import schema_context
-from premia.operators.profile import profile_columns, sample_values
+from premia.operators.profile import column_facts, profile_columns, sample_values
 from premia.operators.rowids import with_row_id
 from premia.plans.registry import query
 from premia.plans.tables import (
@@ -78,16 +78,19 @@ def _column_profile_sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile_columns(_spread_items(spark, sf_dir), approx=True)
 
 
-@query("schema_context", """
-    SELECT 'lineitem' AS table_name,
-           'Table: lineitem' || chr(10) || 'Columns: ' || '""" + ", ".join(
-    f"{c} ({d})" for c, d in _LINEITEM) + """' || chr(10) || 'Row count: ' || count(*)
-               AS schema_text
-    FROM lineitem
-""")
+def _schema_sql(name: str, columns: list[tuple[str, str]]) -> str:
+    listed = ", ".join(f"{c} ({dtype})" for c, dtype in columns)
+    return f"""
+    SELECT '{name}' AS table_name, 'Table: {name}' || chr(10) || 'Columns: {listed}' || chr(10)
+           || 'Row count: ' || count(*) AS schema_text
+    FROM {name}
+    """
+
+
+@query("schema_context", _schema_sql("lineitem", _LINEITEM) + "UNION ALL" + _schema_sql("customer", _CUSTOMER))
 def _schema_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    profile = profile_columns(_spread_items(spark, sf_dir), approx=True)
-    return schema_context(profile.withColumn("table_name", F.lit("lineitem")))
+    facts = [column_facts(table(spark, sf_dir, name), name) for name in ("lineitem", "customer")]
+    return schema_context(facts[0].unionByName(facts[1]))
 
 
 @query("sample_values", """

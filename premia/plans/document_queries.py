@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from premia.functions.models import embedder, pair_scorer, text_model
 from premia.functions.tenancy import scope_chunks
 from premia.operators.chunking import (
     chunk_documents, chunk_tables, chunk_text, document_stats, flag_empty_pages,
@@ -260,3 +261,54 @@ def _stale_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("document_id").endswith("-en"), "model-b")
         .when(~F.col("document_id").endswith("-de"), "model-a").alias("embedding_model"))
     return stale_embeddings(store, "model-b")
+
+
+# --- hooks for outside models, with plain functions of the text as models -----------
+
+_LANGUAGE_LETTERS = {"en": "w", "de": "z", "fr": "u", "es": "o"}
+
+
+def _letter_counts():
+    """Stands in for an embedding model: how often each language's letter occurs."""
+    return lambda texts: [[float(t.count(c)) for c in _LANGUAGE_LETTERS.values()] for t in texts]
+
+
+def _first_and_last_word():
+    """Stands in for a text model."""
+    return lambda texts: [" … ".join((t.split(" ")[0], t.split(" ")[-1])) for t in texts]
+
+
+def _times_asked():
+    """Stands in for a pair model: how often the text holds the question."""
+    return lambda pairs: [float(text.count(question)) for question, text in pairs]
+
+
+def _occurrences(letter: str) -> str:
+    return f"(len(text) - len(replace(text, {letter}, '')))::double"
+
+
+@query("model_embedder", "SELECT doc_id, " + ", ".join(
+    f"{_occurrences(repr(letter))} AS x{i}" for i, letter in enumerate(_LANGUAGE_LETTERS.values())) + """
+    , CASE WHEN text IS NOT NULL THEN 4 END AS width FROM documents
+""")
+def _model_embedder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = table(spark, sf_dir, "documents").withColumn("v", embedder(_letter_counts)(F.col("text")))
+    return made.select(
+        "doc_id", *[F.get("v", F.lit(i)).cast("double").alias(f"x{i}") for i in range(len(_LANGUAGE_LETTERS))],
+        F.size("v").alias("width"))
+
+
+@query("model_text", """
+    SELECT doc_id, split_part(text, ' ', 1) || ' … ' || split_part(text, ' ', -1) AS reply FROM documents
+""")
+def _model_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", text_model(_first_and_last_word)(F.col("text")).alias("reply"))
+
+
+@query("model_pair_scorer", f"""
+    SELECT doc_id, lang, {_occurrences("substr(lang, 1, 1)")} AS score FROM documents
+""")
+def _model_pair_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", "lang", pair_scorer(_times_asked)(F.substring("lang", 1, 1), F.col("text")).alias("score"))
