@@ -12,9 +12,9 @@ from premia.session import materialize
 _SKETCH_ACCURACY = 1_000
 _QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 # Cells a bracket is cut into in each round of the search for quartiles, ...
-CELLS = 64
+CELLS = 32
 # ... and the number of distinct values that are put in order at the end.
-LAST_CELL = 4_096
+LAST_CELL = 65_536
 
 
 def _clean(field: T.StructField) -> Column:

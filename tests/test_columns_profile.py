@@ -66,7 +66,7 @@ def test_profile_tells_wide_integers_apart(spark):
     assert by_column(profile_columns(df))["k"]["unique_count"] == 3
 
 
-@pytest.mark.parametrize("last_cell", [4_096, 5])
+@pytest.mark.parametrize("last_cell", [65_536, 5])
 def test_quartiles_equal_numpy(spark, monkeypatch, last_cell):
     monkeypatch.setattr(profiling, "LAST_CELL", last_cell)
     rng = np.random.default_rng(3)
