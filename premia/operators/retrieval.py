@@ -85,30 +85,41 @@ def _scored_in_blocks(questions: DataFrame, vectors: DataFrame, scope: list[str]
     if "embedding_model" in vectors.columns and "embedding_model" in questions.columns:
         scope.append("embedding_model")
 
+    # a null tenant or model is nobody's; widths and cells of a vector are never null, and testing them makes it twice
+    owned = [c for c in scope if c in ("tenant_id", "embedding_model")]
+    vectors, questions = vectors.dropna(subset=owned), questions.dropna(subset=owned)
+
     def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
         return df.groupBy(*scope).agg(F.ceil(F.count(F.lit(1)) / size).alias(name))
 
-    grid = blocks(vectors, vectors_per_block, "_vector_blocks").join(
-        blocks(questions, questions_per_block, "_question_blocks"), scope)
+    counts = ["_vector_blocks", "_question_blocks"]
+    # Only scopes of several blocks, of which there are at most as many as blocks, so the table is small enough to
+    # send everywhere. A join by scope would put all vectors of a tenant into one task.
+    grid = F.broadcast(
+        blocks(vectors, vectors_per_block, "_vector_blocks")
+        .join(blocks(questions, questions_per_block, "_question_blocks"), scope, "full")
+        .na.fill(0, counts).filter(F.greatest(*counts) > 1))
+
+    def in_grid(df: DataFrame) -> DataFrame:
+        # other scopes are one block of vectors and one of questions; a scope without either has no answers
+        return df.join(grid, scope, "left").na.fill(1, counts).filter(F.least(*counts) > 0)
 
     def every(count: str) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1))
 
     cell = [*scope, "_vb", "_qb"]
     left = (
-        vectors.select(*scope, "chunk_id", "embedding", *(["document_id"] if filtered else []))
-        .join(grid, scope)
+        in_grid(vectors.select(*scope, "chunk_id", "embedding", *(["document_id"] if filtered else [])))
         .withColumn("_vb", F.pmod(F.xxhash64("chunk_id"), F.col("_vector_blocks")))
         .withColumn("_qb", every("_question_blocks"))
-        .drop("_vector_blocks", "_question_blocks")
+        .drop(*counts)
     )
     right = (
-        questions.select(*scope, "question_id", "embedding",
-                         *(["document_ids"] if filtered else []))
-        .join(grid, scope)
+        in_grid(questions.select(*scope, "question_id", "embedding",
+                                 *(["document_ids"] if filtered else [])))
         .withColumn("_qb", F.pmod(F.xxhash64("question_id"), F.col("_question_blocks")))
         .withColumn("_vb", every("_vector_blocks"))
-        .drop("_vector_blocks", "_question_blocks")
+        .drop(*counts)
     )
     schema = T.StructType([
         T.StructField("question_id", questions.schema["question_id"].dataType),

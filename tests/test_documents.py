@@ -150,6 +150,24 @@ def test_exact_top_k_equals_brute_force(spark, vectors, blocks):
         assert np.allclose([s for _, s in got[q]], [s for _, s in want])
 
 
+def test_top_k_never_gathers_a_tenant(spark, vectors):
+    df, _, _ = vectors
+    odd = df.withColumn("tenant_id", F.when(F.col("chunk_id") >= 10, F.col("tenant_id")))
+    questions = odd.filter("chunk_id < 60").withColumnRenamed("chunk_id", "question_id").drop("document_id")
+    found = vector_top_k(questions, odd, 7, 37, 9)
+    # null tenants meet nobody; all others get their answers
+    assert found.count() == 50 * 7
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = vector_top_k(questions, odd, 7, 37, 9)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    joins = [line for line in plan.split("\n") if "SortMergeJoin" in line]
+    # only counts of scopes are joined by scope, vectors and questions never are
+    assert joins and all("FullOuter" in line for line in joins)
+
+
 def test_top_k_without_candidates(spark, vectors):
     df, _, _ = vectors
     questions = spark.createDataFrame([(1, "nobody", [0.5] * 16)],
