@@ -45,6 +45,17 @@ def _slots(text: Column, dimensions: int) -> Column:
     return F.transform(terms(text), slot)
 
 
+def count_terms(df: DataFrame, text: str = "text", dimensions: int = DIMENSIONS) -> DataFrame:
+    """Add slot_counts: how often each slot occurs in the text.
+
+    Finding the terms is most of the work of an embedding. Stored with the chunks, the counts take the text's place
+    in ``fit_tfidf`` and ``embed``.
+    """
+    counter = CountVectorizerModel.from_vocabulary(
+        _slot_names(dimensions), inputCol="_slots", outputCol="slot_counts")
+    return counter.transform(df.withColumn("_slots", _slots(F.col(text), dimensions))).drop("_slots")
+
+
 @dataclass
 class TfidfEmbedder:
     """Fitted inverse document frequencies; everything it does to a row is narrow."""
@@ -54,21 +65,17 @@ class TfidfEmbedder:
     name: str
 
     def embed(self, df: DataFrame, text: str = "text") -> DataFrame:
-        made = self.stages.transform(
-            df.withColumn("_slots", _slots(F.col(text), self.dimensions)))
-        return made.withColumn("embedding", vector_to_array("_unit", "float32")).drop(
-            "_slots", "_counts", "_weighted", "_unit")
+        counted = df if "slot_counts" in df.columns else count_terms(df, text, self.dimensions)
+        return self.stages.transform(counted).withColumn(
+            "embedding", vector_to_array("_unit", "float32")).drop("slot_counts", "_weighted", "_unit")
 
 
 def fit_tfidf(df: DataFrame, text: str = "text", dimensions: int = DIMENSIONS) -> TfidfEmbedder:
     """Document frequencies over the whole table, in one tree aggregation of one vector."""
-    counter = CountVectorizerModel.from_vocabulary(
-        _slot_names(dimensions), inputCol="_slots", outputCol="_counts")
-    counted = counter.transform(df.select(_slots(F.col(text), dimensions).alias("_slots")))
-    idf = IDF(inputCol="_counts", outputCol="_weighted").fit(counted)
+    counted = df if "slot_counts" in df.columns else count_terms(df.select(text), text, dimensions)
+    idf = IDF(inputCol="slot_counts", outputCol="_weighted").fit(counted.select("slot_counts"))
     unit = Normalizer(inputCol="_weighted", outputCol="_unit", p=2.0)
-    return TfidfEmbedder(PipelineModel([counter, idf, unit]), dimensions,
-                         f"hashed-tfidf-{dimensions}")
+    return TfidfEmbedder(PipelineModel([idf, unit]), dimensions, f"hashed-tfidf-{dimensions}")
 
 
 def embed_chunks(chunks: DataFrame, embedder: TfidfEmbedder | Callable[[Column], Column],

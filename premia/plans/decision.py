@@ -22,9 +22,10 @@ def find_evidence(questions: DataFrame, chunks: DataFrame, embedder: TfidfEmbedd
     """The five best chunks of each question: top 20 by vector, re-scored by text.
 
     ``questions``: question_id, tenant_id, question and optionally document_ids. ``chunks`` comes
-    from the chunk store. Only ids and vectors go through the search; texts join the few hits.
+    from the chunk store, with or without ``count_terms``. Only ids and vectors go through the search;
+    texts join the few hits.
     """
-    kept = ["chunk_id", "tenant_id", "text"]
+    kept = ["chunk_id", "tenant_id", "slot_counts" if "slot_counts" in chunks.columns else "text"]
     kept += ["document_id"] if "document_ids" in questions.columns else []
     found = vector_top_k(embedder.embed(questions, "question"),
                          embed_chunks(chunks.select(*kept), embedder))

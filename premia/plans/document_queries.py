@@ -9,7 +9,7 @@ from premia.functions.tenancy import scope_chunks
 from premia.operators.chunking import (
     chunk_documents, chunk_tables, chunk_text, document_stats, flag_empty_pages,
 )
-from premia.operators.embedding import embed_chunks, fit_tfidf
+from premia.operators.embedding import count_terms, embed_chunks, fit_tfidf
 from premia.operators.retrieval import build_cells, vector_top_k, vector_top_k_approx
 from premia.plans.decision import find_evidence
 from premia.plans.registry import query
@@ -165,7 +165,7 @@ def tenant_of(item_id: Column) -> Column:
 def top_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best chunks of its tenant for each benchmark text."""
     # the chunk store is a table in real use: written once, then read by every step
-    chunks = materialize(text_chunks(spark, sf_dir), "chunks")
+    chunks = materialize(count_terms(text_chunks(spark, sf_dir)), "chunks")
     return find_evidence(questions(spark, sf_dir), chunks, fit_tfidf(chunks))
 
 
@@ -241,10 +241,12 @@ def _rerank_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM weight WHERE x <> 0
 """)
 def _embed_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = materialize(text_chunks(spark, sf_dir).select("chunk_id", "text"), "chunks")
+    texts = text_chunks(spark, sf_dir).select("chunk_id", "text")
+    chunks = materialize(count_terms(texts).drop("text"), "chunks")
     embedded = embed_chunks(chunks, fit_tfidf(chunks))
+    # the outer form, since Spark tests the array of the other one and makes it twice
     return embedded.select(
-        "chunk_id", "embedding_model", F.posexplode("embedding").alias("slot", "x")
+        "chunk_id", "embedding_model", F.posexplode_outer("embedding").alias("slot", "x")
     ).filter("x <> 0").withColumn("slot", F.col("slot").cast("bigint")).withColumn(
         "x", F.round(F.col("x").cast("double"), 5))
 

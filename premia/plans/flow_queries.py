@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from premia.operators.columns import apply_column_tags, drop_all_null_columns, sanitize_columns
-from premia.operators.embedding import fit_tfidf
+from premia.operators.embedding import count_terms, fit_tfidf
 from premia.operators.memory import context_strings, recent_window
 from premia.plans.decision import answer_questions
 from premia.plans.decision_queries import _PROMPT_TAIL, _recent_sql, _window_sql
@@ -75,7 +75,7 @@ _AUGMENTED = """text || CASE WHEN item_id % 3 = 0 THEN chr(10)
     LEFT JOIN contexts c ON c.session_id = l.session_id
 """)
 def _decision_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = materialize(text_chunks(spark, sf_dir), "chunks")
+    chunks = materialize(count_terms(text_chunks(spark, sf_dir)), "chunks")
     contexts = context_strings(recent_window(messages(spark, sf_dir)))
     audit = answer_questions(benchmark_log(spark, sf_dir), chunks, fit_tfidf(chunks),
                              prompt_length_reply, "prompt-length", contexts=contexts)

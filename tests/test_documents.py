@@ -6,7 +6,7 @@ from premia.functions.models import embedder, pair_scorer
 from premia.operators.chunking import (
     chunk_documents, chunk_tables, chunk_text, document_stats, flag_empty_pages, window_sizes,
 )
-from premia.operators.embedding import embed_chunks, fit_tfidf
+from premia.operators.embedding import count_terms, embed_chunks, fit_tfidf
 from premia.operators.ordering import last_before, number_along
 from premia.operators.retrieval import (
     build_cells, lexical_overlap, rerank, vector_top_k, vector_top_k_approx,
@@ -209,6 +209,21 @@ def test_approximate_search(spark, vectors):
     assert len(some & exact) / len(exact) > 0.75
 
 
+def test_stored_counts_take_the_place_of_texts(spark, tmp_path):
+    df = spark.createDataFrame([(1, "Young drivers, young cars"), (2, "old cars"), (3, ""), (4, "Jung und alt 42")],
+                               "chunk_id int, text string")
+    path = str(tmp_path / "counted")
+    count_terms(df).drop("text").write.parquet(path)
+    counted = spark.read.parquet(path)
+
+    def vectors_of(table):
+        made = embed_chunks(table, fit_tfidf(table)).select("chunk_id", "embedding", "embedding_model")
+        return sorted(made.collect())
+
+    assert vectors_of(counted) == vectors_of(df)
+    assert "text" not in counted.columns and "slot_counts" not in embed_chunks(counted, fit_tfidf(counted)).columns
+
+
 CANDIDATES = ("question_id int, question string, chunk_id string, text string, "
               "similarity_score double")
 
