@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from premia.functions.tenancy import scope_to_tenant
 from premia.functions.text import citation, iso_time, minute_time, strip_blanks
-from premia.session import materialize
 from premia.settings import (
     AUDIT_PAGE_ROWS, DECISION_ACTIONS, PROMPT_VERSION, REPORT_BODY_CHARS, REPORT_CHUNK_CHARS,
     REPORT_CHUNKS, REPORT_CODE_CHARS, REPORT_SQL_QUERIES,
@@ -54,16 +53,29 @@ def append_audit(records: DataFrame, path: str) -> None:
     """Add records to the trail, one folder per tenant; nothing already there is touched.
 
     An id follows from its question, so a record that the trail has is not added again: a repeated append
-    changes nothing. Only ids are read, of the tenants at hand. Appends to one trail must not run at the same time.
+    changes nothing. Ids are compared first, without the records: these are only shuffled if some of them are known
+    and others new, or if an id comes more than once. ``records`` is made twice, so store it if it is costly.
+    Of the trail only ids are read. Appends to one trail must not run at the same time.
     """
-    spark = records.sparkSession
+    spark, key = records.sparkSession, ["tenant_id", "id"]
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    new = records.dropDuplicates(["tenant_id", "id"])
-    if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
-        there = spark.read.schema(records.select("id", "tenant_id").schema).parquet(path)
-        # stored, so that the trail is not read while it is written
-        new = materialize(new.join(there, ["tenant_id", "id"], "left_anti").select(records.columns), "audit-new")
-    new.write.mode("append").partitionBy("tenant_id").parquet(path)
+    trail = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+    ids = records.select(*key, F.lit(1).alias("mine"), F.lit(0).alias("theirs"))
+    if trail:
+        there = spark.read.schema(records.select(*key).schema).parquet(path).select(*key)
+        # an id that is null equals none
+        ids = ids.unionByName(there.dropna().select(*key, F.lit(0).alias("mine"), F.lit(1).alias("theirs")))
+    found = ids.groupBy(*key).agg(F.sum("mine").alias("mine"), F.max("theirs").alias("theirs")).filter("mine > 0")
+    repeated, known, new = found.agg(
+        F.count_if(F.col("mine") > 1), F.count_if(F.col("theirs") == 1), F.count_if(F.col("theirs") == 0)).first()
+    if trail and not new:
+        return
+    if repeated:
+        records = records.dropDuplicates(key)
+    if known:
+        # the files of the trail are listed above, so what is written here is not read
+        records = records.join(there, key, "left_anti").select(records.columns)
+    records.write.mode("append").partitionBy("tenant_id").parquet(path)
 
 
 def apply_decisions(audit: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:

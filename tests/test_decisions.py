@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -350,3 +351,23 @@ def test_a_repeated_append_adds_nothing(spark, audit, tmp_path):
     append_audit(audit.limit(0), path)
     got = spark.read.schema(audit.schema).parquet(path).collect()
     assert sorted(r["id"] for r in got) == sorted(r["id"] for r in audit.collect())
+
+
+def test_appends_store_no_second_copy(spark, audit, tmp_path):
+    path = str(tmp_path / "trail")
+    stored = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = {f.name for f in stored.glob("*")}
+    half = audit.filter("tenant_id = 't0'")
+    append_audit(half, path)
+    files = {f for f in Path(path).rglob("*.parquet")}
+    append_audit(half, path)
+    assert {f for f in Path(path).rglob("*.parquet")} == files
+    append_audit(audit.unionByName(audit), path)  # some known, all twice
+    got = spark.read.schema(audit.schema).parquet(path).collect()
+    assert sorted(r["id"] for r in got) == sorted(r["id"] for r in audit.collect())
+    assert {f.name for f in stored.glob("*")} == before
+    # an id that is null equals none in the trail
+    nameless = half.limit(1).withColumn("id", F.lit(None).cast("string"))
+    for n in (1, 2):
+        append_audit(nameless.unionByName(half), path)
+        assert spark.read.schema(audit.schema).parquet(path).count() == len(got) + n
