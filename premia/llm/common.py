@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -14,6 +15,11 @@ from premia.session import shared_folder
 # Fixed value: the white space of the corpus contracts, as a Java regular expression.
 BLANK = r"[\x20\x09-\x0D]"
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
+# Rows of a block of numbered rows, as a power of two; ``beside`` holds the facts of so many rows at once.
+_BLOCK_BITS = 12
+# Blocks fall into buckets by a hash; with several buckets for each partition of a shuffle few of them meet in one.
+_BUCKETS = 4
 
 
 _scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
@@ -63,13 +69,58 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(docs: DataFrame, purpose: str) -> tuple[DataFrame, str]:
+def _block_of(rid: str) -> str:
+    return f"{rid}_block"
+
+
+def _buckets(spark: SparkSession) -> int:
+    return _BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def numbered(docs: DataFrame, purpose: str, name: str = "row_id") -> tuple[DataFrame, str]:
     """``docs`` stored with a row id that is unique and stays the same, and that column's name.
 
-    Rows that repeat an id, or even whole rows, stay apart by it.
+    Rows that repeat an id, or even whole rows, stay apart by it. A task numbers its rows on end; each block of
+    4,096 numbers lies in one bucket of the files, where ``beside`` finds it without a shuffle.
+    """
+    spark, taken = docs.sparkSession, {c.lower() for c in docs.columns}
+    rid = fresh(docs, name)
+    while _block_of(rid) in taken:
+        rid += "_"
+    rows = docs.withColumn(rid, F.monotonically_increasing_id()).withColumn(_block_of(rid), F.shiftright(rid, _BLOCK_BITS))
+    path, table = shared_folder(spark, purpose), f"rows_{uuid.uuid4().hex}"
+    if _scratch.get() is not None:
+        _scratch.get().append(path)
+    before = {key: spark.conf.get(key, value) for key, value in ((_CLEAN_UP, "false"), (_WRITERS, "0"))}
+    spark.conf.set(_CLEAN_UP, "true")
+    # rows come block by block; without writers of their own, Spark would sort all texts by bucket
+    spark.conf.set(_WRITERS, "8")
+    try:
+        (rows.write.option("compression", "zstd").option("path", path)
+         .bucketBy(_buckets(spark), _block_of(rid)).saveAsTable(table))
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    kept = spark.table(table)
+    # only the name goes; the files are in the shared folder
+    spark.sql(f"DROP TABLE {table}")
+    return kept, rid
+
+
+def beside(rows: DataFrame, rid: str, facts: DataFrame, name: str) -> DataFrame:
+    """``rows`` of ``numbered`` with the struct ``name`` of the columns that ``facts`` has for their row id.
+
+    ``facts`` has each row id exactly once; anything else is an error. Only facts are shuffled, never the rows: the facts of
+    a block come together in the order of its row ids, in the bucket that holds the block, and a row finds its own by place.
     """
-    rid = fresh(docs, "row_id")
-    return stored(docs.withColumn(rid, F.monotonically_increasing_id()), purpose), rid
+    place = F.col(rid).bitwiseAND(F.lit((1 << _BLOCK_BITS) - 1)).cast("int")
+    block, others = _block_of(rid), F.struct(*[F.col(c) for c in facts.columns if c != rid])
+    gathered = (facts.select(F.shiftright(rid, _BLOCK_BITS).alias(block), F.struct(F.col(rid).alias("rid"), others.alias("fact")).alias("_one"))
+                .repartition(_buckets(rows.sparkSession), block).groupBy(block).agg(F.sort_array(F.collect_list("_one")).alias("_facts")))
+    own = F.get("_facts", place)
+    wrong = F.raise_error(F.concat(F.lit("not one fact for row "), F.col(rid).cast("string")))
+    return rows.join(gathered.hint("shuffle_hash"), block, "left").withColumn(
+        name, F.when(own["rid"] == F.col(rid), own["fact"]).otherwise(wrong)).drop(block, "_facts")
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from premia.llm.common import BLANK, fresh, numbered, stored, text_of
+from premia.llm.common import BLANK, beside, fresh, numbered, stored, text_of
 
 FREQUENT = 1000
 TRACKED = 8192
@@ -63,5 +63,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text an earlier row has; columns as they were."""
     rows, rid = numbered(docs, "exact-dedup-rows")
-    kept = exact_dedup(rows, row_id=rid).filter("kept").select(F.col("row_id").alias(rid))
-    return rows.join(kept, rid, "left_semi").select(docs.columns)
+    found, fact = exact_dedup(rows, row_id=rid).select(F.col("row_id").alias(rid), "kept"), fresh(rows, "fact")
+    return beside(rows, rid, found, fact).filter(F.col(f"{fact}.kept")).select(docs.columns)

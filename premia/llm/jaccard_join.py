@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from premia.llm.common import components, discard, numbered, scratch, small_batches, stored, text_of
+from premia.llm.common import beside, components, discard, fresh, numbered, scratch, small_batches, stored, text_of
 from premia.llm.shingles import binaries, mix64, shingle_sets
 
 #: The least similarity as a fraction.
@@ -232,13 +232,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` with one row for each component, that of the smallest id; rows without words all stay, each its own.
 
-    The tables of the join are deleted as soon as the rows that stay are known, before whole texts are shuffled.
+    The tables of the join are deleted as soon as the rows that stay are known. Whole texts are not shuffled.
     """
     rows, rid = numbered(docs, "jaccard-documents")
     inner: list[str] = []
     with scratch(inner):
         found = jaccard_components(rows, id_col=id_col, row_id=rid)
     order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("row_id").alias("rid"))
-    first = stored(found.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.rid").alias(rid)), "jaccard-first-rows")
+    first = found.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.rid").alias("row_id"), F.lit(True).alias("kept"))
+    marked = stored(found.select("row_id").join(first, "row_id", "left").select(F.col("row_id").alias(rid), "kept"), "jaccard-first-rows")
     discard(docs.sparkSession, inner)
-    return rows.join(first, rid, "left_semi").select(docs.columns)
+    fact = fresh(rows, "fact")
+    return beside(rows, rid, marked, fact).filter(F.col(f"{fact}.kept")).select(docs.columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from premia.llm.common import BLANK, fresh, numbered, stored, text_of
+from premia.llm.common import BLANK, beside, fresh, numbered, stored, text_of
 
 # Weights of the sources in the order of their names, repeating; the largest repetition.
 WEIGHTS = (5, 2, 1)
@@ -143,8 +143,7 @@ def mixed(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     rows, rid = numbered(docs, "mixing-rows")
     m, piece = fresh(rows, "mix"), fresh(rows, "piece")
-    plan = mix(rows, row_id=rid).filter("taken > 0").select(
-        F.col("row_id").alias(rid), F.struct("passes", "from_word", "to_word", "to_word_2").alias(m))
+    plan = mix(rows, row_id=rid).select(F.col("row_id").alias(rid), "taken", "passes", "from_word", "to_word", "to_word_2")
     pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"{BLANK}*[^\\x20\\x09-\\x0D]+"), 0)
 
     def run(start: Column, stop: Column) -> Column:
@@ -155,5 +154,5 @@ def mixed(docs: DataFrame, text_col: str = "text") -> DataFrame:
     parts = F.filter(F.array(run(F.col(f"{m}.from_word"), F.col(f"{m}.to_word")), run(F.lit(0), F.col(f"{m}.to_word_2"))),
                      lambda t: t.isNotNull())
     texts = F.concat(F.coalesce(whole, F.array().cast("array<string>")), parts)
-    return rows.join(plan, rid).withColumn(piece, F.explode(texts)).select(
+    return beside(rows, rid, plan, m).filter(F.col(f"{m}.taken") > 0).withColumn(piece, F.explode(texts)).select(
         *[F.col(piece).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

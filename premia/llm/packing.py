@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from premia.llm.common import ranked, small_batches, stored, text_of
+from premia.llm.common import beside, numbered, ranked, small_batches, text_of
 
 SEQUENCE = 4096
 GRAIN = 8
@@ -152,7 +152,7 @@ def cut(docs: DataFrame, id_col: str, text_col: str, path: str, row_id: str | No
                                              [pa.array([], f.type) for f in kind], schema=kind)
 
     spec = "rid long, id long, start long, length long, doc_tokens long, ids_crc32 long, ids binary"
-    return stored(rows.mapInArrow(pieces, spec).withColumn("piece", F.monotonically_increasing_id()), "packing-pieces")
+    return numbered(rows.mapInArrow(pieces, spec), "packing-pieces", "piece")[0]
 
 
 def best_pattern(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:
@@ -323,5 +323,5 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     before = (Window.partitionBy("sequence_id").orderBy(F.desc("size"), F.col("k"))
               .rowsBetween(Window.unboundedPreceding, -1))
     offsets = placed.select("piece", "sequence_id", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"))
-    return pieces.join(offsets, "piece").select(
-        F.col("id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids")
+    return beside(pieces, "piece", offsets, "place").select(
+        F.col("id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", "place.sequence_id", "place.offset", "ids")

@@ -11,7 +11,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from premia.llm import exact_dedup, max_score, mixing, sharding, url_rules
+from premia.llm import common, exact_dedup, jaccard_join, max_score, mixing, packing, sharding, url_rules
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -309,3 +309,46 @@ def test_shards_of_chained_links_end(spark):
     links = spark.createDataFrame([(i, j) for j in range(300) for i in rng.sample(range(400), rng.randint(2, 6))], "doc_id long, link long")
     got = sharding.shard_documents(docs, links=links).collect()
     assert set(Counter(r.shard for r in got).values()) == {50}
+
+
+def shuffles_above(df, column):
+    """Exchanges in the plan of ``df`` that stand above a scan which reads ``column``."""
+    held, found = [], []
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :+-*"))
+        held = [(d, l) for d, l in held if d < depth] + [(depth, line)]
+        if "FileScan" in line and f"{column}:" in line.split("ReadSchema")[-1]:
+            found += [l for _, l in held if "Exchange" in l]
+    return found
+
+
+def test_stages_do_not_shuffle_texts(spark, corpus, monkeypatch):
+    tokenizer = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    monkeypatch.setattr(common, "_BLOCK_BITS", 3)
+    docs = docs_of(spark, corpus).repartition(3)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for stage in (exact_dedup.drop_copies, jaccard_join.drop_near_copies, mixing.mixed):
+            out = stage(docs)
+            assert not shuffles_above(out, "text"), stage
+            assert out.count() > 0
+        assert not shuffles_above(packing.pack(docs, tokenizer), "ids")
+        assert packing.pack(docs, tokenizer).agg(F.countDistinct("doc_id")).first()[0] > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_facts_beside_rows(spark, monkeypatch):
+    monkeypatch.setattr(common, "_BLOCK_BITS", 3)
+    docs = spark.range(0, 100, 1, 3).select(F.col("id").alias("row_id"), F.lit("t").alias("row_id__block"))
+    rows, rid = common.numbered(docs, "facts")
+    facts = rows.select(rid, (F.col("row_id") * 2).alias("twice")).repartition(5)
+    got = common.beside(rows, rid, facts, "fact")
+    assert got.columns == [*docs.columns, rid, "fact"]
+    assert sorted((r.row_id, r.fact.twice) for r in got.collect()) == [(i, 2 * i) for i in range(100)]
+    for odd in (facts.filter("twice <> 26"), facts.unionByName(facts.filter("twice = 26"))):
+        with pytest.raises(Exception, match="not one fact for row"):
+            common.beside(rows, rid, odd, "fact").collect()
+    none, rid = common.numbered(docs.limit(0), "facts")
+    assert common.beside(none, rid, none.select(rid, "row_id"), "fact").count() == 0
