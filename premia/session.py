@@ -62,9 +62,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash ``df`` on unique ``keys`` if it has fewer partitions than the cluster has cores.
 
     For work that is heavy per row (splitting text, sketches) on a table that came as one or two
-    files. A table of many files is returned as it is, without a shuffle.
+    files. A table of many files is returned as it is, without a shuffle. There are at least two new partitions for
+    each old one, so a task reads no more than half of what Spark's splits of a file hold.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df._jdf.rdd().getNumPartitions() >= 2 * cores:
+    splits = df._jdf.rdd().getNumPartitions()
+    if splits >= 2 * cores:
         return df
-    return df.repartition(cores, *keys)
+    return df.repartition(max(cores, 2 * splits), *keys)

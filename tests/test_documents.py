@@ -11,6 +11,7 @@ from premia.operators.ordering import last_before, number_along
 from premia.operators.retrieval import (
     build_cells, lexical_overlap, rerank, vector_top_k, vector_top_k_approx,
 )
+from premia.session import spread
 
 
 def n_chunks(n):
@@ -303,3 +304,12 @@ def test_vectors_of_other_widths_and_models_do_not_meet(spark):
     assert {(r["question_id"], r["chunk_id"]) for r in got} == {(1, 1), (1, 2), (2, 1), (2, 2), (3, 3), (4, 4)}
     got = vector_top_k(asked.drop("embedding_model"), df).collect()
     assert {(r["question_id"], r["chunk_id"]) for r in got if r["question_id"] == 1} == {(1, 1), (1, 2), (1, 4)}
+
+
+def test_spread_grows_with_the_splits(spark):
+    cores = spark.sparkContext.defaultParallelism
+    few = spread(spark.range(0, 1000, 1, 1), "id")
+    more = spread(spark.range(0, 1000, 1, cores + 2), "id")
+    assert few.rdd.getNumPartitions() == cores
+    assert more.rdd.getNumPartitions() == 2 * (cores + 2)
+    assert few.count() == more.count() == 1000
