@@ -21,6 +21,7 @@ SUMMARY_MESSAGE_CHARS = 500
 # --- fixed values: uploads ------------------------------------------------
 ALLOWED_EXTENSIONS = ("pdf", "csv", "xlsx", "xls")
 MAX_UPLOAD_BYTES = 50 * 1024 * 1024
+FINGERPRINT_BLOCK_BYTES = 128 * 1024 * 1024  # a power of two
 COLUMN_NAME_CHARS = 63
 
 # --- fixed values: governed SQL -------------------------------------------

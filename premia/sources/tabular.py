@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from premia.settings import ALLOWED_EXTENSIONS, MAX_UPLOAD_BYTES, MISSING_TOKENS
+from premia.settings import (
+    ALLOWED_EXTENSIONS, FINGERPRINT_BLOCK_BYTES, MAX_UPLOAD_BYTES, MISSING_TOKENS,
+)
+from premia.sources.digests import escape_glob, readable_in_blocks, sha256_in_blocks
 
 _WHOLE = r"^\s*[+-]?\d+\s*$"
 _DECIMAL = r"^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
@@ -84,15 +87,33 @@ def read_dataset(spark: SparkSession, path: str, schema: T.StructType | None = N
     ])
 
 
-def fingerprint_files(spark: SparkSession, path: str) -> DataFrame:
+def fingerprint_files(spark: SparkSession, path: str, block_bytes: int = FINGERPRINT_BLOCK_BYTES,
+                      parallel: int = 4) -> DataFrame:
     """path, file_size_bytes and the SHA-256 of each file under ``path``, whatever its size.
 
-    A file is one binary value, which Spark limits to 2 GB. The size limit of uploads is
-    ``screen_uploads``'s.
+    A file above ``block_bytes`` (a power of two, 1 MB at least) is digested when this is called, block
+    by block: each task reads one block and hands the state of the digest to the next, ``parallel``
+    files at a time; the driver sees paths, lengths and states. Other files are one binary value each.
+    So are large ones that Hadoop takes for compressed by their names (``.gz``), and all of them if
+    Python has no OpenSSL to hand on a state; Spark limits such a value to 2 GB. The size limit of
+    uploads is ``screen_uploads``'s.
     """
+    if block_bytes < 1 << 20 or block_bytes & (block_bytes - 1):
+        raise ValueError("block_bytes must be a power of two, 1 MB at least")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.col("length").alias("file_size_bytes"),
-                        F.sha2("content", 256).alias("file_hash"))
+    listed = files.filter(F.col("length") > block_bytes).select("path", "length").collect()
+    in_blocks = readable_in_blocks(spark, [f.path for f in listed])
+    large = [(f.path, f.length) for f in listed if f.path in in_blocks]
+    whole = [escape_glob(f.path) for f in listed if f.path not in in_blocks]
+    files = files.filter(F.col("length") <= block_bytes)
+    if whole:
+        files = files.unionByName(spark.read.format("binaryFile").load(whole))
+    hashed = files.select("path", F.col("length").alias("file_size_bytes"),
+                          F.sha2("content", 256).alias("file_hash"))
+    if not large:
+        return hashed
+    return hashed.unionByName(spark.createDataFrame(
+        sha256_in_blocks(spark, large, block_bytes, parallel), hashed.schema))
 
 
 def file_extension(filename: Column) -> Column:

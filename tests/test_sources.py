@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 
@@ -11,6 +12,7 @@ from premia.sources.catalog import (
     published_versions, record_outcomes, register_assets, resolve_datasets, set_column_tags, withdraw_dataset,
 )
 from premia.sources.chunk_store import replace_document_chunks, stale_embeddings
+from premia.sources.digests import _records
 from premia.sources.tabular import fingerprint_files, read_dataset, screen_uploads
 
 
@@ -39,6 +41,38 @@ def test_fingerprints_of_files_of_any_size(spark, tmp_path):
     assert rows["b.csv"]["file_size_bytes"] == 100
 
 
+def test_fingerprint_of_a_file_above_2_gb(spark, tmp_path):
+    size = 2**31 + 3
+    with open(tmp_path / "big.parquet", "wb") as file:  # sparse, so it takes no disk
+        file.write(b"head")
+        file.seek(size - 4)
+        file.write(b"tail")
+    [row] = fingerprint_files(spark, str(tmp_path)).collect()
+    with open(tmp_path / "big.parquet", "rb") as file:
+        assert row["file_hash"] == hashlib.file_digest(file, "sha256").hexdigest()
+    assert row["file_size_bytes"] == size
+
+
+def test_fingerprints_in_blocks(spark, tmp_path):
+    block, some = 1 << 20, random.Random(1)
+    sizes = {"equal": block, "one more": block + 1, "two": 2 * block, "a,b [1]{x}*?%20é.csv": 3 * block + 12_345,
+             "a,b [1]{x}*y%20é.csv": 3 * block + 1, "packed.gz": 2 * block + 7, "[z].gz": 2 * block + 8, "z.gz": 9,
+             "_x=1": block + 5, "sub/prime.bin": 5 * block - 3, "long": 17 * block + 65_537}
+    (tmp_path / "sub").mkdir()
+    bodies = {name: some.randbytes(size) for name, size in sizes.items()}
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body)
+    rows = fingerprint_files(spark, str(tmp_path), block_bytes=block).collect()
+    whole = {r["path"] for r in fingerprint_files(spark, str(tmp_path)).collect()}
+    assert len(rows) == len(bodies) and {r["path"] for r in rows} == whole
+    got = {r["path"].split(f"{tmp_path}/")[1]: (r["file_size_bytes"], r["file_hash"]) for r in rows}
+    assert got == {n: (len(b), hashlib.sha256(b).hexdigest()) for n, b in bodies.items()}
+    records = _records(spark.sparkContext, str(tmp_path / "long"), block, 1 << 16)
+    assert spark.sparkContext.runJob(records, lambda rows: [sum(len(b) for _, b in rows)], list(range(16))) == [block] * 16
+    with pytest.raises(ValueError):
+        fingerprint_files(spark, str(tmp_path), block_bytes=3 << 20)
+
+
 def test_screen_uploads(spark):
     names = ["a.CSV", "b.pdf", "c.tar.gz", ".csv", "noext", "d.xlsx", "e..xls"]
     files = spark.createDataFrame([(n, 10) for n in names] + [("big.csv", 2**40)],
