@@ -123,6 +123,16 @@ def beside(rows: DataFrame, rid: str, facts: DataFrame, name: str) -> DataFrame:
         name, F.when(own["rid"] == F.col(rid), own["fact"]).otherwise(wrong)).drop(block, "_facts")
 
 
+def among(rows: DataFrame, rid: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` of ``numbered`` whose row id the only column of ``wanted`` has; ids are shuffled, never the rows."""
+    place = F.col(rid).bitwiseAND(F.lit((1 << _BLOCK_BITS) - 1)).cast("int")
+    block = _block_of(rid)
+    places = fresh(rows, "places")
+    gathered = (wanted.select(F.shiftright(rid, _BLOCK_BITS).alias(block), place.alias(places))
+                .repartition(_buckets(rows.sparkSession), block).groupBy(block).agg(F.collect_set(places).alias(places)))
+    return rows.join(gathered.hint("shuffle_hash"), block).filter(F.array_contains(places, place)).drop(block, places)
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bound the rows of an Arrow batch, as one text may have hundreds of kilobytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from premia.llm.common import beside, components, discard, fresh, numbered, scratch, small_batches, stored, text_of
+from premia.llm.common import among, beside, components, discard, fresh, numbered, scratch, small_batches, stored, text_of
 from premia.llm.shingles import binaries, mix64, shingle_sets
 
 #: The least similarity as a fraction.
 LEAST = (4, 5)
-HOT_SHARE = 1000
-HOT_LEAST = 64
-_HOT = np.uint64(1 << 62)
+#: Shingles that so many rows have are told apart by how many rows have them.
+HOT_LEAST = 16
+#: Bits of a shingle that say its place in the table of ranks, a byte each.
+_SLOT_BITS = 24
 
 
 def prefix_length(n: int) -> int:
@@ -28,41 +30,74 @@ def overlap_needed(n: Column, m: Column) -> Column:
     return F.ceil((n + m) * LEAST[0] / float(LEAST[0] + LEAST[1]) - 1e-9)
 
 
-def tokens_of(shingles: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """Shingles as ordering tokens, hot ones last: 62 bits, so that they are positive longs."""
-    low = shingles >> np.uint64(2)
-    if not len(hot):
-        return low
-    at = np.minimum(np.searchsorted(hot, low), len(hot) - 1)
-    is_hot = hot[at] == low
-    return np.concatenate([low[~is_hot], low[is_hot] | _HOT])
+def tokens_of(shingles: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """Shingles as ordering tokens, rare ones first: 62 bits, so that they are positive longs."""
+    rank = ranks[(shingles >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)]
+    return (shingles >> np.uint64(2))[np.argsort(rank, kind="stable")]
 
 
-def hot_tokens(rows: DataFrame, total: int) -> np.ndarray:
-    """Tokens of many rows, from all shingles of all rows; they go last in the order, so they seldom meet.
+def frequency_ranks(rows: DataFrame, total: int) -> np.ndarray:
+    """For each slot of shingles (their first bits) a rank, from all shingles of all rows: the more rows, the larger.
 
-    Each task counts its tokens and hands on those it saw twice. At most ``HOT_SHARE`` times the mean size of a
-    set are hot, whatever the number of rows. The order decides only how many candidates there are.
+    Shingles are counted by cells, some four for each shingle as long as they are few, and a slot's rank is that of its
+    largest cell; below ``HOT_LEAST`` rows it is 0. Tasks hand on their cells sorted, as the gaps between them (two bytes a
+    shingle), and the driver sees the ranks, 16 MB for any number of rows. With frequent shingles last in the order, each after
+    the rarer ones, hardly any rows meet by chance. The order decides only how many candidates there are.
     """
+    bits = min(32, max(_SLOT_BITS, (512 * total).bit_length() + 2))
+    part_bits = min(16, max(8, (2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))).bit_length()))
+    span, least = 1 << (bits - part_bits), HOT_LEAST
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        size = 0
 
         def flush() -> pa.RecordBatch:
-            token, n = np.unique(np.concatenate(held or [np.zeros(0, np.uint64)]), return_counts=True)
+            cell = np.sort(np.concatenate(held or [np.zeros(0, np.uint32)])).astype(np.int64)
             held.clear()
-            return pa.RecordBatch.from_pydict({"token": token[n > 1].astype(np.int64), "n": n[n > 1].astype(np.int64)})
+            part = cell >> (bits - part_bits)
+            at = np.flatnonzero(np.diff(part, prepend=-1))
+            gap = np.diff(cell, prepend=0)
+            gap[at] = cell[at] & (span - 1)
+            wide = bool(len(gap)) and int(gap.max()) >= 1 << 16
+            gap = gap.astype(np.uint32 if wide else np.uint16)
+            return pa.RecordBatch.from_pydict({
+                "part": pa.array(part[at], pa.int64()), "wide": pa.array([wide] * len(at), pa.bool_()),
+                "gaps": pa.array([g.tobytes() for g in np.split(gap, at[1:])] if len(at) else [], pa.binary())})
 
         for batch in batches:
-            held += [shingles >> np.uint64(2) for shingles in shingle_sets(binaries(batch.column(0)))]
-            if sum(map(len, held)) > 4_000_000:
-                yield flush()
+            for shingles in shingle_sets(binaries(batch.column(0))):
+                held.append((shingles >> np.uint64(64 - bits)).astype(np.uint32))
+                size += len(shingles)
+                if size >= 4_000_000:
+                    yield flush()
+                    size = 0
         yield flush()
 
-    least = max(HOT_LEAST, total // HOT_SHARE)
-    found = (rows.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-             .filter(F.col("n") >= least).select("token"))
-    return np.sort(found.toPandas()["token"].to_numpy().astype(np.uint64))
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, now = np.zeros(span, np.uint32), None
+
+        def row() -> pa.RecordBatch:
+            most = counts.reshape(-1, 1 << (bits - _SLOT_BITS)).max(axis=1)
+            ranks = np.where(most < least, 0, np.log2(np.maximum(most, 1))).astype(np.uint8)
+            return pa.RecordBatch.from_pydict({"part": pa.array([now], pa.int64()), "ranks": pa.array([ranks.tobytes()], pa.binary())})
+
+        for batch in batches:
+            for part, wide, gaps in zip(*[c.to_pylist() for c in batch.columns]):
+                if now not in (None, part):
+                    yield row()
+                    counts[:] = 0
+                now = part
+                np.add.at(counts, np.cumsum(np.frombuffer(gaps, np.uint32 if wide else np.uint16), dtype=np.int64), np.uint32(1))
+        if now is not None:
+            yield row()
+
+    found = stored(rows.select("text").mapInArrow(cells, "part long, wide boolean, gaps binary")
+                   .repartition("part").sortWithinPartitions("part").mapInArrow(rank, "part long, ranks binary"), "jaccard-ranks")
+    ranks = np.zeros((1 << part_bits, 1 << (_SLOT_BITS - part_bits)), np.uint8)
+    for part, own in found.collect():
+        ranks[part] = np.frombuffer(own, np.uint8)
+    return ranks.reshape(-1)
 
 
 def parities(shingles: np.ndarray) -> np.ndarray:
@@ -72,7 +107,7 @@ def parities(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def sketches(rows: DataFrame, hot: np.ndarray) -> DataFrame:
+def sketches(rows: DataFrame, ranks: np.ndarray) -> DataFrame:
     """(rid, id, n, s1, s2, p1, p2, prefix, odd): size, digests of the set and of the prefix, the prefix, parities."""
 
     def digests(values: np.ndarray) -> tuple[int, int]:
@@ -83,7 +118,7 @@ def sketches(rows: DataFrame, hot: np.ndarray) -> DataFrame:
         for batch in batches:
             out = []
             for shingles in shingle_sets(binaries(batch.column(2))):
-                prefix = tokens_of(shingles, hot)[:prefix_length(len(shingles))]
+                prefix = tokens_of(shingles, ranks)[:prefix_length(len(shingles))]
                 out.append((len(shingles), *digests(shingles), *digests(prefix), prefix.astype(np.int64), parities(shingles)))
             n, s1, s2, p1, p2, prefix, odd = zip(*out) if out else [[]] * 7
             yield pa.RecordBatch.from_arrays(
@@ -96,15 +131,15 @@ def sketches(rows: DataFrame, hot: np.ndarray) -> DataFrame:
         sketch, "rid long, id long, n long, s1 long, s2 long, p1 long, p2 long, prefix array<long>, odd array<long>")
 
 
-def full_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(c, set): all shingles of the texts of ``wanted`` (c), sorted."""
+def full_sets(docs: DataFrame, rid: str, text_col: str, wanted: DataFrame) -> DataFrame:
+    """(c, set): all shingles of the texts of ``wanted`` (c), sorted; ``docs`` are numbered and stay where they are."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [s.astype(np.int64) for s in shingle_sets(binaries(batch.column(1)))]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["c", "set"])
 
-    return (rows.select("rid", "text").join(wanted, rows["rid"] == wanted["c"], "left_semi")
+    return (among(docs, rid, wanted.select(F.col("c").alias(rid))).select(rid, text_of(text_col).alias("text"))
             .mapInArrow(whole, "c long, set array<long>"))
 
 
@@ -132,15 +167,18 @@ def may_link(pairs: DataFrame, odd: DataFrame) -> DataFrame:
             .select("a", "b"))
 
 
-def verified(pairs: DataFrame, odd: DataFrame, rows: DataFrame) -> DataFrame:
-    """``pairs`` of classes (a, b) whose whole sets are similar enough."""
-    pairs = stored(may_link(pairs, odd), "jaccard-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    sets = stored(full_sets(rows, wanted), "jaccard-sets")
+def verified(pairs: DataFrame, odd: DataFrame, sets_of: Callable[[DataFrame], DataFrame], purpose: str) -> DataFrame:
+    """``pairs`` of classes (a, b) whose whole sets are similar enough, stored; what is stored on the way is deleted."""
+    inner: list[str] = []
+    with scratch(inner):
+        pairs = stored(may_link(pairs, odd), "jaccard-pairs")
+        sets = stored(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()), "jaccard-sets")
     met = (pairs.join(sets.select(F.col("c").alias("b"), F.col("set").alias("right")), "b")
            .join(sets.select(F.col("c").alias("a"), F.col("set").alias("left")), "a"))
     common = F.size(F.array_intersect("left", "right"))
-    return met.filter(common >= overlap_needed(F.size("left"), F.size("right"))).select("a", "b")
+    links = stored(met.filter(common >= overlap_needed(F.size("left"), F.size("right"))).select("a", "b"), purpose)
+    discard(pairs.sparkSession, inner)
+    return links
 
 
 def close_in_size(n: Column, m: Column) -> Column:
@@ -164,16 +202,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bound from a bitmap of the whole set, and whole sets are compared. Both bounds only drop pairs that cannot be similar
     enough, so no link between different components is missed.
 
+    ``docs`` with a ``row_id`` are those of ``numbered``. Whole texts are not shuffled.
+
     Null texts and texts without words have no shingles and are linked with nothing; fewer than five words
     are one shingle. ``component_id`` is the smallest id of the component, null only if all its ids are. Rows
     that repeat an id are documents each; extra columns are ignored; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    rid = F.col(row_id) if row_id else F.monotonically_increasing_id()
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), rid.alias("rid"), text_of(text_col).alias("text"))
-    rows = rows if row_id else stored(rows, "jaccard-rows")
-    hot = hot_tokens(rows, rows.count())
-    sketch = stored(sketches(rows, hot), "jaccard-sketches")
+    if not row_id:
+        docs, row_id = numbered(docs.select(id_col, text_col), "jaccard-rows")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(row_id).alias("rid"), text_of(text_col).alias("text"))
+    sets_of = functools.partial(full_sets, docs, row_id, text_col)
+    sketch = stored(sketches(rows, frequency_ranks(rows, rows.count())), "jaccard-sketches")
     full = sketch.filter("n > 0")
     same_set, same_prefix = ["n", "s1", "s2"], ["n", "p1", "p2"]
     classes = stored(full.groupBy(*same_set).agg(F.min("rid").alias("c"), F.first("p1").alias("p1"), F.first("p2").alias("p2")), "jaccard-classes")
@@ -195,7 +235,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                      & early(F.col("f.n"), F.col("f.at"), F.col("n"), F.col("at")))
              .select(F.least("f.g", "g").alias("a"), F.greatest("f.g", "g").alias("b")).distinct())
     inside = members.filter("c <> g").select(F.col("g").alias("a"), F.col("c").alias("b"))
-    links = stored(verified(stars.unionByName(inside), odd, rows), "jaccard-links")
+    links = verified(stars.unionByName(inside), odd, sets_of, "jaccard-links")
 
     found = components(links, "jaccard-components")
     labels = stored(members.join(found, F.col("c") == F.col("node"), "left")
@@ -213,7 +253,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = (across.join(labels.select(F.col("g").alias("ga"), F.col("k").alias("ka"), F.col("c").alias("a")), ["ga", "ka"])
              .join(labels.select(F.col("g").alias("gb"), F.col("k").alias("kb"), F.col("c").alias("b")), ["gb", "kb"])
              .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    more = stored(verified(pairs, odd, rows), "jaccard-links-2")
+    more = verified(pairs, odd, sets_of, "jaccard-links-2")
 
     joined = components(more.join(labels.select(F.col("c").alias("a"), F.col("k").alias("ka")), "a")
                         .join(labels.select(F.col("c").alias("b"), F.col("k").alias("kb")), "b")

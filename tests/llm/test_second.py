@@ -368,6 +368,24 @@ def test_jaccard(spark, monkeypatch, seed, hot):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_components(rows)
 
 
+def test_shared_phrases_make_no_candidates(spark, monkeypatch):
+    """Rows that share a phrase but are not similar do not become pairs, though the phrase is in few rows."""
+    rng = random.Random(11)
+    phrases = [" ".join(f"p{k}x{j}" for j in range(12)) for k in range(10)]
+    texts = [" ".join([*(f"w{rng.randrange(10**9)}" for _ in range(60)), phrases[i % 10]]) for i in range(400)]
+    rows = list(enumerate([*texts, texts[7] + " more"]))
+    seen, may_link = [], jaccard_join.may_link
+
+    def noted(pairs, odd):
+        seen.append(pairs.distinct().count())
+        return may_link(pairs, odd)
+
+    monkeypatch.setattr(jaccard_join, "may_link", noted)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs_of(spark, rows)).collect()}
+    assert got == {**{i: i for i in range(400)}, 400: 7}
+    assert len(seen) == 2 and sum(seen) <= 10
+
+
 def test_jaccard_edges(spark):
     assert jaccard_join.jaccard_components(docs_of(spark, [])).count() == 0
     rows = [(1, "a b c d e"), (2, "A b c d e"), (3, "other words"), (4, None), (5, ""), (1, "a b c d e"), (None, "nine"), (None, "ten")]
