@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from premia.llm import repeats
@@ -91,3 +92,37 @@ def test_transform(seed):
     whole = [([c + 1 for c in t[i:]] + [0], k, t[i - 1] + 1 if i else 0) for k, t in enumerate(texts) for i in range(len(t) + 1)]
     assert order.tolist() == sorted(range(len(whole)), key=lambda x: whole[x][:2])
     assert signs.tolist() == [whole[x][2] for x in order]
+
+
+@pytest.mark.parametrize("seed,group", [(1, 150), (2, 2000), (3, 20_000)])
+def test_small_groups_against_brute_force(spark, monkeypatch, seed, group):
+    rows = corpus(seed)
+    monkeypatch.setattr(repeats, "GROUP_BYTES", group, raising=False)
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    got = repeats.remove_repeats(df).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in got) == brute(rows, 50)
+
+
+@pytest.mark.parametrize("copies", [1, 2])
+def test_a_frequent_passage_is_judged_in_bounded_parts(monkeypatch, copies):
+    """All texts of a bucket lie under one hash, as around a line that very many documents have."""
+    rng = random.Random(copies)
+    line = bytes(rng.choice(b"abcdef") for _ in range(30))
+    bits = [bytes(rng.choice(b"ghijkl") for _ in range(25)) + line for _ in range(2000 // copies)]
+    texts = [b + bytes([rng.randrange(65, 90)]) * rng.randrange(1, 20) for b in bits for _ in range(copies)]
+    owners = rng.sample(range(10_000), len(texts))
+    rows = pd.DataFrame({"block": [7], "bucket": [3], "data": [b"".join(texts)], "ends": [np.cumsum([len(t) for t in texts]).tobytes()],
+                         "least": [np.array(owners, np.int64).tobytes()], "keys": [np.full(len(texts), 9, np.uint64).tobytes()]})
+    seen, merge = [], repeats.merge
+    monkeypatch.setattr(repeats, "merge", lambda transforms, *rest: seen.append(sum(map(len, transforms))) or merge(transforms, *rest))
+    monkeypatch.setattr(repeats, "GROUP_BYTES", 4096, raising=False)
+    got = repeats._merge_bucket(rows, 50)
+    least = {}
+    for t, o in zip(texts, owners):
+        for a in range(len(t) - 49):
+            least[t[a:a + 50]] = min(least.get(t[a:a + 50], o), o)
+    starts = np.array([a + 50 <= len(t) for t in texts for a in range(len(t) + 1)])  # the other bits are not read
+    truth = [least[t[a:a + 50]] < o for t, o in zip(texts, owners) for a in range(len(t) - 49)]
+    assert got["block"].tolist() == [7] and got["bucket"].tolist() == [3]
+    assert np.unpackbits(np.frombuffer(got["bits"][0], np.uint8), count=len(starts)).astype(bool)[starts].tolist() == truth
+    assert max(seen, default=0) <= 8 * 4096 < sum(map(len, texts))
