@@ -389,6 +389,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     empty table gives no rows. A string that very many documents have is filed once for each block.
     """
     small_batches(docs.sparkSession, 256)
+    # a block has 2 MB, so 256 of them are no small batch
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 * BLOCK_BYTES))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     blocks = stored(rows.mapInArrow(to_blocks, "ids array<long>, no_ids array<boolean>, ends array<long>, data binary")
                     .withColumn("block", F.monotonically_increasing_id()), "repeats-blocks")
